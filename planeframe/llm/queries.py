@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, tokens
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
+    "op6_token_counts": tokens.op6_token_counts,
 }
 
 ORACLE_SQL = {
