@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality, tokens
+from . import packing, pieces, quality, tokens
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
+    "op5_sentencepiece": pieces.op5_sentencepiece,
     "op6_token_counts": tokens.op6_token_counts,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
 }
 
 ORACLE_SQL = {

@@ -17,7 +17,7 @@ from .common import slices
 #: Distinct strings whose result a worker remembers; beyond it the memory starts anew.
 MEMO = 600_000
 
-_WS = r"\t-\r \x85\xa0  -     　"
+_WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Runs that no pre-token crosses, so that equal runs are worked on once.
 _UNIT = regex.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _NONE = np.int32(2**31 - 1)
