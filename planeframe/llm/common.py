@@ -128,21 +128,20 @@ class Words:
             out += w[j : len(w) - k + 1 + j] * _WINDOW[j]
         return mix(out)
 
-    def shingle_sets(self, k: int) -> Iterator[np.ndarray]:
-        """Of each text, the sorted distinct hashes of k-word shingles; with fewer words the whole sequence is one."""
-        win = self.windows(k)
+    def shingle_sets(self, k: int, order=lambda h: h) -> Iterator[np.ndarray]:
+        """Of each text, the sorted distinct shingles of k words; with fewer words the whole sequence is one.
+
+        ``order`` maps hashes to the keys that stand for them, whose order is the sets' order.
+        """
+        win = order(self.windows(k))
         for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True):
             if b - a >= k:
                 yield np.unique(win[a : b - k + 1])
             elif b > a:
-                w = self.hash[a:b]
-                yield mix(np.array([sum(int(x) * int(c) for x, c in zip(w, _WINDOW[8:], strict=False)) + (b - a) & 0xFFFFFFFFFFFFFFFF], np.uint64))
+                total = sum(int(x) * int(c) for x, c in zip(self.hash[a:b], _WINDOW[8:], strict=False)) + (b - a)
+                yield order(mix(np.array([total & 0xFFFFFFFFFFFFFFFF], np.uint64)))
             else:
-                yield np.zeros(0, np.uint64)
-
-
-def rows(batch: pa.RecordBatch, names: list[str]) -> list:
-    return [batch.column(batch.schema.get_field_index(n)) for n in names]
+                yield win[:0]
 
 
 def with_checkpoints(spark: SparkSession) -> SparkSession:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import packing, pieces, quality, tokens
+from . import caps, ngram_join, packing, pieces, quality, tokens
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op5_sentencepiece": pieces.op5_sentencepiece,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_embedding_dedup": caps.op8_embedding_dedup,
 }
 
 ORACLE_SQL = {
     "op2_quality_rules": quality.ORACLE,
+    "op3_ngram_join": ngram_join.ORACLE,
+    "op8_embedding_dedup": caps.ORACLE,
 }
