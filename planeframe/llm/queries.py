@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import caps, ngram_join, packing, pieces, quality, tokens
+from . import caps, ngram_join, packing, pieces, pii, quality, tokens
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_ngram_join": ngram_join.op3_ngram_join,
+    "op4_personal_data": pii.op4_personal_data,
     "op5_sentencepiece": pieces.op5_sentencepiece,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
