@@ -20,8 +20,9 @@ SLICE_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: A table of bytes that maps A-Z to a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -87,14 +88,14 @@ class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a slice of texts, as 64-bit hashes.
 
     ``hash[i]`` belongs to the text d with ``first[d] <= i < first[d+1]``;
-    ``start``/``end`` are byte positions in ``data``. With ``lower``, A-Z count
-    as a-z.
+    ``start``/``end`` are byte positions in ``data``. With a ``table`` of 256
+    bytes, each byte stands for its entry.
     """
 
-    def __init__(self, arr: pa.Array, lower: bool = False):
+    def __init__(self, arr: pa.Array, table: np.ndarray | None = None):
         data, off = text_buffer(arr)
-        if lower:
-            data = _LOWER[data]
+        if table is not None:
+            data = table[data]
         self.data, self.offsets = data, off
         n = len(data)
         space = _SPACE[data]
@@ -144,6 +145,38 @@ class Words:
                 yield win[:0]
 
 
+class Index:
+    """Codes 0, 1, .. of 64-bit hashes, in an open-addressing table that is read and filled array by array."""
+
+    def __init__(self, bits: int):
+        self.shift = np.uint64(64 - bits)
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.code = np.full(1 << bits, -1, np.int32)
+        self.n = 0
+
+    def get(self, h: np.ndarray) -> np.ndarray:
+        """The code of each hash, -1 for those that aren't in it."""
+        slot = (h >> self.shift).astype(np.int64)
+        out = self.code[slot]
+        on = np.flatnonzero((out >= 0) & (self.keys[slot] != h))
+        while len(on):
+            slot[on] = (slot[on] + 1) % len(self.code)
+            out[on] = self.code[slot[on]]
+            on = on[(out[on] >= 0) & (self.keys[slot[on]] != h[on])]
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Give the next codes to distinct hashes that aren't in it."""
+        code = np.arange(self.n, self.n + len(h), dtype=np.int32)
+        self.n += len(h)
+        slot = (h >> self.shift).astype(np.int64)
+        while len(h):
+            free = self.code[slot] < 0
+            self.keys[slot[free]], self.code[slot[free]] = h[free], code[free]
+            on = self.code[slot] != code
+            h, code, slot = h[on], code[on], (slot[on] + 1) % len(self.code)
+
+
 def with_checkpoints(spark: SparkSession) -> SparkSession:
     """Make sure that checkpoint() has a folder: the cluster's shared one, or (only where none is set, as in tests) one of our own."""
     if spark.sparkContext.getCheckpointDir() is None:

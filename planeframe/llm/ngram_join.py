@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, components, cut, slices
+from .common import LOWER, Words, components, cut, slices
 
 #: Size of the heavy-hitter table. It only shapes the order of n-grams, so it changes cost, never results.
 HEAVY = 1 << 16
@@ -72,7 +72,7 @@ def heavy_hitters(texts: DataFrame, k: int) -> list[tuple[int, int]]:
         have, count, new, n = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
         for batch in batches:
             for part in slices(batch, "text"):
-                for s in Words(part.column(1), lower=True).shingle_sets(k):
+                for s in Words(part.column(1), LOWER).shingle_sets(k):
                     new.append(s)
                     n += len(s)
                 if n > SUMMARY:
@@ -174,7 +174,7 @@ def _verify(texts: DataFrame, pairs: DataFrame, order: Order, k: int, t: int) ->
             out: list[tuple[int, int]] = []
             for part in slices(batch, "text"):
                 keys = zip(*(part.column(i).to_pylist() for i in range(4)), strict=True)
-                for (a, s, role, who), own in zip(keys, Words(part.column(4), lower=True).shingle_sets(k, order), strict=True):
+                for (a, s, role, who), own in zip(keys, Words(part.column(4), LOWER).shingle_sets(k, order), strict=True):
                     if (a, s) != group:
                         out += close()
                         group, probe, tree, members = (a, s), None, Tree(own[:0]), 0
@@ -222,7 +222,7 @@ def ngram_classes(documents: DataFrame, n_gram: int = 4, percent: int = 85, id_c
         for batch in batches:
             for part in slices(batch, "text"):
                 size, one, two, prefix = [], [], [], []
-                for s in Words(part.column(1), lower=True).shingle_sets(k, order):
+                for s in Words(part.column(1), LOWER).shingle_sets(k, order):
                     n = len(s)
                     mark = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
                     size.append(n)

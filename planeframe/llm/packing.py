@@ -6,26 +6,26 @@ import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import Index, Words, cut, slices
 
-#: Distinct words whose ids a worker remembers; beyond it the memory starts anew.
-MEMO = 600_000
-_CHUNK = regex.compile(r"[^ \t-\r]+")
+#: Distinct words whose ids a worker remembers; beyond it the memory starts anew. The table has four places for each.
+MEMO = 1 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RESULT = f"{PIECES}, sequence_id long, offset long"
 
 
 class WordIds:
-    """Token ids of white-space-delimited chunks, each distinct chunk tokenized once by the library.
+    """Token ids of white-space-delimited words, each distinct word tokenized once by the library.
 
+    Words are found and looked up by their 64-bit hashes, a slice at a time.
     Right for tokenizers whose pre-tokens never cross ASCII white space and
     which drop it; ``check`` refuses others.
     """
@@ -46,45 +46,52 @@ class WordIds:
                 raise ValueError(f"{path}: its tokens depend on white space")
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
+        self.index = Index((MEMO - 1).bit_length() + 2)
+        self.ids = np.zeros(1 << 20, np.uint32)
         self.used = 0
-        self.first = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
-
-    @staticmethod
-    def _room(x: np.ndarray, n: int) -> np.ndarray:
-        return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
-
-    def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.code]
-        if len(self.code) + len(new) > MEMO and self.code:
-            self.clear()
-            new = list(chunks)
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            got = [e.ids for e in self.lib.encode_batch_fast(part, add_special_tokens=False)]
-            n = np.fromiter(map(len, got), np.int64, len(got))
-            at, to = len(self.code), len(self.code) + len(part)
-            self.first, self.size = self._room(self.first, to), self._room(self.size, to)
-            self.first[at:to] = self.used + np.cumsum(n) - n
-            self.size[at:to] = n
-            self.ids = self._room(self.ids, self.used + int(n.sum()))
-            self.ids[self.used : self.used + int(n.sum())] = [x for g in got for x in g]
-            self.used += int(n.sum())
-            self.code.update(zip(part, range(at, to), strict=True))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.first = np.zeros(MEMO, np.int64)
+        self.size = np.zeros(MEMO, np.int32)
+
+    def learn(self, words: Words, hashes: np.ndarray, at: np.ndarray) -> None:
+        """Tokenize distinct words, given by hash and place in the slice."""
+        raw = words.data.tobytes()
+        for i in range(0, len(at), 50_000):
+            part = at[i : i + 50_000]
+            text = [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[part].tolist(), words.end[part].tolist(), strict=True)]
+            got = [e.ids for e in self.lib.encode_batch_fast(text, add_special_tokens=False)]
+            n = np.fromiter(map(len, got), np.int32, len(got))
+            k, to, end = self.index.n, self.index.n + len(part), self.used + int(n.sum())
+            if to > len(self.first):  # one slice of more distinct words than the memory takes
+                self.first, self.size = (np.concatenate([x, np.zeros(to, x.dtype)]) for x in (self.first, self.size))
+            if end > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(end, np.uint32)])
+            self.first[k:to] = self.used + np.cumsum(n) - n
+            self.size[k:to] = n
+            self.ids[self.used : end] = np.fromiter(chain.from_iterable(got), np.uint32, end - self.used)
+            self.used = end
+            self.index.add(hashes[i : i + 50_000])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets)."""
-        split = [_CHUNK.findall(t) for t in texts]
-        self.learn(set().union(*split))
-        get = self.code.__getitem__
-        code = np.fromiter((get(c) for cs in split for c in cs), np.int64, sum(map(len, split)))
+        words = Words(texts)
+        code = self.index.get(words.hash)
+        lack = np.flatnonzero(code < 0)
+        if len(lack):
+            new, first = np.unique(words.hash[lack], return_index=True)
+            at = lack[first]
+            if self.index.n + len(new) > MEMO:
+                self.clear()
+                new, at = np.unique(words.hash, return_index=True)
+                if len(new) > MEMO:
+                    self.index = Index((len(new) - 1).bit_length() + 2)
+                lack = np.arange(len(code))
+            self.learn(words, new, at)
+            code[lack] = self.index.get(words.hash[lack])
         n = self.size[code]
-        total = np.cumsum(n)
-        pos = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(self.first[code] - (total - n), n)
-        words = np.cumsum([0, *map(len, split)])
-        return self.ids[pos], np.concatenate([[0], total])[words]
+        total = np.cumsum(n, dtype=np.int64)
+        pos = np.repeat(self.first[code] - (total - n), n)
+        pos += np.arange(len(pos))
+        return self.ids[pos], np.concatenate([[0], total])[words.first]
 
 
 _loaded: dict[str, WordIds] = {}
@@ -105,7 +112,7 @@ def token_pieces(documents: DataFrame, path: str, capacity: int, end_id: int, id
         tail = np.array([end_id], np.uint32)
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, off = lib.encode(part.column(1).to_pylist())
+                ids, off = lib.encode(part.column(1))
                 out = []
                 for d, doc in enumerate(part.column(0).to_pylist()):
                     own = np.concatenate([ids[off[d] : off[d + 1]], tail])
