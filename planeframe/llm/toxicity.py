@@ -203,6 +203,30 @@ def _machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
+def _telling(toxic: list[list[bytes]], clean: list[list[bytes]]) -> list[bytes]:
+    """Words met in so many toxic texts, near copies counted once, and so few clean ones that chance explains none of them."""
+    pos, neg = Counter(w for b in toxic for w in b), Counter(w for b in clean for w in b)
+    sets = [frozenset(b) for b in toxic]
+    holds = defaultdict(list)
+    for d, b in enumerate(toxic):
+        for w in b:
+            if len(w) > 2 and 20 * neg[w] * len(toxic) <= pos[w] * max(1, len(clean)):
+                holds[w].append(d)
+    share = len(toxic) / (len(toxic) + len(clean) + 1)
+    need = np.log(0.05 / max(1, len(pos))) / np.log(share) if share > 0 else np.inf
+    out = []
+    for w, ds in holds.items():
+        if len(ds) >= need:
+            apart: list[int] = []
+            for d in ds:
+                if all(2 * len(sets[d] & sets[e]) < min(len(sets[d]), len(sets[e])) for e in apart):
+                    apart.append(d)
+                if len(apart) >= need:
+                    out.append(w)
+                    break
+    return sorted(out, key=lambda w: (-pos[w], w))[: LANDMARKS // 2]
+
+
 def _seeds(toxic: list[list[bytes]], clean: list[list[bytes]]) -> Counter:
     """Words that account for toxic texts: greedily the one that covers most of those not covered yet, nearly absent from clean ones."""
     pos, neg = Counter(w for b in toxic for w in b), Counter(w for b in clean for w in b)
@@ -242,20 +266,21 @@ def fit(rows: list[tuple[str, int]], clean_odds: float = 1.0) -> Scorer:
     toxic, clean = [bag[i] for i in train if label[i] == 1], [bag[i] for i in train if label[i] == 0]
     seeds = _seeds(toxic, clean)
     share = (sum(y for _, y in rows) + 0.5) / (len(rows) + 1)
-    if not seeds or not clean:
+    telling = _telling(toxic, clean)
+    if not (seeds or telling) or not clean:
         return Scorer(np.zeros(1 << BITS), 0.0, 0.0, float(np.log(share / (1 - share))))
     order = lambda ws: sorted(ws, key=lambda w: (zlib.crc32(w), w))
     everyday = order({w for b in clean for w in b if w})
-    chosen = [w for w in seeds if w]
+    chosen = [*seeds, *telling]
     hard: list[bytes] = []
     table, bias = np.zeros(1 << BITS, np.float32), 0.0
     for _ in range(ROUNDS):
-        marks = _dense(list(dict.fromkeys([*order(set(chosen))[:LANDMARKS], *hard[: LANDMARKS // 2], *everyday[:LANDMARKS]])))
+        marks = _dense(list(dict.fromkeys([*telling, *order(set(chosen))[:LANDMARKS], *hard[: LANDMARKS // 2], *everyday[:LANDMARKS]])))
         vals, vecs = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         keep = vals > 1e-4 * vals.max()
         to = vecs[:, keep] / np.sqrt(vals[keep])
         good = list(dict.fromkeys(hard + everyday[:12_000]))
-        times = Counter(chosen)
+        times = Counter(chosen + telling * 3)
         strings = [*times, *good]
         y = np.array([1.0] * len(times) + [-1.0] * len(good))
         weight = np.array([min(n, 20) for n in times.values()] + [1.0] * len(good))
@@ -268,7 +293,7 @@ def fit(rows: list[tuple[str, int]], clean_odds: float = 1.0) -> Scorer:
         value = scorer.margins(*_packed(words := order({x for b in toxic + clean for x in b if x})))
         of = dict(zip(words, value.tolist(), strict=True))
         chosen = [best for b in toxic if (best := max((x for x in b if x), key=lambda x: (of[x], x), default=None)) is not None and of[best] > -0.3]
-        if not chosen:
+        if not chosen and not telling:
             break
         cleans = {x for b in clean for x in b if x}
         hard = sorted(cleans, key=lambda x: (-of[x], x))[:400]
