@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import caps, ngram_join, packing, pieces, pii, quality, tokens, toxicity
+from . import caps, lm_scoring, ngram_join, packing, pieces, pii, quality, tokens, toxicity
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_token_counts": tokens.op6_token_counts,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_embedding_dedup": caps.op8_embedding_dedup,
+    "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
