@@ -6,7 +6,9 @@ bounded slice of documents, so no Python object exists per word.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,9 +74,9 @@ def text_buffer(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with at most ``limit`` bytes of text (one row at least)."""
-    arr = batch.column(batch.schema.get_field_index(column))
+    arr = batch.column(column)
     size = pc.fill_null(pc.binary_length(arr), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     total = np.concatenate([[0], np.cumsum(size)])
     at = 0
@@ -190,6 +192,52 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def id_filter(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit set that holds every id of a one-column frame, and few others: (words, bits of a position).
+
+    Its size is 2 MB for small sets and 16 MB at most, when it lets more through:
+    it saves shuffled rows, a join decides.
+    """
+    bits = int(np.clip(int(16 * ids.count() + 1).bit_length(), 24, 27))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(_place(b.column(0).to_numpy(zero_copy_only=False), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int64)), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bits"])
+
+    out = np.zeros(1 << (bits - 6), np.int64)
+    for r in ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).collect():
+        out[r[0]] = r[1]
+    return out.view(np.uint64), bits
+
+
+def _place(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def may_hold(filter_: tuple[np.ndarray, int], ids: np.ndarray) -> np.ndarray:
+    at = _place(ids, filter_[1])
+    return (filter_[0][at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a Parquet table in the shared checkpoint folder, smaller than checkpoint() makes it; removed at exit."""
+    spark = with_checkpoints(df.sparkSession)
+    path = f"{spark.sparkContext.getCheckpointDir()}/planeframe-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended: the folder's owner cleans it
+        return
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: (id, component), component the smallest id.
 

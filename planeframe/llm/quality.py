@@ -127,6 +127,20 @@ def rule_order(texts: list[str | None], rules: dict[str, Callable[[Doc], bool]]
     return sorted(rules, key=lambda k: (-(hits[k] / cost[k]), cost[k]))
 
 
+def only_kept(documents: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows that the base and the cascade keep, all columns as they are; cases as in ``quality_rules``."""
+    order = rule_order([r[0] for r in documents.select(documents[text_col].cast("string")).limit(sample_rows).collect()])
+    at = documents.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cascade = [RULES[n] for n in order]
+        for batch in batches:
+            for part in slices(batch, at):
+                yield part.filter(pa.array([not base_failed(d) and not any(rule(d) for rule in cascade) for d in measure(part.column(at))], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def quality_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Base counts and the cascade's verdict for each row.
 

@@ -364,6 +364,18 @@ def toxicity(documents: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_
     return src.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def without_toxic(documents: DataFrame, scorer: Scorer, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows whose text scores below the threshold, all columns as they are; cases as in ``toxicity``."""
+    at = documents.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at):
+                yield part.filter(pa.array(scorer.score(scorer.texts(part.column(at))) < threshold))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scored = toxicity(documents, train(documents, spark.read.parquet(f"{sf_dir}/labels.parquet")))
