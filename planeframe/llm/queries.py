@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import caps, lm_scoring, ngram_join, packing, pieces, pii, quality, tokens, toxicity
+from . import caps, licenses, lm_scoring, ngram_join, packing, pieces, pii, quality, tokens, toxicity
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_personal_data": pii.op4_personal_data,
