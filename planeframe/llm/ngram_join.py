@@ -15,17 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, components, cut, slices
+from .common import LOWER, Words, components, cut, id_filter, may_hold, slices, stored
 
 #: Size of the heavy-hitter table. It only shapes the order of n-grams, so it changes cost, never results.
-HEAVY = 1 << 16
+HEAVY = 1 << 18
 #: N-grams a task holds before it condenses them into its summary.
 SUMMARY = 4_000_000
-#: Sets of one prefix tree.
-TREE = 128
+#: Sets of one prefix tree, and size of a family from which its members are compared in blocks instead of pair by pair.
+TREE, FAMILY = 128, 32
 
 _LIGHT = np.uint64(2)
 _TOP = np.int64(1) << np.int64(62)
@@ -80,7 +80,7 @@ def heavy_hitters(texts: DataFrame, k: int) -> list[tuple[int, int]]:
                     new, n = [], 0
         if new:
             have, count = condense(have, count, new)
-        big = count >= 16
+        big = count >= 4
         yield pa.RecordBatch.from_arrays([pa.array(have[big].view(np.int64)), pa.array(count[big])], names=["h", "c"])
 
     found = texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(HEAVY)
@@ -161,6 +161,14 @@ def _verify(texts: DataFrame, pairs: DataFrame, order: Order, k: int, t: int) ->
     spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / TREE).alias("s"))
     dealt = pairs.join(spread, "a").select("a", F.pmod(F.xxhash64("b"), "s").alias("slice"), "b")
     routes = dealt.select("a", "slice", F.lit(1).alias("role"), F.col("b").alias("id")).unionByName(dealt.select("a", "slice", F.lit(0).alias("role"), F.col("a").alias("id")).distinct())
+    some = id_filter(pairs.select("a").unionAll(pairs.select("b")))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(may_hold(some, np.nan_to_num(ids).astype(np.int64))))
+
+    texts = texts.mapInArrow(near, "doc_id long, text string")
     rows = texts.join(routes, texts["doc_id"] == routes["id"]).select("a", "slice", "role", "id", "text")
     rows = rows.repartition("a", "slice").sortWithinPartitions("a", "slice", "role")
 
@@ -191,11 +199,60 @@ def _verify(texts: DataFrame, pairs: DataFrame, order: Order, k: int, t: int) ->
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _may_link(n, i, m, j, t: int):
-    """Length and position filter for sets of n and m that share the n-gram at places i and j: if it is the
-    first they share, what follows must suffice; if not, an earlier bucket proposes the pair."""
-    most = F.least(n - i, m - j)
-    return (F.lit(100) * F.least(n, m) >= F.lit(t) * F.greatest(n, m)) & (F.lit(100 + t) * most >= F.lit(t) * (n + m))
+def _verify_blocks(texts: DataFrame, members: DataFrame, order: Order, k: int, t: int) -> DataFrame:
+    """Links (a, b) among the members of each family: rows (fam, rep, m members).
+
+    A family is dealt in blocks of about TREE members by hash. Each two blocks
+    meet in a task of their own, where one block's prefix tree is traversed by
+    the sets of the other; within a block each set traverses the tree of those
+    before it. So a text travels once per block, not once per pair.
+    """
+    dealt = members.withColumn("blocks", F.ceil(F.col("m") / TREE).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    met = dealt.select("fam", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("fam", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("role"), F.col("rep").alias("id"))
+    some = id_filter(members.select("rep"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(may_hold(some, np.nan_to_num(ids).astype(np.int64))))
+
+    texts = texts.mapInArrow(near, "doc_id long, text string")
+    rows = texts.join(met, texts["doc_id"] == met["id"]).select("fam", "x", "y", "role", "id", "text")
+    rows = rows.repartition("fam", "x", "y").sortWithinPartitions("fam", "x", "y", "role", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, tree = None, None
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for part in slices(batch, "text"):
+                keys = zip(*(part.column(i).to_pylist() for i in range(5)), strict=True)
+                for (fam, x, y, role, who), own in zip(keys, Words(part.column(5), LOWER).shingle_sets(k, order), strict=True):
+                    if (fam, x, y) != group:
+                        group, tree = (fam, x, y), Tree(own[:0])
+                    if role:
+                        out += [(who, b) for b in tree.linked(own, t)]
+                    if role != 1:
+                        tree.add(own, who)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _propose(met: DataFrame, t: int) -> DataFrame:
+    """Distinct pairs (a, b) that may link, from rows of n-grams that both prefixes hold: a, its size na, place i there; b, nb, j.
+
+    Sizes must fit. All n-grams up to the end of the prefix that ends first are
+    counted here, so an intersection is at most this count and what follows
+    that prefix; it is also at most the count and what follows the last
+    n-gram counted.
+    """
+    need = lambda have: F.lit(100 + t) * have >= F.lit(t) * (F.col("na") + F.col("nb"))
+    rows = met.where(F.lit(100) * F.least("na", "nb") >= F.lit(t) * F.greatest("na", "nb"))
+    each = rows.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("s"), F.max("i").alias("i"), F.max("j").alias("j"))
+    after_prefix = lambda n: F.ceil(F.lit(t) * F.col(n) / 100) - 1
+    last = F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) - 1
+    return each.where(need(F.col("s") + F.least(last, F.greatest(after_prefix("na"), after_prefix("nb"))))).select("a", "b")
 
 
 def ngram_classes(documents: DataFrame, n_gram: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,10 +266,11 @@ def ngram_classes(documents: DataFrame, n_gram: int = 4, percent: int = 85, id_c
     give a row each, with the ids taken as one document each of that id; an
     empty table gives no rows; other columns are ignored.
 
-    Buckets are worked on in rounds: in the first every member of a bucket is
-    compared with the bucket's least member, which settles groups of copies in
-    linear work; in the last, all pairs of a bucket that are not yet in one
-    component and that pass the length and position filters. Nothing is capped.
+    The member of a bucket that shares most n-grams with others is compared with
+    the rest first, in linear work, which settles groups of copies. Then members
+    of a bucket that aren't in one component yet are compared: those of one large
+    family (what shares most with the same text) in blocks, all others in pairs
+    that pass the size and overlap bounds. Nothing is capped or left out.
     """
     t, k = percent, n_gram
     texts = documents.select(documents[id_col].cast("long").alias("doc_id"), documents[text_col].cast("string").alias("text"))
@@ -235,32 +293,38 @@ def ngram_classes(documents: DataFrame, n_gram: int = 4, percent: int = 85, id_c
                     names=["doc_id", "n", "s1", "s2", "prefix"],
                 )
 
-    signed = cut(texts.mapInArrow(sign, "doc_id long, n long, s1 long, s2 long, prefix array<long>"))
+    signed = stored(texts.mapInArrow(sign, "doc_id long, n long, s1 long, s2 long, prefix array<long>"))
     sets = signed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
     entries = sets.select("rep", "n", F.posexplode("prefix").alias("pos", "h")).repartition("h")
-    pivots = entries.groupBy("h").agg(F.count("*").alias("members"), F.min(F.struct("n", "rep", "pos")).alias("p")).where("members > 1").select("h", F.col("p.n").alias("pn"), F.col("p.rep").alias("pivot"), F.col("p.pos").alias("ppos"))
-    shared = entries.join(pivots, "h")
-    star = shared.where(F.col("rep") != F.col("pivot")).where(_may_link(F.col("pn"), F.col("ppos"), F.col("n"), F.col("pos"), t))
-    tried = cut(star.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
-    links = cut(_verify(texts, tried, order, k, t))
-    first = components(links)
-
-    # what is left: pairs of a bucket that aren't yet in one component and weren't compared
-    labelled = sets.join(first.select(F.col("id").alias("rep"), "component"), "rep", "left").select("rep", "n", "prefix", F.coalesce("component", "rep").alias("comp"))
-    again = labelled.select("rep", "n", "comp", F.posexplode("prefix").alias("pos", "h"))
-    mixed = again.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
-    side = again.join(mixed, "h")
-    x, y = side.alias("x"), side.alias("y")
-    rest = (
-        x.join(y, F.col("x.h") == F.col("y.h"))
-        .where(F.col("x.comp") < F.col("y.comp"))
-        .where(_may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), t))
-        .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-        .distinct()
-        .join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    crowd = entries.groupBy("h").agg(F.count("*").alias("members")).where("members > 1")
+    shared = stored(entries.join(crowd, "h"))
+    # a group's original shares its n-grams with all its edited copies: what shares most is compared with the others first
+    centre = shared.groupBy("rep").agg(F.sum("members").alias("weight"))
+    side = shared.join(centre, "rep").repartition("h")
+    pivots = side.groupBy("h").agg(F.max(F.struct(F.col("weight"), (-F.col("rep")).alias("r"), F.col("n"), F.col("pos"))).alias("p")).select("h", (-F.col("p.r")).alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"))
+    star = side.join(pivots, "h").where("rep != pivot")
+    tried = cut(_propose(star.select(F.col("pivot").alias("a"), F.col("pn").alias("na"), F.col("ppos").alias("i"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("j")), t))
+    first = components(cut(_verify(texts, tried, order, k, t)))
+
+    # what is left: members of a bucket that aren't in one component yet
+    family = star.groupBy("rep", "pivot").agg(F.count("*").alias("s")).groupBy("rep").agg(F.max_by("pivot", F.struct("s", "pivot")).alias("fam"))
+    heads = family.select(F.col("fam").alias("rep"), F.lit(1).alias("head")).distinct()
+    place = cut(
+        family.join(heads, "rep", "full")
+        .select("rep", F.when(F.col("head").isNotNull(), F.col("rep")).otherwise(F.col("fam")).alias("fam"))
+        .join(first.select(F.col("id").alias("rep"), "component"), "rep", "left")
+        .select("rep", "fam", F.coalesce("component", "rep").alias("comp"))
     )
-    more = cut(_verify(texts, cut(rest), order, k, t))
-    final = components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    size = place.groupBy("fam").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("fam", "m")
+    side = shared.select("h", "rep", "n", "pos").join(place.join(size, "fam", "left"), "rep").repartition("h")
+    mixed = side.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
+    x, y = side.join(mixed, "h").alias("x"), side.alias("y")
+    apart = x.join(y, F.col("x.h") == F.col("y.h")).where((F.col("x.comp") < F.col("y.comp")) & ((F.col("x.fam") != F.col("y.fam")) | (F.coalesce("x.m", F.lit(0)) <= FAMILY)))
+    rest = cut(_propose(apart.select(F.col("x.rep").alias("a"), F.col("x.n").alias("na"), F.col("x.pos").alias("i"), F.col("y.rep").alias("b"), F.col("y.n").alias("nb"), F.col("y.pos").alias("j")), t))
+    more = cut(_verify(texts, rest.join(tried.unionAll(tried.select("b", "a")), ["a", "b"], "left_anti"), order, k, t))
+    dense = cut(_verify_blocks(texts, place.join(size.where(F.col("m") > FAMILY), "fam").select("fam", "rep", "m"), order, k, t))
+    links = first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(dense)
+    final = components(links)
 
     reps = sets.select("n", "s1", "s2", "rep")
     classes = reps.join(final, reps["rep"] == final["id"], "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("class"))
