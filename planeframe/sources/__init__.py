@@ -1 +1,10 @@
+"""The five kinds of sources, over DataFrames with immutable versions."""
 
+from .base import Source, SourceResult
+from .document import DocumentSource
+from .graph import GraphSource
+from .memory import MemorySource
+from .skill import SkillSource, SkillSpec
+from .table import TableSource
+
+__all__ = ["DocumentSource", "GraphSource", "MemorySource", "SkillSource", "SkillSpec", "Source", "SourceResult", "TableSource"]
