@@ -22,8 +22,8 @@ from .common import LOWER, Words, components, cut, id_filter, may_hold, slices,
 
 #: Size of the heavy-hitter table. It only shapes the order of n-grams, so it changes cost, never results.
 HEAVY = 1 << 18
-#: N-grams a task holds before it condenses them into its summary.
-SUMMARY = 4_000_000
+#: N-grams a task holds before it condenses them into its summary, and how many it keeps.
+SUMMARY, KEPT = 4_000_000, 1 << 17
 #: Sets of one prefix tree, and size of a family from which its members are compared in blocks instead of pair by pair.
 TREE, FAMILY = 128, 32
 
@@ -52,20 +52,22 @@ class Order:
 def heavy_hitters(texts: DataFrame, k: int) -> list[tuple[int, int]]:
     """(hash, documents) of n-grams that very many documents hold: at most HEAVY of them.
 
-    Each task condenses its documents into a summary of at most HEAVY n-grams
-    that it met more than once; the sums of these summaries decide. All
-    documents are read; what reaches the driver is bounded.
+    Each task condenses its documents into a summary: its most frequent n-grams,
+    and of those met once the ones of the smallest hashes, which other tasks
+    keep as well. The sums of these summaries decide. All documents are read;
+    what reaches the driver is bounded.
     """
 
     def condense(have: np.ndarray, count: np.ndarray, new: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        u, c = np.unique(np.concatenate(new), return_counts=True)
-        u, c = u[c > 1], c[c > 1]
-        h = np.concatenate([have, u])
-        u, back = np.unique(h, return_inverse=True)
-        c = np.bincount(back, np.concatenate([count, c]), len(u)).astype(np.int64)
-        if len(u) > HEAVY:
-            top = np.argpartition(c, -HEAVY)[-HEAVY:]
-            u, c = u[top], c[top]
+        u, back = np.unique(np.concatenate([have, *new]), return_inverse=True)
+        c = np.bincount(back, np.concatenate([count, np.ones(len(back) - len(count), np.int64)])).astype(np.int64)
+        if len(u) > KEPT:
+            most = np.flatnonzero(c > 1)
+            if len(most) > KEPT:
+                keep = most[np.argpartition(c[most], -KEPT)[-KEPT:]]
+            else:
+                keep = np.concatenate([most, np.flatnonzero(c == 1)[: KEPT - len(most)]])
+            u, c = u[keep], c[keep]
         return u, c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,10 +82,9 @@ def heavy_hitters(texts: DataFrame, k: int) -> list[tuple[int, int]]:
                     new, n = [], 0
         if new:
             have, count = condense(have, count, new)
-        big = count >= 4
-        yield pa.RecordBatch.from_arrays([pa.array(have[big].view(np.int64)), pa.array(count[big])], names=["h", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(have.view(np.int64)), pa.array(count)], names=["h", "c"])
 
-    found = texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(HEAVY)
+    found = texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 3").orderBy(F.desc("c"), "h").limit(HEAVY)
     return [(r[0], r[1]) for r in found.collect()]
 
 
@@ -269,7 +270,7 @@ def ngram_classes(documents: DataFrame, n_gram: int = 4, percent: int = 85, id_c
     The member of a bucket that shares most n-grams with others is compared with
     the rest first, in linear work, which settles groups of copies. Then members
     of a bucket that aren't in one component yet are compared: those of one large
-    family (what shares most with the same text) in blocks, all others in pairs
+    family (joined by an eighth of the prefix, shared with a bucket's first) in blocks, all others in pairs
     that pass the size and overlap bounds. Nothing is capped or left out.
     """
     t, k = percent, n_gram
@@ -307,13 +308,13 @@ def ngram_classes(documents: DataFrame, n_gram: int = 4, percent: int = 85, id_c
     first = components(cut(_verify(texts, tried, order, k, t)))
 
     # what is left: members of a bucket that aren't in one component yet
-    family = star.groupBy("rep", "pivot").agg(F.count("*").alias("s")).groupBy("rep").agg(F.max_by("pivot", F.struct("s", "pivot")).alias("fam"))
-    heads = family.select(F.col("fam").alias("rep"), F.lit(1).alias("head")).distinct()
+    kin = star.groupBy("rep", "pivot", "n").agg(F.count("*").alias("s")).where(F.col("s") * 8 >= F.col("n") - F.ceil(F.lit(t) * F.col("n") / 100) + 1)
+    family = components(kin.select(F.col("rep").alias("a"), F.col("pivot").alias("b"))).withColumnRenamed("component", "fam")
     place = cut(
-        family.join(heads, "rep", "full")
-        .select("rep", F.when(F.col("head").isNotNull(), F.col("rep")).otherwise(F.col("fam")).alias("fam"))
+        centre.select("rep")
+        .join(family.withColumnRenamed("id", "rep"), "rep", "left")
         .join(first.select(F.col("id").alias("rep"), "component"), "rep", "left")
-        .select("rep", "fam", F.coalesce("component", "rep").alias("comp"))
+        .select("rep", F.coalesce("fam", "rep").alias("fam"), F.coalesce("component", "rep").alias("comp"))
     )
     size = place.groupBy("fam").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("fam", "m")
     side = shared.select("h", "rep", "n", "pos").join(place.join(size, "fam", "left"), "rep").repartition("h")
