@@ -32,9 +32,13 @@ class ProductCode:
     def __init__(self, dim: int, blocks: int = BLOCKS, words: int = WORDS, depth: float = DEPTH, seed: int = SEED):
         rng = np.random.default_rng(seed)
         self.size = max(blocks, 1 << (dim - 1).bit_length())
+        # few dimensions need few directions: on a line there are two
+        words = 2 if self.size == blocks else min(words, 12 * self.size // blocks)
         self.blocks, self.words, self.depth = blocks, words, depth
         self.signs = [rng.choice([-1.0, 1.0], self.size) for _ in range(3)]
         code = rng.standard_normal((blocks, words, self.size // blocks))
+        if self.size == blocks:
+            code[:] = np.array([1.0, -1.0])[:, None]
         self.code = code / np.linalg.norm(code, axis=2, keepdims=True)
 
     def rotate(self, x: np.ndarray) -> np.ndarray:

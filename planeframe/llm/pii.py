@@ -31,7 +31,7 @@ BASE = {
 #: High-recall generators of each kind, beyond the base: obfuscated addresses, dotted quads in other
 #: dress, grouped digits of card length, telephone numbers without a country code.
 WIDE = {
-    "email": (r"(?i)[a-z0-9] ?[(\[{]? ?\bat\b ?[)\]}]? ?[a-z0-9]", r"(?i)([a-z0-9._%+-]{1,64}(?: ?[(\[{] ?at ?[)\]}] ?| at )[a-z0-9-]{1,63}(?:(?: ?[(\[{] ?dot ?[)\]}] ?| dot |\.)[a-z0-9-]{1,63}){1,4})|(\x03)"),
+    "email": (r"(?i)[a-z0-9] ?[(\[{]? ?\bat\b ?[)\]}]? ?[a-z0-9]", r"(?i)([a-z0-9._%+-]{1,64}(?: ?[(\[{] ?at ?[)\]}] ?[a-z0-9-]{1,63}(?:(?: ?[(\[{] ?dot ?[)\]}] ?| dot |\.)[a-z0-9-]{1,63}){1,4}| at [a-z0-9-]{1,63}(?: dot [a-z0-9-]{1,63}){1,4}))|(\x03)"),
     "ip": (r"(?i)[0-9](?:\[\.\]|\(\.\)|\[dot\])[0-9]", r"(?i)([0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\]|\.)[0-9]{1,3}){3})|(\x03)"),
     "card": (r"[0-9]{4}[._/][0-9]{4}[._/][0-9]{4}", r"([0-9]{4}(?:[._/][0-9]{2,6}){2,4})|(\x03)"),
     "phone": (r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}", r"((?:\([0-9]{3}\)|[0-9]{3})[\x20.-][0-9]{3}[\x20.-][0-9]{4})|(\x03)"),
@@ -194,7 +194,7 @@ def thresholds(trees: list, held_out: list[tuple[int, int, int]], precision: flo
         for k, (s, y, n) in enumerate(own):
             good, all_ = good + y, all_ + y + n
             if (k + 1 == len(own) or own[k + 1][0] < s) and good >= precision * all_ and s > 0:
-                out[kind] = s
+                out[kind] = s - 1e-9  # the sum may be added up in another way where it is applied
     return out
 
 

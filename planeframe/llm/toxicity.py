@@ -153,12 +153,16 @@ def spelled(words: Words) -> Iterator[tuple[int, bytes]]:
 
 def bags(texts: list[str]) -> list[list[bytes]]:
     """The distinct words of each text, trimmed and lower-cased."""
-    words = Words(pa.array(texts, pa.string()), LOWER)
-    start, end = trim(words)
-    raw = words.data.tobytes()
-    out = [sorted({raw[a:b] for a, b in zip(start[i:j].tolist(), end[i:j].tolist(), strict=True)}) for i, j in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
-    for d, s in spelled(words):
-        out[d].append(s)
+    one: dict[bytes, bytes] = {}  # equal words are one object
+    out: list[list[bytes]] = []
+    for part in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"]), 0) if texts else ():
+        words = Words(part.column(0), LOWER)
+        start, end = trim(words)
+        raw = words.data.tobytes()
+        own = [sorted({one.setdefault(x := raw[a:b], x) for a, b in zip(start[i:j].tolist(), end[i:j].tolist(), strict=True)}) for i, j in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
+        for d, s in spelled(words):
+            own[d].append(s)
+        out += own
     return out
 
 
@@ -178,7 +182,7 @@ def _dense(strings: list[bytes]) -> np.ndarray:
 def _kernel(strings: list[bytes], marks: np.ndarray) -> np.ndarray:
     """Kernel values of strings (rows) with landmarks (columns)."""
     data, end = np.frombuffer(b"".join(strings), np.uint8), np.cumsum(list(map(len, strings)))
-    out, norm, by = np.zeros((len(strings), len(marks)), np.float32), np.full(len(strings), 1e-9), np.ascontiguousarray(marks.T)
+    out, norm, by = np.zeros((len(strings), len(marks)), np.float32), np.full(len(strings), 1e-9), marks.T
 
     def use(r: np.ndarray, at: np.ndarray, w: float) -> None:
         out[r] += np.float32(w) * by[at]
