@@ -60,6 +60,35 @@ class TraceLog:
         return list(self.events[trace_id])
 
 
+class ResolutionLog:
+    """Attempts of resolutions: numbered from 0, each ended before the next begins, none open at the end."""
+
+    def __init__(self, path: str | None = None):
+        self.path, self.lock = path, threading.Lock()
+        self.events: dict[str, list[dict]] = {}
+
+    def add(self, request_id: str, event: str, attempt: int | None = None, **data: Any) -> None:
+        with self.lock:
+            have = self.events.setdefault(request_id, [])
+            opened = [e["attempt"] for e in have if e["event"] == "attempt_started"]
+            ended = [e["attempt"] for e in have if e["event"] in ("attempt_completed", "attempt_failed")]
+            over = any(e["event"] in ("resolution_completed", "resolution_failed") for e in have)
+            ok = {
+                "resolution_started": not have,
+                "attempt_started": bool(have) and not over and attempt == len(opened) == len(ended),
+                "attempt_completed": attempt is not None and attempt == len(opened) - 1 == len(ended),
+                "attempt_failed": attempt is not None and attempt == len(opened) - 1 == len(ended),
+                "resolution_completed": bool(have) and not over and len(opened) == len(ended) > 0,
+                "resolution_failed": bool(have) and not over and len(opened) == len(ended),
+            }.get(event, False)
+            if not ok:
+                raise TraceError(f"{event} can't follow here")
+            e = {"request_id": request_id, "sequence": len(have), "event": event, "attempt": attempt, "at": now().isoformat(), **encode(data)}
+            have.append(e)
+            if self.path:
+                _append(self.path, e)
+
+
 def _append(path: str, record: Mapping) -> None:
     with open(path, "a", encoding="utf-8") as f:
         f.write(json.dumps(record, sort_keys=True, ensure_ascii=False) + "\n")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import operators
-from .audit import Outcome, OutcomeLog, ResultStore, TraceLog, frame_fingerprint
+from .audit import Outcome, OutcomeLog, ResolutionLog, ResultStore, TraceLog, frame_fingerprint
 from .errors import (
     ArtifactIntegrityError,
     BudgetExceeded,
@@ -137,8 +137,9 @@ class Resolution:
 class Engine:
     """Runs plans over a catalog. Sources' frames stay lazy, so Catalyst sees a plan's dataflow as one tree."""
 
-    def __init__(self, spark: SparkSession, catalog: Catalog, traces: TraceLog | None = None, results: ResultStore | None = None, compiler: Any = None, outcomes: OutcomeLog | None = None):
+    def __init__(self, spark: SparkSession, catalog: Catalog, traces: TraceLog | None = None, results: ResultStore | None = None, compiler: Any = None, outcomes: OutcomeLog | None = None, resolutions: ResolutionLog | None = None):
         self.spark, self.catalog, self.traces, self.results, self.compiler, self.outcomes = spark, catalog, traces, results, compiler, outcomes
+        self.resolutions = resolutions
         self.synced: dict[str, tuple[str, SyncReceipt]] = {}
         self.plans: dict[str, tuple[Plan, str, dict[str, str], str]] = {}
 
@@ -369,19 +370,31 @@ class Engine:
         view = self._planning_view(context)
         attempts: list[Attempt] = []
         calls, failure = 0, None
+        log = lambda event, n=None, **d: self.resolutions and self.resolutions.add(context.trace_id, event, n, **d)
+        log("resolution_started", text=digest(text))
         for n in range(2):
-            plan, used = self.compiler.compile(text, view, context, failure)
+            try:
+                plan, used = self.compiler.compile(text, view, context, failure)
+            except Exception as e:
+                log("resolution_failed", error=type(e).__name__)
+                raise
             calls += used
+            log("attempt_started", n, plan=digest(plan_to_json(plan)))
             try:
                 env = self.execute(plan, replace(context, trace_id=f"{context.trace_id}:{n}"))
-                attempts.append(Attempt(plan, env, None))
-                return Resolution(text, tuple(attempts), calls)
             except Exception as e:
                 attempts.append(Attempt(plan, None, failure_kind(e)))
+                log("attempt_failed", n, error=failure_kind(e))
                 reads = all(o.effect.level <= EffectLevel.READ for o in plan.operations)
                 if failure_kind(e) != "source" or not reads or n:
+                    log("resolution_failed", error=type(e).__name__)
                     raise
                 failure = "source"
+                continue
+            attempts.append(Attempt(plan, env, None))
+            log("attempt_completed", n)
+            log("resolution_completed")
+            return Resolution(text, tuple(attempts), calls)
         raise AssertionError
 
     def _planning_view(self, context: Context) -> dict[str, dict]:

@@ -6,7 +6,7 @@ from decimal import Decimal
 
 import pytest
 
-from planeframe.audit import Assertion, Outcome, OutcomeLog, ResultStore, TraceLog
+from planeframe.audit import Assertion, Outcome, OutcomeLog, ResolutionLog, ResultStore, TraceLog
 from planeframe.compiler import Compiler, ScriptedModel
 from planeframe.engine import Catalog, Engine
 from planeframe.errors import (
@@ -22,6 +22,7 @@ from planeframe.errors import (
     SerializationError,
     SourceExecutionError,
     TraceConflictError,
+    TraceError,
     UnsupportedPlanningError,
 )
 from planeframe.model import Budget, Context, EffectLevel, EffectSpec, ScopeRef, SourceRef, Usage
@@ -179,10 +180,14 @@ def test_resolve_replans_once(spark, sources, tmp_path):
     wrong = {"operations": [{"type": "search", "op_id": "a", "source": "nowhere", "query": "q"}], "output": "a"}
     log = TraceLog()
     model = ScriptedModel([wrong, draft("one"), draft("two")])
-    engine = Engine(spark, Catalog(Failing(sources[0]), sources[1]), log, compiler=Compiler(model))
+    said = ResolutionLog(str(tmp_path / "r.jsonl"))
+    engine = Engine(spark, Catalog(Failing(sources[0]), sources[1]), log, compiler=Compiler(model), resolutions=said)
     got = engine.resolve("find keys", Context(trace_id="r"))
     assert [a.error for a in got.attempts] == ["source", None]
     assert got.calls == 3
+    assert [(e["event"], e["attempt"]) for e in said.events["r"]][1:-1] == [("attempt_started", 0), ("attempt_failed", 0), ("attempt_started", 1), ("attempt_completed", 1)]
+    with pytest.raises(TraceError):
+        said.add("r", "attempt_started", 2)
     assert model.requests[1]["problems"]
     assert model.requests[2]["failure"] == "source"
     assert log.get("r:0")[-1]["event"] == "plan_failed"
