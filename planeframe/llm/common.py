@@ -206,8 +206,8 @@ def id_filter(ids: DataFrame) -> tuple[np.ndarray, int]:
             yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int64)), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bits"])
 
     out = np.zeros(1 << (bits - 6), np.int64)
-    for r in ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).collect():
-        out[r[0]] = r[1]
+    got = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
     return out.view(np.uint64), bits
 
 

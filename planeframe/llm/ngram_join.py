@@ -34,9 +34,8 @@ _TOP = np.int64(1) << np.int64(62)
 class Order:
     """The global order: hash -> key; heavy n-grams come after all others."""
 
-    def __init__(self, heavy: list[tuple[int, int]]):
-        by = sorted((c, h) for h, c in heavy)
-        hashes = np.array([h for _, h in by], np.int64).view(np.uint64)
+    def __init__(self, heavy: np.ndarray, count: np.ndarray):
+        hashes = heavy[np.lexsort((heavy, count))].view(np.uint64)
         at = np.argsort(hashes)
         self.hashes, self.rank = hashes[at], at.astype(np.int64)
 
@@ -49,8 +48,8 @@ class Order:
         return np.where(self.hashes[at] == h, _TOP + self.rank[at], key)
 
 
-def heavy_hitters(texts: DataFrame, k: int) -> list[tuple[int, int]]:
-    """(hash, documents) of n-grams that very many documents hold: at most HEAVY of them.
+def heavy_hitters(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, documents) of n-grams that very many documents hold: at most HEAVY of them.
 
     Each task condenses its documents into a summary: its most frequent n-grams,
     and of those met once the ones of the smallest hashes, which other tasks
@@ -85,7 +84,8 @@ def heavy_hitters(texts: DataFrame, k: int) -> list[tuple[int, int]]:
         yield pa.RecordBatch.from_arrays([pa.array(have.view(np.int64)), pa.array(count)], names=["h", "c"])
 
     found = texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 3").orderBy(F.desc("c"), "h").limit(HEAVY)
-    return [(r[0], r[1]) for r in found.collect()]
+    got = found.toArrow()
+    return got.column(0).to_numpy(), got.column(1).to_numpy()
 
 
 def _needed(n: np.ndarray | int, m: np.ndarray | int, t: int) -> np.ndarray | int:
@@ -275,7 +275,7 @@ def ngram_classes(documents: DataFrame, n_gram: int = 4, percent: int = 85, id_c
     """
     t, k = percent, n_gram
     texts = documents.select(documents[id_col].cast("long").alias("doc_id"), documents[text_col].cast("string").alias("text"))
-    order = Order(heavy_hitters(texts, k))
+    order = Order(*heavy_hitters(texts, k))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

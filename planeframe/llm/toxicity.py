@@ -345,9 +345,19 @@ def train(documents: DataFrame, labels: DataFrame) -> Scorer:
     # texts beyond LONGEST drop out, so some more ids are taken; the rows are cut to the bound afterwards
     ids = usable.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TOXIC_ROWS).unionByName(usable.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CLEAN_ROWS))
     text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text").between(1, LONGEST))
-    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in text.join(F.broadcast(ids), "doc_id").limit(2 * (TOXIC_ROWS + CLEAN_ROWS)).collect())
-    taken = max(1, sum(r[2] == 0 for r in rows)) / max(1, sum(r[2] == 1 for r in rows))
-    return fit([(t, y) for _, t, y in rows], clean_odds=max(1.0, count.get(0, 0) / max(1, count.get(1, 0)) / taken))
+    sample = text.join(F.broadcast(ids), "doc_id").limit(2 * (TOXIC_ROWS + CLEAN_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        taken = max(1, sum(r[2] == 0 for r in rows)) / max(1, sum(r[2] == 1 for r in rows))
+        s = fit([(t, y) for _, t, y in rows], clean_odds=max(1.0, count.get(0, 0) / max(1, count.get(1, 0)) / taken))
+        yield pa.RecordBatch.from_arrays([pa.array([s.table.tobytes()], pa.binary()), *(pa.array([float(x)]) for x in (s.bias, s.slope, s.shift))], names=["t", "bias", "slope", "shift"])
+
+    # the bounded sample is fitted in one task, so the driver gets the machine alone
+    got = sample.select("doc_id", "text", "toxic").repartition(1).mapInArrow(run, "t binary, bias double, slope double, shift double").collect()
+    if not got:
+        return fit([])
+    return Scorer(np.frombuffer(got[0][0], np.float32), *got[0][1:])
 
 
 def toxicity(documents: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
