@@ -309,6 +309,7 @@ def ngram_classes(documents: DataFrame, n_gram: int = 4, percent: int = 85, id_c
 
     # what is left: members of a bucket that aren't in one component yet
     kin = star.groupBy("rep", "pivot", "n").agg(F.count("*").alias("s")).where(F.col("s") * 8 >= F.col("n") - F.ceil(F.lit(t) * F.col("n") / 100) + 1)
+    kin = kin.groupBy("rep").agg(F.max_by("pivot", F.struct("s", "pivot")).alias("pivot"))
     family = components(kin.select(F.col("rep").alias("a"), F.col("pivot").alias("b"))).withColumnRenamed("component", "fam")
     place = cut(
         centre.select("rep")
