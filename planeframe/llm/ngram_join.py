@@ -23,7 +23,7 @@ from .common import LOWER, Words, components, cut, id_filter, may_hold, slices,
 #: Size of the heavy-hitter table. It only shapes the order of n-grams, so it changes cost, never results.
 HEAVY = 1 << 18
 #: N-grams a task holds before it condenses them into its summary, and how many it keeps.
-SUMMARY, KEPT = 4_000_000, 1 << 17
+SUMMARY, KEPT = 1_000_000, 1 << 17
 #: Sets of one prefix tree, and size of a family from which its members are compared in blocks instead of pair by pair.
 TREE, FAMILY = 128, 32
 
