@@ -77,6 +77,34 @@ def _frequencies(texts: DataFrame, templates: Templates) -> tuple[int, np.ndarra
     return int(got.get(n, 0)), np.array([got.get(i, 0) for i in range(n)], float)
 
 
+def _windows(w: Words, line: np.ndarray, code: np.ndarray, unit: np.ndarray, idf: np.ndarray, rare: float, cosine: float) -> Iterator[tuple[int, int, int]]:
+    """(first word, end, place of the first line in its text) of the one, two or three lines that may reach the cosine.
+
+    A bound decides, never how common a term is: the products with the templates
+    add up over lines, and a vector's square is at least the sum of its lines'
+    squares, in which a word that no template has counts once for each place.
+    """
+    if not len(line):
+        return
+    _, first, row = np.unique(line, return_index=True, return_inverse=True)
+    n, size = len(first), len(idf)
+    end = np.append(first[1:], len(line))
+    text = np.searchsorted(w.first, first, "right") - 1
+    place = np.arange(n) - np.searchsorted(text, text)
+    inner = code >= 0
+    cell, times = np.unique(row[inner] * size + code[inner], return_counts=True)
+    at, term = cell // size, cell % size
+    value = times * idf[term]
+    products = np.stack([np.bincount(at, value * u[term], n) for u in unit])
+    square = np.bincount(at, value**2, n) + np.bincount(row[~inner], minlength=n) * rare**2
+    for more in range(min(3, n)):
+        k = n - more
+        dot, least = sum(products[:, i : i + k] for i in range(more + 1)), sum(square[i : i + k] for i in range(more + 1))
+        may = (text[:k] == text[more:]) & (dot.max(axis=0) >= (cosine - 1e-9) * np.sqrt(least))
+        for i in np.flatnonzero(may).tolist():
+            yield int(first[i]), int(end[i + more]), int(place[i])
+
+
 def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, cosine: float = COSINE, head_lines: int = HEAD_LINES) -> DataFrame:
     """(doc_id, path, own_license, own_cosine, license, inherited_from) of each file.
 
@@ -110,32 +138,21 @@ def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_co
                 best, name, head = np.zeros(len(w)), np.full(len(w), -1), np.zeros(len(w), bool)
                 breaks = np.flatnonzero(w.data == 10)
                 code = known.codes(w.hash)
-                # only lines with at least two of the templates' terms, one of them in few texts, can match
                 line = np.searchsorted(breaks, w.start) + np.repeat(np.arange(len(w)), np.diff(w.first))  # a text's begin is a break, too
-                telling = (code >= 0) & (np.append(df, np.inf)[code] <= max(2.0, 0.2 * total))
-                lines, first = np.unique(line[telling], return_index=True)
-                places = np.flatnonzero(telling)[first]
-                for at, where in zip(lines.tolist(), places.tolist(), strict=True):
-                    d = int(np.searchsorted(w.first, where, "right")) - 1
-                    a, b = int(w.first[d]), int(w.first[d + 1])
-                    own = line[a:b]
-                    ids = np.unique(own)
-                    k = int(np.searchsorted(ids, at))
-                    for lo in range(max(0, k - 2), k + 1):
-                        for hi in range(k, min(len(ids), lo + 3)):
-                            x, y = a + int(np.searchsorted(own, ids[lo])), a + int(np.searchsorted(own, ids[hi], "right"))
-                            if y - x > 60:
-                                continue
-                            c = code[x:y]
-                            inside = np.bincount(c[c >= 0], minlength=len(idf)) * idf
-                            _, other = np.unique(w.hash[x:y][c < 0], return_counts=True)
-                            norm = np.sqrt((inside**2).sum() + ((other * rare) ** 2).sum())
-                            cos = unit @ inside / norm
-                            j = int(np.argmax(cos))
-                            if cos[j] > best[d] + 1e-12:
-                                best[d], name[d] = cos[j], j
-                            if cos[j] >= cosine and lo < head_lines:
-                                head[d] = True
+                for x, y, lo in _windows(w, line, code, unit, idf, rare, cosine):
+                    if y - x > 60:
+                        continue
+                    d = int(np.searchsorted(w.first, x, "right")) - 1
+                    c = code[x:y]
+                    inside = np.bincount(c[c >= 0], minlength=len(idf)) * idf
+                    _, other = np.unique(w.hash[x:y][c < 0], return_counts=True)
+                    norm = np.sqrt((inside**2).sum() + ((other * rare) ** 2).sum())
+                    cos = unit @ inside / norm
+                    j = int(np.argmax(cos))
+                    if cos[j] > best[d] + 1e-12 or (cos[j] > best[d] - 1e-12 and j < name[d]):
+                        best[d], name[d] = cos[j], j
+                    if cos[j] >= cosine and lo < head_lines:
+                        head[d] = True
                 ok = best >= cosine
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array([known.names[j] if o else None for j, o in zip(name, ok, strict=True)], pa.string()), pa.array(np.where(ok, np.round(best, 6), np.nan), mask=~ok), pa.array(head & ok)],

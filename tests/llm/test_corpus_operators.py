@@ -94,6 +94,15 @@ def test_licenses(spark):
     assert licenses.license_scan(empty(spark).withColumn("p", F.lit("x/y")), F.col("p")).count() == 0
 
 
+def test_license_that_most_files_carry(spark):
+    """How common a notice is doesn't matter."""
+    notice = "Released under the MIT License."
+    df = spark.createDataFrame([(i, f"some text {i}\n{notice}" if i % 4 else f"other words {i}", f"d{i}/f") for i in range(40)], "doc_id long, text string, path string")
+    for table in (df, df.where("doc_id IN (1, 2, 3)")):
+        got = {r["doc_id"]: (r["own_license"], r["own_cosine"]) for r in licenses.license_scan(table, F.col("path")).collect()}
+        assert all(v == (("MIT", 1.0) if k % 4 else (None, None)) for k, v in got.items())
+
+
 def test_license_cosine_matches_definition(spark):
     """The cosine of a line, computed from the definition with counts over all files."""
     texts = ["Licensed under CC BY 4.0.", "licensed work", "under the hood 4", "nothing", "Licensed under the CC BY 4.0"]
