@@ -189,6 +189,19 @@ def join_multi_key(spark, sf_dir):
     return join_rows(a, b, ["user_id", "event_type"], ["user_id", "event_type"], "a", "b", ordered=False).rows.select(col("a.event_id").alias("a"), col("b.event_id").alias("b"))
 
 
+@query(
+    "SELECT l.l_orderkey, l_linenumber, l.l_suppkey, lines, quantity FROM lineitem l"
+    " JOIN (SELECT l_orderkey, l_suppkey, count(*) AS lines, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY l_orderkey, l_suppkey) t ON l.l_orderkey = t.l_orderkey AND l.l_suppkey = t.l_suppkey"
+)
+def join_multi_key_whole(spark, sf_dir):
+    """Every line with what its supplier delivers of its order: both tables whole, one row for each line."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    sums = lines.groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("lines"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    a = rows_of(lines, "l_orderkey", "l_orderkey", "l_linenumber", "l_suppkey")
+    j = join_rows(a, rows_of(sums, "l_orderkey"), ["l_orderkey", "l_suppkey"], ["l_orderkey", "l_suppkey"], "l", "t", ordered=False)
+    return j.rows.select(*[col(n).alias(n.split(".")[1]) for n in ("l.l_orderkey", "l.l_linenumber", "l.l_suppkey", "t.lines", "t.quantity")])
+
+
 @query("SELECT c.c_custkey AS c, s.s_suppkey AS s FROM (SELECT *, nullif(c_nationkey, 3) AS k FROM customer) c JOIN (SELECT *, nullif(s_nationkey, 3) AS k FROM supplier) s ON c.k = s.k")
 def join_null_keys(spark, sf_dir):
     c = rows_of(table(spark, sf_dir, "customer").select("c_custkey", F.expr("nullif(c_nationkey, 3)").alias("k")), "c_custkey")

@@ -40,6 +40,14 @@ def test_query(spark, duck, name):
     assert got == want
 
 
+def test_multi_key_join_of_whole_tables(spark):
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet")
+    got = queries.QUERIES["join_multi_key_whole"](spark, DATA)
+    key = ["l_orderkey", "l_linenumber", "l_suppkey"]
+    assert got.count() == lines.count()
+    assert lines.select(key).exceptAll(got.select(key)).count() == 0
+
+
 def test_nothing_imports_the_corpus_operators():
     root = Path(queries.__file__).parent
     for f in root.rglob("*.py"):
