@@ -124,7 +124,7 @@ class Traverse(Operation):
     relations: tuple[str, ...] = ()
     min_hops: int = 1
     max_hops: int = 2
-    limit: int = 100
+    limit: int | None = 100
     simple_paths: bool = True
     name, output, source_kind, accepts, arity = "traverse", ResultKind.GRAPH_PATHS, SourceKind.GRAPH, BOUND, (0, 1)
 
@@ -133,7 +133,8 @@ class Traverse(Operation):
             raise KernelValidationError("a traversal has starts or a binding for them")
         if self.direction not in ("out", "in", "both") or not 1 <= self.min_hops <= self.max_hops or not self.simple_paths:
             raise KernelValidationError("directions are out, in, both; 1 <= min_hops <= max_hops; paths are simple")
-        _positive(limit=self.limit)
+        if self.limit is not None:
+            _positive(limit=self.limit)
 
     @property
     def refs(self):

@@ -222,13 +222,14 @@ def doc_label_join(spark, sf_dir):
     return join_rows(d, lab, ["doc_id"], ["doc_id"], "d", "l", ordered=False).rows.select(col("d.doc_id").alias("doc_id"), col("d.lang").alias("lang"), col("l.quality").alias("quality"), col("l.toxic").alias("toxic"))
 
 
-def _ranked(spark, sf_dir, *order: Column, limit: int = 500) -> DataFrame:
-    o = table(spark, sf_dir, "orders").orderBy(*order).limit(limit).withColumn(ORDER, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
+def _ranked(spark, sf_dir, *order: Column, limit: int | None = 500) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    o = (o if limit is None else o.orderBy(*order).limit(limit)).withColumn(ORDER, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
     return evidence_frame(o, "op", "table", "warehouse", "v1", F.col("o_orderkey").cast("string"), F.col("o_orderstatus"))
 
 
-def _rrf(orders: list[str]) -> str:
-    parts = " UNION ALL ".join(f"SELECT {i} AS b, o_orderkey AS k, rk FROM (SELECT o_orderkey, row_number() OVER (ORDER BY {o}) AS rk FROM orders) WHERE rk <= 500" for i, o in enumerate(orders))
+def _rrf(orders: list[str], where: str = " WHERE rk <= 500") -> str:
+    parts = " UNION ALL ".join(f"SELECT {i} AS b, o_orderkey AS k, rk FROM (SELECT o_orderkey, row_number() OVER (ORDER BY {o}) AS rk FROM orders){where}" for i, o in enumerate(orders))
     return f"SELECT k::VARCHAR AS locator, round(sum(1.0::DOUBLE / (60 + rk)), 12) AS score FROM ({parts}) GROUP BY k ORDER BY sum(1.0::DOUBLE / (60 + rk)) DESC, min(b * 1000 + rk) LIMIT 20"
 
 
@@ -250,6 +251,27 @@ def compose_union(spark, sf_dir):
     return compose_evidence(inputs).select("locator")
 
 
+def _whole(spark, sf_dir, *orders: tuple[Column, ...]) -> list[DataFrame]:
+    """Rankings of all orders; each numbering is one task's window."""
+    return [_ranked(spark, sf_dir, *o, limit=None) for o in orders]
+
+
+@query(_rrf(["o_totalprice DESC, o_orderkey", "o_orderdate DESC, o_orderkey"], ""))
+def fuse_rrf_two_whole(spark, sf_dir):
+    return fuse(_whole(spark, sf_dir, (F.desc("o_totalprice"), F.col("o_orderkey")), (F.desc("o_orderdate"), F.col("o_orderkey")))).select("locator", "score")
+
+
+@query(_rrf(["o_totalprice DESC, o_orderkey", "o_orderdate DESC, o_orderkey", "o_orderkey"], ""))
+def fuse_rrf_three_whole(spark, sf_dir):
+    return fuse(_whole(spark, sf_dir, (F.desc("o_totalprice"), F.col("o_orderkey")), (F.desc("o_orderdate"), F.col("o_orderkey")), (F.col("o_orderkey"),))).select("locator", "score")
+
+
+@query("SELECT o_orderkey::VARCHAR AS locator FROM orders")
+def compose_union_whole(spark, sf_dir):
+    inputs = _whole(spark, sf_dir, (F.desc("o_totalprice"), F.col("o_orderkey")), (F.col("o_totalprice"), F.col("o_orderkey")), (F.col("o_orderkey"),))
+    return compose_evidence(inputs).select("locator")
+
+
 # --- graph
 
 
@@ -491,7 +513,7 @@ def evidence_locator_hash(spark, sf_dir):
 )
 def plan_search_query_join(spark, sf_dir):
     """Documents that match a text, joined with a filtered table, as one plan."""
-    kb, wh = DocumentSource("kb", documents(spark, sf_dir), "v1"), TableSource(spark, "warehouse", {"labels": f"{sf_dir}/labels.parquet"}, row_limit=1_000_000)
+    kb, wh = DocumentSource("kb", documents(spark, sf_dir), "v1"), TableSource(spark, "warehouse", {"labels": f"{sf_dir}/labels.parquet"}, row_limit=None)
     plan = Plan(
         (
             Search(op_id="s", source=kb.ref, query="the and of", limit=50),
@@ -517,7 +539,7 @@ def plan_bound_traversal(spark, sf_dir):
     plan = Plan(
         (
             Query(op_id="q", source=wh.ref, statement="SELECT concat('n', n_nationkey) AS id FROM nation WHERE n_nationkey = :k", parameters={"k": 3}),
-            Traverse(op_id="t", source=g.ref, start_binding=Binding(Ref("q"), "id"), direction="in", max_hops=1, limit=100_000),
+            Traverse(op_id="t", source=g.ref, start_binding=Binding(Ref("q"), "id"), direction="in", max_hops=1, limit=None),
         ),
         Ref("t"),
     )

@@ -82,7 +82,7 @@ class GraphSource(Source):
             starts = spark.createDataFrame([(s,) for s in sorted(set(op.starts))], "start_id string")
         known = starts.join(self.vertices.select(F.col("node_id").cast("string").alias("_n")), F.col("start_id") == F.col("_n"), "left_semi")
         found = paths(known, self.edges, op.direction, op.relations, op.min_hops, op.max_hops, op.limit)
-        first = found.orderBy("hops", "start_id", "_bfs").limit(op.limit)
+        first = found if op.limit is None else found.orderBy("hops", "start_id", "_bfs").limit(op.limit)
         ordered = with_order(first, F.col("hops"), F.col("node_path"), F.col("edge_path"))
         shape = F.to_json(F.struct(F.col("edge_path").alias("edges"), F.col("node_path").alias("nodes")))
         locator = F.concat(F.lit(f"graph://{self.ref.source_id}/path/"), F.sha2(shape, 256))
@@ -90,6 +90,8 @@ class GraphSource(Source):
         rows = ordered.select(*FIELDS, ORDER, F.array(evidence_id(op.op_id, locator, F.lit(snap.version))).alias(IDS))
 
         def truncated() -> str | None:
+            if op.limit is None:
+                return None
             return f"more than {op.limit} paths" if found.count() > op.limit else None
 
         def missing() -> str | None:

@@ -50,11 +50,11 @@ def check_read_only(spark: SparkSession, statement: str, tables) -> None:
 
 
 class TableSource(Source):
-    """Tables by name (frames, or paths of Parquet). A query returns at most ``row_limit`` rows."""
+    """Tables by name (frames, or paths of Parquet). A query returns at most ``row_limit`` rows, all of them if that is None."""
 
     _lock = threading.Lock()
 
-    def __init__(self, spark: SparkSession, source_id: str, tables: Mapping[str, DataFrame | str], row_limit: int = 1000, version: str | None = None):
+    def __init__(self, spark: SparkSession, source_id: str, tables: Mapping[str, DataFrame | str], row_limit: int | None = 1000, version: str | None = None):
         self.spark, self.row_limit = spark, row_limit
         self.tables = {n: spark.read.parquet(t) if isinstance(t, str) else t for n, t in tables.items()}
         self.ref = SourceRef(source_id, SourceKind.TABLE)
@@ -87,9 +87,9 @@ class TableSource(Source):
         whole = self.frame(op.statement, op.parameters)
         names = whole.columns
         quoted = [f"`{n}`" for n in names]
-        some = whole.limit(self.row_limit)
+        first = whole if self.row_limit is None else whole.limit(self.row_limit)
         # without an order of its own a row is known by its content and how many like it came before
-        some = some.withColumn("_seq", F.monotonically_increasing_id())
+        some = first.withColumn("_seq", F.monotonically_increasing_id())
         content = F.to_json(F.struct(*sorted(quoted)), {"ignoreNullFields": "false"})
         rows = some.withColumn("_content", content).withColumn(ORDER, F.row_number().over(Window.orderBy("_seq")).cast("long") - 1)
         rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_content").orderBy(ORDER)) - 1)
@@ -98,9 +98,11 @@ class TableSource(Source):
         bound = rows.select(*quoted, ORDER, F.array(evidence_id(op.op_id, locator, F.lit(snap.version))).alias(IDS))
 
         def truncated() -> str | None:
+            if self.row_limit is None:
+                return None
             return f"more than {self.row_limit} rows; the rest was left out" if whole.limit(self.row_limit + 1).count() > self.row_limit else None
 
-        return SourceResult(whole.limit(self.row_limit), Relation(tuple(names), bound, evidence), snap, partial=(truncated,))
+        return SourceResult(first, Relation(tuple(names), bound, evidence), snap, partial=(truncated,))
 
     @staticmethod
     def deadline_group(spark: SparkSession, seconds: float, name: str):

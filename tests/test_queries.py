@@ -7,8 +7,13 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from planeframe import queries
+from planeframe.engine import Catalog, Engine
+from planeframe.plans import Plan, Query, Ref, Traverse
+from planeframe.plans.codec import plan_from_json, plan_to_json
+from planeframe.sources import GraphSource, TableSource
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
@@ -48,6 +53,31 @@ def test_multi_key_join_of_whole_tables(spark):
     assert lines.select(key).exceptAll(got.select(key)).count() == 0
 
 
+def test_composed_rankings_are_whole(spark):
+    assert queries.QUERIES["compose_union_whole"](spark, DATA).count() == spark.read.parquet(f"{DATA}/orders.parquet").count() > 1000
+
+
+def test_plans_have_no_row_limit_below_them(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries, "TableSource", lambda *a, **k: seen.append(k.get("row_limit", 1000)) or TableSource(*a, **k))
+    monkeypatch.setattr(queries, "Traverse", lambda **k: seen.append(k["limit"]) or Traverse(**k))
+    queries.QUERIES["plan_search_query_join"](spark, DATA)
+    assert seen == [None]
+    queries.QUERIES["plan_bound_traversal"](spark, DATA)
+    assert seen[-1] is None
+
+
+def test_no_limit_gives_every_row(spark):
+    e = spark.createDataFrame([(f"e{i}", f"a{i}", "n", "r") for i in range(150)], "edge_id string, source_id string, target_id string, relation string")
+    ids = e.select(F.col("source_id").alias("node_id")).union(e.select("target_id").distinct())
+    w, g = TableSource(spark, "w", {"t": spark.range(1500).toDF("a")}, row_limit=None), GraphSource("g", ids, e)
+    plan = Plan((Query(op_id="q", source=w.ref, statement="SELECT a FROM t"),), Ref("q"))
+    assert Engine(spark, Catalog(w)).execute(plan).relation.rows.count() == 1500
+    plan = Plan((Traverse(op_id="t", source=g.ref, starts=("n",), direction="in", max_hops=1, limit=None),), Ref("t"))
+    assert plan_from_json(plan_to_json(plan)) == plan
+    assert Engine(spark, Catalog(g)).execute(plan).relation.rows.count() == 150
+
+
 def test_nothing_imports_the_corpus_operators():
     root = Path(queries.__file__).parent
     for f in root.rglob("*.py"):
