@@ -27,10 +27,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of linked n-gram sets."""
-    classes = ngram_join.ngram_classes(docs)
-    heads = classes.where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each group of linked n-gram sets: of the smallest id, of several rows with that id any one, the same in each run.
+
+    Rows are told apart by a fingerprint of all their columns, not by their id:
+    those without an id are grouped by their text as others are, and one of them
+    is kept if no row of its group has an id. Of rows that are equal in all
+    columns one stays, even if their text has no word and so links with nothing.
+    """
+    nulls = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in COLUMNS])
+    rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS, nulls).alias("_row"))
+    classes = ngram_join.ngram_classes(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    heads = classes.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(own).alias("head")).select("head._row")
+    return rows.join(heads, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

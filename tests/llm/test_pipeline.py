@@ -45,6 +45,16 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, DATA).count() == seen[5].count()
 
 
+def test_near_copies_without_ids_or_with_repeated_ids(spark):
+    text = lambda s: " ".join(f"{s}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (5, text("c")), (5, text("c")), (5, text("c") + " more"), (None, text("c")), (7, text("d")), (7, text("e")), (8, text("e")), (9, text("f"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.drop_near_copies(spark, docs, DATA)
+    assert got.columns == docs.columns
+    kept = sorted(((r["doc_id"], r["text"].split()[0]) for r in got.collect()), key=str)
+    assert kept == sorted([(None, "a0"), (None, "b0"), (5, "c0"), (7, "d0"), (7, "e0"), (9, "f0")], key=str)
+
+
 @pytest.mark.parametrize("name", ["op2_quality_rules", "op3_ngram_join", "op8_embedding_dedup"])
 def test_oracles(spark, name):
     import duckdb
