@@ -473,6 +473,30 @@ def test_lm_scores(spark, odd):
     assert lm_scoring.lm_scores(empty(spark)).count() == 0
 
 
+def test_lm_scores_know_the_order_of_words(spark):
+    """A held-out text scores less with its words in another order; every word stands once, so the text's own tokens say nothing."""
+    rnd = random.Random(7)
+    vocab = [f"w{i}" for i in range(300)]
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0]
+    texts = {i: " ".join(vocab[a : a + 40]) for i in range(400) if (a := rnd.randrange(260)) >= 0}
+    mixed = texts[held[0]].split()
+    rnd.shuffle(mixed)
+    texts[held[1]] = " ".join(mixed)
+    score = {r["doc_id"]: r["score"] for r in lm_scoring.lm_scores(docs(spark, list(texts.values()), list(texts))).collect()}
+    assert score[held[0]] > score[held[1]] + 40
+
+
+def test_factors_keep_a_distribution():
+    """Whatever stands before a token, the probabilities of all codes add up to one."""
+    rnd = np.random.default_rng(1)
+    mass = rnd.random(1 << lm_scoring.CODE)
+    f = lm_scoring.Follow([rnd.integers(0, 9, 2 << n).astype(np.float32) for n in lm_scoring.FOLLOW], mass)
+    h = np.arange(len(mass), dtype=np.uint64) << np.uint64(64 - lm_scoring.CODE)
+    factor = f.factor(h, [np.full(len(h), x, np.uint64) for x in (1, 2, 3)])
+    assert factor.std() > 0.1
+    assert (factor * mass).sum() / mass.sum() == pytest.approx(1.0)
+
+
 def test_spelling_is_a_distribution():
     """The probabilities of all bytes at any place of a token add up to one."""
     vocab = [b"ab", b"abc", b"b", "é".encode(), lm_scoring.END, b"x" * 70]
