@@ -30,8 +30,8 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("LicenseRef-Proprietary", "All rights reserved."),
 ]
-#: Least cosine of a match, and lines of a file's head in which a notice makes it a license file of its directory.
-COSINE, HEAD_LINES = 0.75, 1
+#: Least cosine of a match, and lines with words of a file's head, in which the beginning of a notice makes it a license file of its directory.
+COSINE, HEAD_LINES = 0.75, 20
 
 #: Letters in lower case, digits and other bytes as they are; ASCII punctuation separates, the line feed stays a mark of its own.
 _TABLE = np.arange(256, dtype=np.uint8)
@@ -140,8 +140,6 @@ def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_co
                 code = known.codes(w.hash)
                 line = np.searchsorted(breaks, w.start) + np.repeat(np.arange(len(w)), np.diff(w.first))  # a text's begin is a break, too
                 for x, y, lo in _windows(w, line, code, unit, idf, rare, cosine):
-                    if y - x > 60:
-                        continue
                     d = int(np.searchsorted(w.first, x, "right")) - 1
                     c = code[x:y]
                     inside = np.bincount(c[c >= 0], minlength=len(idf)) * idf

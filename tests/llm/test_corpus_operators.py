@@ -121,6 +121,14 @@ def test_license_cosine_matches_definition(spark):
         assert got[i] == pytest.approx(want, abs=1e-6)
 
 
+def test_license_in_long_lines_and_below_a_title(spark):
+    banner = licenses.TEMPLATES[1][1]
+    mit = f"The MIT License\n\nCopyright (c) 2020 Someone\n\n{banner}\n"
+    rows = [(0, " ".join([banner] * 4), "a/x"), (1, mit, "b/LICENSE"), (2, "code", "b/c/y")]
+    got = {r["doc_id"]: (r["own_license"], r["license"], r["inherited_from"]) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string, path string"), F.col("path")).collect()}
+    assert got == {0: ("MIT", "MIT", None), 1: ("MIT", "MIT", None), 2: (None, "MIT", "b")}
+
+
 # --- 2 quality
 
 
