@@ -3,6 +3,11 @@
 Everything on the data's path is a DataFrame expression. Spans are found by one
 ``regexp_replace`` per pattern, which puts marks around matches; the marked text
 is split and positions are summed up from the lengths of its parts.
+
+The trees judge what the base patterns can't see: data in other dress. The
+corpus has no labels for that, so it teaches by its own base matches, each put
+into such dress where it stands: one that passes the base check is a positive,
+one that fails it a negative, and so is a true one after a change that breaks it.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stored
 
 KINDS = ("email", "ip", "card", "phone")
 _OPEN, _SHUT = "\x01", "\x02"
@@ -45,8 +50,8 @@ HINTS = {
     "phone": r"(?i)(?:tel|phone|call|fax|mobile|cell)\W{0,4}(?:\w+\W{1,3}){0,2}$",
 }
 #: Boolean features of a candidate, in the order of the trees' feature numbers.
-FEATURES = ("email", "ip", "card", "phone", "hint", "joined_before", "joined_after", "valid", "plus", "spaces", "long", "luhn", "alpha_tail", "capital")
-#: Boosting: rounds, depth and rate; a threshold must reach this precision on held-out candidates.
+FEATURES = ("email", "ip", "card", "phone", "hint", "joined_before", "joined_after", "octets", "brackets", "spaces", "long", "short", "luhn", "alpha_tail")
+#: Boosting: rounds, depth and rate; a kind's threshold must reach this precision on its held-out candidates.
 ROUNDS, DEPTH, RATE, PRECISION = 20, 3, 0.5, 0.98
 
 
@@ -104,42 +109,74 @@ def _find(src: DataFrame, *keep: str) -> DataFrame:
     out = src.select(*keep, *[_spans(text, *BASE[k]).alias(f"raw_{k}") for k in KINDS], *[_spans(text, *WIDE[k]).alias(f"wide_{k}") for k in KINDS])
     out = out.withColumns({f"base_{k}": F.filter(f"raw_{k}", _check(k)) for k in KINDS})
 
-    def candidate(kind: str, wide: bool):
+    def around(s: Column) -> tuple[Column, Column]:
+        return F.substring(text, F.greatest(s["start"] - 39, F.lit(1)), F.least(s["start"], F.lit(40))), F.substring(text, s["end"] + 1, 1)
+
+    def candidate(kind: str):
+        return lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _bits(kind, s["m"], *around(s)).alias("bits"))
+
+    def lessons(kind: str):
+        """What a base match teaches: (held out, bits, label) of it in other dress, and of a broken one. A fifth of the strings is held out."""
+
         def make(s: Column) -> Column:
-            m, before, after = s["m"], F.substring(text, F.greatest(s["start"] - 39, F.lit(1)), F.least(s["start"], F.lit(40))), F.substring(text, s["end"] + 1, 1)
-            d = _digits(m)
-            has = {k: F.lit(k == kind) for k in KINDS} | {
-                "hint": before.rlike(HINTS[kind]),
-                "joined_before": before.rlike(r"[\p{L}\p{N}_=\"'/.-]$"),
-                "joined_after": after.rlike(r"[\p{L}\p{N}_\"'/]"),
-                "valid": _plausible(kind, m),
-                "plus": m.startswith("+"),
-                "spaces": m.contains(" "),
-                "long": F.length(d) > 15,
-                "luhn": (F.length(d) > 1) & F.call_function("luhn_check", F.when(F.length(d) > 1, d).otherwise(F.lit("0"))),
-                "alpha_tail": m.rlike(r"[A-Za-z]{2,}$"),
-                "capital": m.rlike(r"[A-Z]"),
-            }
-            bits = reduce(lambda a, b: a + b, [F.when(has[f], 1 << i).otherwise(0) for i, f in enumerate(FEATURES)])
-            positive = F.lit(False) if wide else _holds(kind, m)
-            return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), bits.cast("int").alias("bits"), positive.alias("label"), F.lit(wide).alias("wide"))
+            holds, m = _holds(kind, s["m"]), _dressed(kind, s["m"])
+            held = (F.pmod(F.xxhash64(s["m"]), F.lit(5)) == 0).alias("held")
+            own = F.struct(held, _bits(kind, m, *around(s)).alias("bits"), holds.alias("label"))
+            broken = F.struct(held, _bits(kind, _broken(kind, m), *around(s)).alias("bits"), F.lit(False).alias("label"))
+            return F.when(holds, F.array(own, broken)).otherwise(F.array(own))
 
         return make
 
-    groups = [F.transform(f"raw_{k}", candidate(k, False)) for k in KINDS] + [F.transform(f"wide_{k}", candidate(k, True)) for k in KINDS]
     short = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    return out.select(*keep, *[short(f"base_{k}").alias(k) for k in KINDS], F.concat(*groups).alias("candidates"))
+    return out.select(
+        *keep, *[short(f"base_{k}").alias(k) for k in KINDS],
+        F.concat(*[F.transform(f"wide_{k}", candidate(k)) for k in KINDS]).alias("candidates"),
+        F.flatten(F.concat(*[F.transform(f"raw_{k}", lessons(k)) for k in KINDS])).alias("lessons"),
+    )
+
+
+def _bits(kind: str, m: Column, before: Column, after: Column) -> Column:
+    """The features of a candidate in its context as bits of a number."""
+    d, two = _digits(m), r"[\[\](){}]"
+    has = {k: F.lit(k == kind) for k in KINDS} | {
+        "hint": before.rlike(HINTS[kind]),
+        "joined_before": before.rlike(r"[\p{L}\p{N}_=\"'/.-]$"),
+        "joined_after": after.rlike(r"[\p{L}\p{N}_\"'/]"),
+        "octets": ~m.rlike("[0-9]{4}") & F.forall(F.split(F.regexp_replace(m, "[^0-9]+", "."), r"\."), lambda p: F.coalesce(F.substring(p, 1, 3).try_cast("int"), F.lit(0)) <= 255),
+        "brackets": m.rlike(two),
+        "spaces": m.contains(" "),
+        "long": F.length(d) > 15,
+        "short": F.length(d) < 9,
+        "luhn": (F.length(d) > 1) & F.call_function("luhn_check", F.when(F.length(d) > 1, d).otherwise(F.lit("0"))),
+        "alpha_tail": F.substring(m, -2, 2).rlike("^[A-Za-z]{2}$"),
+    }
+    return reduce(lambda a, b: a + b, [F.when(has[f], 1 << i).otherwise(0) for i, f in enumerate(FEATURES)]).cast("int")
+
+
+def _dressed(kind: str, m: Column) -> Column:
+    """A base match as the wide generators meet such data: one of a few forms, by its hash."""
+    form = F.pmod(F.hash(m), F.lit(3))
+    if kind == "email":
+        put = lambda at, dot: F.concat(F.substring_index(m, "@", 1), F.lit(at), F.replace(F.substring_index(m, "@", -1), F.lit("."), F.lit(dot)))
+        return F.when(form == 0, put(" at ", " dot ")).when(form == 1, put(" [at] ", " [dot] ")).otherwise(put("(at)", "(dot)"))
+    if kind == "ip":
+        return F.when(form == 0, F.regexp_replace(m, r"\.", "[.]")).when(form == 1, F.regexp_replace(m, r"\.", "(.)")).otherwise(F.regexp_replace(m, r"\.", "[dot]"))
+    d = _digits(m)
+    if kind == "card":
+        return F.regexp_replace(F.regexp_replace(d, "([0-9]{4})(?=[0-9])", "$1."), r"\.", F.when(form == 0, ".").when(form == 1, "_").otherwise("/"))
+    last = F.regexp_replace(F.substring(d, -10, 10), "^([0-9]{3})([0-9]{3})", F.when(form == 0, "($1) $2-").when(form == 1, "$1-$2-").otherwise("$1.$2."))
+    return F.when(_holds(kind, m), last).otherwise(d)
 
 
-def _plausible(kind: str, m: Column) -> Column:
-    """The base check in the wider dress of a candidate."""
+def _broken(kind: str, m: Column) -> Column:
+    """A dressed match after a change that its kind doesn't bear: a name that ends in a digit, a part beyond 255, a wrong check digit, too few digits."""
+    if kind == "email":
+        return F.concat(m, F.lit("7"))
     if kind == "ip":
-        return _holds("ip", F.regexp_replace(m, r"(?i)\[\.\]|\(\.\)|\[dot\]", "."))
-    if kind == "phone":
-        return F.length(_digits(m)).between(9, 15)
+        return F.concat(F.lit("9"), F.regexp_replace(m, "^[0-9]{1,3}", "99"))
     if kind == "card":
-        return _holds("card", m)
-    return m.rlike(r"(?i)[a-z0-9](?:@|.*\bat\b).*[a-z]{2,}$")
+        return F.concat(F.regexp_replace(m, "[0-9]$", ""), F.pmod(F.substring(m, -1, 1).cast("int") + 1, F.lit(10)).cast("string"))
+    return F.regexp_replace(m, r"^\(?[0-9]{3}\)?[\x20.-]", "")
 
 
 def fit(cells: list[tuple[int, int, int]], rounds: int = ROUNDS, depth: int = DEPTH, rate: float = RATE) -> list:
@@ -186,7 +223,7 @@ def value(tree, bits: int) -> float:
 
 
 def thresholds(trees: list, held_out: list[tuple[int, int, int]], precision: float = PRECISION) -> dict[str, float]:
-    """For each kind the least score from which held-out candidates reach the precision; infinite where none do."""
+    """For each kind the score from which held-out candidates reach the precision: midway between the last that does and the next lower one, or even odds; infinite where none do."""
     out = {}
     for i, kind in enumerate(KINDS):
         own = sorted(((sum(value(t, b) for t in trees), y, n) for b, y, n in held_out if b >> i & 1), reverse=True)
@@ -194,7 +231,7 @@ def thresholds(trees: list, held_out: list[tuple[int, int, int]], precision: flo
         for k, (s, y, n) in enumerate(own):
             good, all_ = good + y, all_ + y + n
             if (k + 1 == len(own) or own[k + 1][0] < s) and good >= precision * all_ and s > 0:
-                out[kind] = s - 1e-9  # the sum may be added up in another way where it is applied
+                out[kind] = (s + max(0.0, own[k + 1][0] if k + 1 < len(own) else 0.0)) / 2
     return out
 
 
@@ -217,13 +254,13 @@ class Model:
 
 
 def train(found: DataFrame) -> Model:
-    """Fit on all narrow candidates: a base match that holds is a positive, one that fails its check a negative.
+    """Fit on the lessons of all base matches, and set each kind's threshold on those of held-out strings.
 
-    Documents whose hash is divisible by five are held out for the thresholds.
-    What reaches the driver is a row per distinct feature vector (2^14 at most).
+    What reaches the driver is a row per distinct feature vector (2^15 at most).
+    Without lessons the model takes nothing.
     """
-    c = found.select((F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("held"), F.explode("candidates").alias("c")).where("NOT c.wide")
-    cells = c.groupBy("held", "c.bits").agg(F.sum(F.col("c.label").cast("int")).alias("y"), F.sum(1 - F.col("c.label").cast("int")).alias("n")).collect()
+    c = found.select(F.explode("lessons").alias("c"))
+    cells = c.groupBy("c.held", "c.bits").agg(F.sum(F.col("c.label").cast("int")).alias("y"), F.sum(1 - F.col("c.label").cast("int")).alias("n")).collect()
     part = lambda held: sorted((r["bits"], r["y"], r["n"]) for r in cells if r["held"] == held)
     trees = fit(part(False))
     return Model(trees, thresholds(trees, part(True)))
@@ -250,7 +287,7 @@ def _joined(spans: Column) -> Column:
 
 
 def personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of each row's whole text.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) of each row's whole text.
 
     Base spans are always kept; the model adds others of the same kinds where
     they touch none. The text is read once, the spans found in it are
@@ -262,20 +299,22 @@ def personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     found = cut(find(documents, id_col, text_col))
     out = with_spans(found, train(found))
     base = F.concat(*[F.transform(k, _named(k)) for k in KINDS])
-    return out.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return out.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
-def redact(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def redact(documents: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with each span replaced by its kind in brackets, all other columns kept.
 
-    Overlapping spans are replaced as one, by the kind of the first. A null
-    text stays null. The model is fitted on these documents.
+    Overlapping spans are replaced as one, by the kind of the first. The model
+    is fitted on these documents; they are stored once with their spans, which
+    are found once. A null text stays null, an empty one empty; repeated rows
+    give a row each; an empty table gives none; other columns may have any name.
     """
-    model = train(find(documents, id_col, text_col))
     names = documents.columns
     text = F.translate(F.coalesce(documents[text_col].cast("string"), F.lit("")), _OPEN + _SHUT + "\x03", "\x04\x04\x04")
     src = documents.select(F.struct(*[documents[c] for c in names]).alias("_row"), text.alias("text"))
-    found = with_spans(_find(src, "_row", "text"), model)
+    found = stored(_find(src, "_row", "text").drop("text"))
+    found = with_spans(found, train(found))
     original = F.col("_row")[text_col]
 
     def step(acc: Column, s: Column) -> Column:
@@ -290,4 +329,5 @@ def redact(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 
 
 def op4_personal_data(spark, sf_dir: str) -> DataFrame:
+    """The whole table of documents; cases as in ``personal_data``."""
     return personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -271,6 +271,50 @@ def test_personal_data_adds_obfuscated_spans(spark):
     assert got[61] == ""
 
 
+DRESS = {
+    "email": ["{0} at {1} dot {2}", "{0} [at] {1} [dot] {2}", "{0}(at){1}(dot){2}"],
+    "ip": ["{0}[.]{1}[.]{2}[.]{3}", "{0}(.){1}(.){2}(.){3}", "{0}[dot]{1}[dot]{2}[dot]{3}"],
+    "card": ["{0}.{1}.{2}.{3}", "{0}_{1}_{2}_{3}", "{0}/{1}/{2}/{3}"],
+    "phone": ["({0}) {1}-{2}", "{0}-{1}-{2}", "{0}.{1}.{2}"],
+}
+
+
+def test_personal_data_in_other_dress(spark):
+    """Precision and recall of what the model adds, on texts that it has never seen in this dress."""
+    rnd = random.Random(4)
+    quad = lambda: "".join(rnd.choice("0123456789") for _ in range(4))
+
+    def card(ok):
+        while True:
+            p = ["4" + quad()[1:], quad(), quad(), quad()]
+            if luhn("".join(p)) == ok:
+                return p
+
+    say = lambda: " ".join(rnd.choice(["met", "the", "report", "about", "river", "stone"]) for _ in range(6))
+    plain, hidden, decoys = [], {}, {}
+    for i in range(300):
+        n, ip = rnd.randint(100, 999), [rnd.randint(0, 255) for _ in range(4)]
+        ph = [str(rnd.randint(200, 999)), str(rnd.randint(200, 999)), quad()]
+        plain.append(f"{say()} u{n}@ex{i}.org and +1 {ph[0]} {ph[1]} {ph[2]} at {ip[0]}.{ip[1]}.{ip[2]}.{ip[3]} or {'-'.join(card(i % 3 > 0))} v{ip[0]}.{ip[1] + 250}.{ip[2]}.{ip[3]} end")
+    texts = list(plain)
+    for i in range(40):
+        for kind, forms in DRESS.items():
+            good = {"email": ["ann", f"host{i}", "com"], "ip": [rnd.randint(0, 255) for _ in range(4)], "card": card(True), "phone": [str(rnd.randint(200, 999)), str(rnd.randint(200, 999)), quad()]}[kind]
+            bad = {"email": None, "ip": [rnd.randint(256, 999) for _ in range(4)], "card": card(False), "phone": None}[kind]
+            for parts, where in ((good, hidden), (bad, decoys)):
+                if parts:
+                    m, lead = forms[i % 3].format(*parts), say() + " to "
+                    where[len(texts)] = f"{kind}:{len(lead)}:{len(lead) + len(m)}"
+                    texts.append(f"{lead}{m} {say()}")
+    got = {r["doc_id"]: r for r in pii.personal_data(docs(spark, texts)).collect()}
+    found = sum(got[i]["spans"] == want for i, want in hidden.items())
+    wrong = sum(got[i]["n_spans"] > 0 for i in decoys)
+    assert found >= 0.9 * len(hidden), (found, len(hidden), Counter(w.split(":")[0] for i, w in hidden.items() if got[i]["spans"] != w))
+    assert wrong <= 0.02 * len(decoys)
+    for i in range(300):
+        assert got[i]["n_spans"] == sum(got[i][f"n_{k}"] for k in DRESS)
+
+
 def test_redaction(spark):
     text = "😀 mail a@b.cd or +1 (555) 123-4567, card 4111 1111 1111 1111."
     out = {r["doc_id"]: r for r in pii.redact(docs(spark, [text, None, "plain"])).collect()}
