@@ -7,9 +7,10 @@ bounded slice of documents, so no Python object exists per word.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -179,10 +180,57 @@ class Index:
             h, code, slot = h[on], code[on], (slot[on] + 1) % len(self.code)
 
 
+#: What this Python worker keeps between its tasks: (owner, what), of one owner at a time.
+_kept: list = []
+
+
+def keep(owner: str, make: Callable):
+    """``make()``, kept between the tasks of a worker until another owner keeps something."""
+    if not _kept or _kept[0] != owner:
+        release()
+        _kept[:] = [owner, make()]
+    return _kept[1]
+
+
+def release() -> None:
+    """Drop what the worker keeps, and give unused memory back to the system: later stages use the same workers."""
+    _kept.clear()
+    for base in _pow:
+        _pow[base] = np.ones(1, np.uint64)
+    _trim()
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidy(run: Callable, keeps: bool = False) -> Callable:
+    """A function for mapInArrow that gives memory back when its task ends; unless it ``keeps`` things itself, it begins without what others keep."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            release()
+        yield from run(batches)
+        _trim()
+
+    return each
+
+
+def ids_of(column: pa.Array) -> np.ndarray:
+    """Ids as 64-bit integers, a null as 0, and never through floats."""
+    return pc.fill_null(column, 0).to_numpy(zero_copy_only=False)
+
+
 def with_checkpoints(spark: SparkSession) -> SparkSession:
     """Make sure that checkpoint() has a folder: the cluster's shared one, or (only where none is set, as in tests) one of our own."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="planeframe-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="planeframe-"))
     return spark
 
 

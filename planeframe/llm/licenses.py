@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, slices
+from .common import Words, cut, slices, tidy
 
 #: Notices by SPDX identifier; a license may have several wordings.
 TEMPLATES: list[tuple[str, str]] = [
@@ -72,7 +72,7 @@ def _frequencies(texts: DataFrame, templates: Templates) -> tuple[int, np.ndarra
         df[-1] = n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df)), pa.int32()), pa.array(df)], names=["i", "n"])
 
-    got = {r[0]: r[1] for r in texts.mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n")).collect()}
+    got = {r[0]: r[1] for r in texts.mapInArrow(tidy(run), "i int, n long").groupBy("i").agg(F.sum("n")).collect()}
     n = len(templates.terms)
     return int(got.get(n, 0)), np.array([got.get(i, 0) for i in range(n)], float)
 
@@ -157,7 +157,7 @@ def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_co
                     names=["doc_id", "path", "own_license", "own_cosine", "is_file"],
                 )
 
-    scan = cut(src.mapInArrow(run, "doc_id long, path string, own_license string, own_cosine double, is_file boolean").withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1)))
+    scan = cut(src.mapInArrow(tidy(run), "doc_id long, path string, own_license string, own_cosine double, is_file boolean").withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1)))
     licensed = scan.where("is_file AND path IS NOT NULL").groupBy(F.col("dir").alias("_dir")).agg(F.min_by("own_license", F.struct("path", "doc_id")).alias("dir_license"))
     dirs = scan.where("path IS NOT NULL").select("dir").distinct()
     parts = F.split("dir", "/")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Index, Words, cut, slices
+from .common import Index, Words, cut, keep, slices, tidy
 
 #: Distinct words whose ids a worker remembers; beyond it the memory starts anew. The table has four places for each.
 MEMO = 1 << 20
@@ -94,13 +94,9 @@ class WordIds:
         return self.ids[pos], np.concatenate([[0], total])[words.first]
 
 
-_loaded: dict[str, WordIds] = {}
-
-
 def load(path: str) -> WordIds:
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
+    """The encoder of a file, kept between a worker's tasks."""
+    return keep(f"WordIds {path}", lambda: WordIds(path))
 
 
 def token_pieces(documents: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -122,7 +118,7 @@ def token_pieces(documents: DataFrame, path: str, capacity: int, end_id: int, id
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
 
-    return src.mapInArrow(run, PIECES)
+    return src.mapInArrow(tidy(run, keeps=True), PIECES)
 
 
 class Capacities:
@@ -239,7 +235,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
             seq = table[row, 3] + rank - table[row, 1]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(table[row, 4])], names=[c.split()[0] for c in RESULT.split(", ")])
 
-    return ranked.mapInArrow(run, RESULT)
+    return ranked.mapInArrow(tidy(run), RESULT)
 
 
 def best_fit_packing(documents: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import keep, slices, tidy
 
 #: Distinct words whose pieces a worker remembers, and pairs of pieces whose verdict it remembers; beyond it each memory starts anew.
 MEMO = 500_000
@@ -271,13 +271,9 @@ class PieceModel:
         return [data[a + (data[a : a + 1] == b" ") : b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-_loaded: dict[str, PieceModel] = {}
-
-
 def load(path: str) -> PieceModel:
-    if path not in _loaded:
-        _loaded[path] = PieceModel(path)
-    return _loaded[path]
+    """The encoder of a file, kept between a worker's tasks."""
+    return keep(f"PieceModel {path}", lambda: PieceModel(path))
 
 
 def encode_pieces(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,7 +291,7 @@ def encode_pieces(documents: DataFrame, path: str, id_col: str = "doc_id", text_
                 ids, off = model.encode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
 
-    return src.mapInArrow(run, "doc_id long, ids array<int>")
+    return src.mapInArrow(tidy(run, keeps=True), "doc_id long, ids array<int>")
 
 
 def decode_pieces(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -310,7 +306,7 @@ def decode_pieces(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col
             ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.decode("utf-8", "replace") for x in model.decode(ids, off)], pa.string())], names=["doc_id", "text"])
 
-    return src.mapInArrow(run, "doc_id long, text string")
+    return src.mapInArrow(tidy(run, keeps=True), "doc_id long, text string")
 
 
 def piece_digest(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,7 +330,7 @@ def piece_digest(documents: DataFrame, path: str, id_col: str = "doc_id", text_c
                 cols = [part.column(0), pa.array(list(map(len, raw)), pa.int64()), pa.array(np.diff(off), pa.int64()), pa.array(crc, pa.int64()), pa.array([x == y for x, y in zip(raw, back, strict=True)], pa.bool_())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_pieces", "ids_crc32", "round_trip"])
 
-    return src.mapInArrow(run, "doc_id long, n_bytes long, n_pieces long, ids_crc32 long, round_trip boolean")
+    return src.mapInArrow(tidy(run, keeps=True), "doc_id long, n_bytes long, n_pieces long, ids_crc32 long, round_trip boolean")
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Words, slices
+from .common import Words, slices, tidy
 
 #: Documents on which each rule's cost and selectivity are estimated. They decide the order of rules only, never a verdict.
 SAMPLE_ROWS = 256
@@ -138,7 +138,7 @@ def only_kept(documents: DataFrame, text_col: str = "text", sample_rows: int = S
             for part in slices(batch, at):
                 yield part.filter(pa.array([not base_failed(d) and not any(rule(d) for rule in cascade) for d in measure(part.column(at))], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidy(run), documents.schema)
 
 
 def quality_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -164,7 +164,7 @@ def quality_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str =
                 if out:
                     yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in list(zip(*out, strict=True))[:5]), *(pa.array(c, pa.bool_()) for c in list(zip(*out, strict=True))[5:])], names=NAMES)
 
-    return src.mapInArrow(run, OUT)
+    return src.mapInArrow(tidy(run), OUT)
 
 
 NAMES = [c.split()[0] for c in OUT.split(", ")]

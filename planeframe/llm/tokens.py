@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import keep, slices, tidy
 
 #: Distinct strings whose result a worker remembers; beyond it the memory starts anew.
 MEMO = 600_000
@@ -141,13 +141,9 @@ class ByteBPE:
         return [sum(map(get, u)) + k for u, k in split]
 
 
-_loaded: dict[str, ByteBPE] = {}
-
-
 def load(path: str) -> ByteBPE:
-    if path not in _loaded:
-        _loaded[path] = ByteBPE(path)
-    return _loaded[path]
+    """The encoder of a file, kept between a worker's tasks."""
+    return keep(f"ByteBPE {path}", lambda: ByteBPE(path))
 
 
 def token_counts(documents: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,7 +164,7 @@ def token_counts(documents: DataFrame, path: str, limit: int = 1024, id_col: str
                 size = pc.binary_length(texts).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), size, n, pc.greater(n, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return src.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return src.mapInArrow(tidy(run, keeps=True), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Index, Words, slices
+from .common import LOWER, Index, Words, slices, tidy
 
 #: Bound of the training sample: toxic and clean rows, and the longest text (characters) taken into it.
 TOXIC_ROWS, CLEAN_ROWS, LONGEST = 1500, 4500, 8000
@@ -24,6 +24,8 @@ TOXIC_ROWS, CLEAN_ROWS, LONGEST = 1500, 4500, 8000
 BITS, WINDOW, DECAY, PIECE = 16, 5, 0.5, 48
 #: Landmarks of each side, weight of errors, rounds of choosing each toxic text's word anew.
 LANDMARKS, COST, ROUNDS = 96, 10.0, 4
+#: Bounds of the fit: clean words it takes as negatives (by hash of the word), and the worst-scored clean words that each round adds to them.
+NEGATIVES, HARD = 12_000, 400
 #: Distinct words whose score a worker remembers; beyond it the memory starts anew.
 MEMO = 1 << 20
 
@@ -151,8 +153,13 @@ def spelled(words: Words) -> Iterator[tuple[int, bytes]]:
                     yield int(np.searchsorted(words.first, x, "right")) - 1, words.data[start[x:y]].tobytes()
 
 
+def pieces(word: bytes) -> list[bytes]:
+    """A word in the overlapping pieces that the scorer looks at."""
+    return [word[a : a + PIECE] for a in range(0, max(1, len(word) - WINDOW), PIECE - WINDOW)] if len(word) > PIECE else [word]
+
+
 def bags(texts: list[str]) -> list[list[bytes]]:
-    """The distinct words of each text, trimmed and lower-cased."""
+    """The distinct words of each text, trimmed and lower-cased; of long words the pieces."""
     one: dict[bytes, bytes] = {}  # equal words are one object
     out: list[list[bytes]] = []
     for part in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"]), 0) if texts else ():
@@ -162,34 +169,53 @@ def bags(texts: list[str]) -> list[list[bytes]]:
         own = [sorted({one.setdefault(x := raw[a:b], x) for a, b in zip(start[i:j].tolist(), end[i:j].tolist(), strict=True)}) for i, j in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
         for d, s in spelled(words):
             own[d].append(s)
-        out += own
+        out += [[one.setdefault(x, x) for w in b for x in pieces(w)] if any(len(w) > PIECE for w in b) else b for b in own]
     return out
 
 
-def _dense(strings: list[bytes]) -> np.ndarray:
-    """Normed feature vectors as rows (for landmarks: few)."""
-    data, end = np.frombuffer(b"".join(strings), np.uint8), np.cumsum(list(map(len, strings)))
-    out, norm = np.zeros((len(strings), 1 << BITS), np.float32), np.full(len(strings), 1e-9)
+class Landmarks:
+    """Normed feature vectors of few strings, over the features that any of them has: ``by[column[f]]`` are feature f's weights, row 0 is empty."""
+
+    def __init__(self, strings: list[bytes]):
+        data, start, end = _packed(strings)
+        found: list[tuple[np.ndarray, np.ndarray, float]] = []
+        norm = np.full(len(strings), 1e-9)
+
+        def use(r: np.ndarray, at: np.ndarray, w: float) -> None:
+            found.append((r, at.astype(np.int64), w))
+            norm[r] += w * w
 
-    def use(r: np.ndarray, at: np.ndarray, w: float) -> None:
-        out[r, at] += w
-        norm[r] += w * w
+        features(data, start, end, use)
+        self.features = np.unique(np.concatenate([at for _, at, _ in found])) if found else np.zeros(0, np.int64)
+        self.column = np.zeros(1 << BITS, np.int32)
+        self.column[self.features] = np.arange(1, len(self.features) + 1)
+        self.by = np.zeros((len(self.features) + 1, len(strings)), np.float32)
+        for r, at, w in found:
+            self.by[self.column[at], r] += np.float32(w)
+        self.by /= np.sqrt(norm).astype(np.float32)
 
-    features(data, end - list(map(len, strings)), end, use)
-    return out / np.sqrt(norm)[:, None].astype(np.float32)
+    def gram(self) -> np.ndarray:
+        return (self.by.T @ self.by).astype(np.float64)
 
+    def kernel(self, strings: list[bytes]) -> np.ndarray:
+        """Kernel values of strings (rows) with the landmarks (columns)."""
+        out, norm = np.zeros((len(strings), self.by.shape[1]), np.float32), np.full(len(strings), 1e-9)
 
-def _kernel(strings: list[bytes], marks: np.ndarray) -> np.ndarray:
-    """Kernel values of strings (rows) with landmarks (columns)."""
-    data, end = np.frombuffer(b"".join(strings), np.uint8), np.cumsum(list(map(len, strings)))
-    out, norm, by = np.zeros((len(strings), len(marks)), np.float32), np.full(len(strings), 1e-9), marks.T
+        def use(r: np.ndarray, at: np.ndarray, w: float) -> None:
+            col = self.column[at]
+            on = np.flatnonzero(col)
+            out[r[on]] += np.float32(w) * self.by[col[on]]
+            norm[r] += w * w
 
-    def use(r: np.ndarray, at: np.ndarray, w: float) -> None:
-        out[r] += np.float32(w) * by[at]
-        norm[r] += w * w
+        features(*_packed(strings), use)
+        out /= np.sqrt(norm)[:, None].astype(np.float32)
+        return out
 
-    features(data, end - list(map(len, strings)), end, use)
-    return out / np.sqrt(norm)[:, None]
+    def folded(self, weights: np.ndarray) -> np.ndarray:
+        """A weight for each feature, so that a string's product with it is the weighted sum of its kernel values."""
+        table = np.zeros(1 << BITS, np.float32)
+        table[self.features] = self.by[1:] @ weights
+        return table
 
 
 def _machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -279,11 +305,11 @@ def fit(rows: list[tuple[str, int]], clean_odds: float = 1.0) -> Scorer:
     hard: list[bytes] = []
     table, bias = np.zeros(1 << BITS, np.float32), 0.0
     for _ in range(ROUNDS):
-        marks = _dense(list(dict.fromkeys([*telling, *order(set(chosen))[:LANDMARKS], *hard[: LANDMARKS // 2], *everyday[:LANDMARKS]])))
-        vals, vecs = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+        marks = Landmarks(list(dict.fromkeys([*telling, *order(set(chosen))[:LANDMARKS], *hard[: LANDMARKS // 2], *everyday[:LANDMARKS]])))
+        vals, vecs = np.linalg.eigh(marks.gram())
         keep = vals > 1e-4 * vals.max()
         to = vecs[:, keep] / np.sqrt(vals[keep])
-        good = list(dict.fromkeys(hard + everyday[:12_000]))
+        good = list(dict.fromkeys(hard + everyday[:NEGATIVES]))
         times = Counter(chosen + telling * 3)
         strings = [*times, *good]
         y = np.array([1.0] * len(times) + [-1.0] * len(good))
@@ -291,16 +317,17 @@ def fit(rows: list[tuple[str, int]], clean_odds: float = 1.0) -> Scorer:
         weight[y > 0] *= COST * 200 / weight[y > 0].sum()
         weight[y < 0] *= COST * 200 / weight[y < 0].sum()
         weight[len(times) : len(times) + len(hard)] *= 4
-        w = _machine(_kernel([s[:PIECE] for s in strings], marks) @ to, y, weight)
-        table, bias = (to @ w[:-1]) @ marks, float(w[-1])
+        w = _machine(marks.kernel(strings) @ to, y, weight)
+        table, bias = marks.folded(to @ w[:-1]), float(w[-1])
         scorer = Scorer(table, bias)
-        value = scorer.margins(*_packed(words := order({x for b in toxic + clean for x in b if x})))
+        words = order({x for b in toxic + clean for x in b if x})
+        value = np.concatenate([scorer.margins(*_packed(words[i : i + 50_000])) for i in range(0, len(words), 50_000)])
         of = dict(zip(words, value.tolist(), strict=True))
         chosen = [best for b in toxic if (best := max((x for x in b if x), key=lambda x: (of[x], x), default=None)) is not None and of[best] > -0.3]
         if not chosen and not telling:
             break
         cleans = {x for b in clean for x in b if x}
-        hard = sorted(cleans, key=lambda x: (-of[x], x))[:400]
+        hard = sorted(cleans, key=lambda x: (-of[x], x))[:HARD]
     held = [i for i in range(len(unique)) if i % 5 == 0]
     margin = np.maximum(Scorer(table, bias).texts(pa.array([unique[i][0] for i in held], pa.string())), -3.0)
     y = np.array([label[i] for i in held], float)
@@ -330,22 +357,25 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def fold(id_col) -> F.Column:
-    """crc32 of the id as text, modulo 3."""
-    return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(3))
+    """crc32 of the id as text, modulo 3; a null id counts as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(3))
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Scorer:
     """Fit on labelled documents of folds 0 and 2: a bounded sample, by hash of the id.
 
     The ids of the sample (TOXIC_ROWS + CLEAN_ROWS at most) are broadcast to the
-    scan of the documents, so the training reads texts but shuffles none.
+    scan of the documents, so the training reads all texts but shuffles only the
+    sample. Of documents that repeat an id the least text is taken; an id with
+    both labels gives a row of each; null ids or labels, empty texts and texts
+    over LONGEST characters take no part; without rows of both labels, as with
+    empty tables, every text scores the share of toxic labels, or a half.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(fold(F.col("doc_id")) != 1).distinct()
     count = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
-    # texts beyond LONGEST drop out, so some more ids are taken; the rows are cut to the bound afterwards
     ids = usable.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TOXIC_ROWS).unionByName(usable.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CLEAN_ROWS))
     text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text").between(1, LONGEST))
-    sample = text.join(F.broadcast(ids), "doc_id").limit(2 * (TOXIC_ROWS + CLEAN_ROWS))
+    sample = text.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
@@ -354,7 +384,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Scorer:
         yield pa.RecordBatch.from_arrays([pa.array([s.table.tobytes()], pa.binary()), *(pa.array([float(x)]) for x in (s.bias, s.slope, s.shift))], names=["t", "bias", "slope", "shift"])
 
     # the bounded sample is fitted in one task, so the driver gets the machine alone
-    got = sample.select("doc_id", "text", "toxic").repartition(1).mapInArrow(run, "t binary, bias double, slope double, shift double").collect()
+    got = sample.select("doc_id", "text", "toxic").repartition(1).mapInArrow(tidy(run), "t binary, bias double, slope double, shift double").collect()
     if not got:
         return fit([])
     return Scorer(np.frombuffer(got[0][0], np.float32), *got[0][1:])
@@ -375,7 +405,7 @@ def toxicity(documents: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_
                 p = scorer.score(scorer.texts(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return src.mapInArrow(run, "doc_id long, score double, predicted int")
+    return src.mapInArrow(tidy(run), "doc_id long, score double, predicted int")
 
 
 def without_toxic(documents: DataFrame, scorer: Scorer, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -387,10 +417,11 @@ def without_toxic(documents: DataFrame, scorer: Scorer, text_col: str = "text",
             for part in slices(batch, at):
                 yield part.filter(pa.array(scorer.score(scorer.texts(part.column(at))) < threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidy(run), documents.schema)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of all documents; cases as in ``toxicity``, a null id isn't held out."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scored = toxicity(documents, train(documents, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return scored.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted")
