@@ -9,6 +9,7 @@ over lengths finds it, and the path read backwards is the library's own result.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +27,8 @@ MEMO = 500_000
 PAIRS = 2_000_000
 
 SPACE = "▁"
+#: Characters from which a word is encoded on its own, and places of it that are worked on at once.
+LONG, LONG_BLOCK = 1000, 100_000
 _MUL = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SALT = np.uint64(0xD1B54A32D192ED03)
 
@@ -122,6 +125,16 @@ class PieceModel:
             got[i] = v
         return got[back]
 
+    def _fits(self, a: int, b: int) -> bool:
+        key = a << 32 | b
+        v = self.pair.get(key)
+        if v is None:
+            if len(self.pair) > PAIRS:
+                self.pair.clear()
+            x, y = self.text[a], self.text[b]
+            v = self.pair[key] = self.merge(x + y) == [x, y]
+        return v
+
     def viterbi(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of W words of L characters each (code points, W x L): their ids from the end (W x L, -1 beyond), and how many.
 
@@ -179,6 +192,12 @@ class PieceModel:
             length = int(size[order[at]])
             to = min(int(np.searchsorted(size[order], length, "right")), at + max(1, 400_000 // length))
             block = order[at:to]
+            if length > LONG:
+                for i in block.tolist():
+                    w = words[i]
+                    got[i] = self._with_bytes(w, self._spaced(w) if w.startswith(SPACE * 2) else self._long(w))
+                at = to
+                continue
             chars = np.frombuffer("".join(words[i] for i in block).encode("utf-32-le"), np.uint32).reshape(-1, length)
             odd = [j for j, i in enumerate(block) if words[i].startswith(SPACE * 2)]
             out, count = self.viterbi(chars)
@@ -197,8 +216,7 @@ class PieceModel:
         """A word after several spaces: all other merges come first, then the spaces merge among themselves."""
         body = w.lstrip(SPACE)
         head = len(w) - len(body)
-        out, count = self.viterbi(np.frombuffer((SPACE + body).encode("utf-32-le"), np.uint32).reshape(1, -1)) if body else (None, None)
-        ids = out[0, : count[0]][::-1].tolist() if body else []
+        ids = self._long(SPACE + body).tolist() if body else []
         if ids and ids[0] == self.id.get(SPACE, -3):
             ids, free = ids[1:], head
         else:
@@ -206,15 +224,64 @@ class PieceModel:
         return np.array([self.id.get(p, -2) for p in self._runs(free)] + ids, np.int32)
 
     def _runs(self, n: int) -> list[str]:
-        """n spaces, merged in rounds from the left: equal scores merge leftmost first, the new piece again with its next."""
-        s = [SPACE] * n
-        while len(s) > 1:
-            best = max(((self.score.get(s[i] + s[i + 1], -np.inf), -i) for i in range(len(s) - 1)))
-            if best[0] == -np.inf:
-                break
-            i = -best[1]
-            s[i : i + 2] = [s[i] + s[i + 1]]
-        return s
+        """n spaces, merged by the best score and from the left, in n log n steps: a heap of neighbours over a linked list."""
+        s: list[str | None] = [SPACE] * n
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(-self.score[SPACE * 2], i, SPACE * 2) for i in range(n - 1)] if SPACE * 2 in self.score else []
+        while heap:
+            _, i, both = heapq.heappop(heap)
+            j = right[i] if s[i] else n
+            if j >= n or s[i] + s[j] != both:
+                continue
+            s[i], s[j] = both, None
+            right[i] = right[j]
+            if right[j] < n:
+                left[right[j]] = i
+            for a in (left[i], i):
+                b = right[a] if a >= 0 else n
+                if b < n and (score := self.score.get(s[a] + s[b])) is not None:
+                    heapq.heappush(heap, (-score, a, s[a] + s[b]))
+        return [x for x in s if x]
+
+    def _long(self, word: str) -> np.ndarray:
+        """As ``viterbi`` for one very long word: pieces are looked up at all places at once, a block at a time, then chosen place by place."""
+        chars = np.frombuffer(word.encode("utf-32-le"), np.uint32)
+        n = len(chars)
+        last, back = [-2] * (n + 1), [0] * (n + 1)
+        for at in range(0, n, LONG_BLOCK):
+            low = max(0, at - self.longest)
+            code = _code(chars[low : at + LONG_BLOCK])
+            size = len(code)
+            power = np.full(size + 1, _MUL, np.uint64)
+            power[0] = 1
+            power = np.cumprod(power)
+            inverse = np.full(size + 1, pow(int(_MUL), -1, 1 << 64), np.uint64)
+            inverse[0] = 1
+            total = np.zeros(size + 1, np.uint64)
+            np.cumsum(code * np.cumprod(inverse)[1:], out=total[1:])
+            ids = np.full((self.longest + 1, size + 1), -1, np.int32)
+            for k in range(1, min(size, self.longest) + 1):
+                h = (total[k:] - total[:-k]) * power[k:]
+                i = np.searchsorted(self.keys, h)
+                i[i == len(self.keys)] = 0
+                hit = self.keys[i] == h
+                ids[k, k:][hit] = self.key_id[i[hit]]
+            some = ids >= 0
+            options: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]
+            for k, i in zip(*np.nonzero(some), strict=True):
+                options[i].append((int(k), int(ids[k, i])))
+            for i in range(at + 1, at + LONG_BLOCK + 1 if at + LONG_BLOCK < n else n + 1):
+                back[i] = 1
+                for k, own in reversed(options[i - low]):
+                    before = last[i - k]
+                    if i == k or before == -2 or self._fits(before, own):
+                        back[i], last[i] = k, own
+                        break
+        out, i = [], n
+        while i:
+            out.append(last[i])
+            i -= back[i]
+        return np.array(out[::-1], np.int32)
 
     def _with_bytes(self, word: str, ids: np.ndarray) -> np.ndarray:
         """Replace -2 (a character without a piece) by the ids of its bytes."""
@@ -334,6 +401,7 @@ def piece_digest(documents: DataFrame, path: str, id_col: str = "doc_id", text_c
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    """The whole table of documents; cases as in ``piece_digest``."""
     import public_tokenizers
 
     return piece_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
