@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, components, cut, id_filter, may_hold, slices, stored
+from .common import LOWER, Words, components, cut, id_filter, ids_of, may_hold, slices, stored, tidy
 
 #: Size of the heavy-hitter table. It only shapes the order of n-grams, so it changes cost, never results.
 HEAVY = 1 << 18
@@ -83,7 +83,7 @@ def heavy_hitters(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             have, count = condense(have, count, new)
         yield pa.RecordBatch.from_arrays([pa.array(have.view(np.int64)), pa.array(count)], names=["h", "c"])
 
-    found = texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 3").orderBy(F.desc("c"), "h").limit(HEAVY)
+    found = texts.mapInArrow(tidy(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 3").orderBy(F.desc("c"), "h").limit(HEAVY)
     got = found.toArrow()
     return got.column(0).to_numpy(), got.column(1).to_numpy()
 
@@ -94,25 +94,32 @@ def _needed(n: np.ndarray | int, m: np.ndarray | int, t: int) -> np.ndarray | in
 
 
 class Tree:
-    """A prefix tree of sorted sets whose edges hold runs of keys; each node knows the least and greatest set below."""
+    """A prefix tree of sorted sets whose edges hold runs of keys.
 
-    __slots__ = ("run", "below", "sets", "least", "most")
+    Each node knows the least and greatest set below, and the group that all
+    sets below are of (None until there is one, then MIXED if they differ).
+    """
+
+    MIXED = object()
+    __slots__ = ("run", "below", "sets", "least", "most", "kin")
 
     def __init__(self, run: np.ndarray):
-        self.run, self.below, self.sets, self.least, self.most = run, {}, [], 1 << 62, 0
+        self.run, self.below, self.sets, self.least, self.most, self.kin = run, {}, [], 1 << 62, 0, None
 
-    def add(self, keys: np.ndarray, who: int) -> None:
-        """Insert a set below this root (whose run is empty)."""
+    def add(self, keys: np.ndarray, who: int, kin: int | None = None) -> None:
+        """Insert a set, of a group if one is given, below this root (whose run is empty)."""
         node, at, n = self, 0, len(keys)
+        mark = Tree.MIXED if kin is None else kin
         while True:
             node.least, node.most = min(node.least, n), max(node.most, n)
+            node.kin = mark if node.kin is None or node.kin == mark else Tree.MIXED
             if at == n:
                 node.sets.append(who)
                 return
             child = node.below.get(int(keys[at]))
             if child is None:
                 leaf = Tree(keys[at:])
-                leaf.least = leaf.most = n
+                leaf.least, leaf.most, leaf.kin = n, n, mark
                 leaf.sets.append(who)
                 node.below[int(keys[at])] = leaf
                 return
@@ -121,21 +128,24 @@ class Tree:
             common = m if same.all() else int(np.argmin(same))
             if common < len(child.run):  # split the edge
                 top = Tree(child.run[:common])
-                top.least, top.most = child.least, child.most
+                top.least, top.most, top.kin = child.least, child.most, child.kin
                 child.run = child.run[common:]
                 top.below[int(child.run[0])] = child
                 node.below[int(keys[at])] = top
                 child = top
             node, at = child, at + common
 
-    def linked(self, probe: np.ndarray, t: int) -> list[int]:
+    def linked(self, probe: np.ndarray, t: int, kin: int | None = None) -> list[int]:
         """Which sets link with the probe. Overlaps of shared paths are counted once; a subtree is left
-        when even all keys that both sides still have can't reach what its least set needs."""
+        when even all keys that both sides still have can't reach what its least set needs, or when all
+        its sets are of the probe's own group ``kin``."""
         out: list[int] = []
         n = len(probe)
         stack = [(self, 0, 0, 0)]  # node, keys of the path, overlap, position in the probe
         while stack:
             node, depth, over, at = stack.pop()
+            if kin is not None and node.kin == kin:
+                continue
             if len(node.run):
                 pos = np.searchsorted(probe[at:], node.run)
                 ok = pos < n - at
@@ -166,10 +176,9 @@ def _verify(texts: DataFrame, pairs: DataFrame, order: Order, k: int, t: int) ->
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            yield b.filter(pa.array(may_hold(some, np.nan_to_num(ids).astype(np.int64))))
+            yield b.filter(pa.array(may_hold(some, ids_of(b.column(0)))))
 
-    texts = texts.mapInArrow(near, "doc_id long, text string")
+    texts = texts.mapInArrow(tidy(near), "doc_id long, text string")
     rows = texts.join(routes, texts["doc_id"] == routes["id"]).select("a", "slice", "role", "id", "text")
     rows = rows.repartition("a", "slice").sortWithinPartitions("a", "slice", "role")
 
@@ -197,47 +206,68 @@ def _verify(texts: DataFrame, pairs: DataFrame, order: Order, k: int, t: int) ->
             out = close()
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
+
+
+class Forest:
+    """Groups that links join, one by one."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were apart until now."""
+        x, y = self.top(x), self.top(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
 
 
 def _verify_blocks(texts: DataFrame, members: DataFrame, order: Order, k: int, t: int) -> DataFrame:
-    """Links (a, b) among the members of each family: rows (fam, rep, m members).
+    """Links (a, b) between components that join those of each family: rows (fam, rep, comp, m members).
 
     A family is dealt in blocks of about TREE members by hash. Each two blocks
     meet in a task of their own, where one block's prefix tree is traversed by
     the sets of the other; within a block each set traverses the tree of those
-    before it. So a text travels once per block, not once per pair.
+    before it. So a text travels once per block, not once per pair. A traversal
+    leaves subtrees of the set's own component, and a link between components
+    that are joined already isn't told: what comes out is a forest of the
+    components, never a row per pair.
     """
     dealt = members.withColumn("blocks", F.ceil(F.col("m") / TREE).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    met = dealt.select("fam", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("fam", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("role"), F.col("rep").alias("id"))
+    met = dealt.select("fam", "rep", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("fam", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("role"), F.col("rep").alias("id"), "comp")
     some = id_filter(members.select("rep"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            yield b.filter(pa.array(may_hold(some, np.nan_to_num(ids).astype(np.int64))))
+            yield b.filter(pa.array(may_hold(some, ids_of(b.column(0)))))
 
-    texts = texts.mapInArrow(near, "doc_id long, text string")
-    rows = texts.join(met, texts["doc_id"] == met["id"]).select("fam", "x", "y", "role", "id", "text")
+    texts = texts.mapInArrow(tidy(near), "doc_id long, text string")
+    rows = texts.join(met, texts["doc_id"] == met["id"]).select("fam", "x", "y", "role", "comp", "id", "text")
     rows = rows.repartition("fam", "x", "y").sortWithinPartitions("fam", "x", "y", "role", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, tree = None, None
+        group, tree, joined = None, None, None
         for batch in batches:
             out: list[tuple[int, int]] = []
             for part in slices(batch, "text"):
                 keys = zip(*(part.column(i).to_pylist() for i in range(5)), strict=True)
-                for (fam, x, y, role, who), own in zip(keys, Words(part.column(5), LOWER).shingle_sets(k, order), strict=True):
+                for (fam, x, y, role, comp), own in zip(keys, Words(part.column(6), LOWER).shingle_sets(k, order), strict=True):
                     if (fam, x, y) != group:
-                        group, tree = (fam, x, y), Tree(own[:0])
+                        group, tree, joined = (fam, x, y), Tree(own[:0]), Forest()
                     if role:
-                        out += [(who, b) for b in tree.linked(own, t)]
+                        out += [(comp, c) for c in tree.linked(own, t, comp) if joined.join(comp, c)]
                     if role != 1:
-                        tree.add(own, who)
+                        tree.add(own, comp, comp)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 def _propose(met: DataFrame, t: int) -> DataFrame:
@@ -260,7 +290,7 @@ def ngram_classes(documents: DataFrame, n_gram: int = 4, percent: int = 85, id_c
     """(doc_id, n_shingles, component_id) of each document: classes of linked n-gram sets.
 
     Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; the set of
-    distinct n-grams (as 64-bit fingerprints), of a shorter text the whole
+    distinct n-grams (as fingerprints of 62 bits), of a shorter text the whole
     sequence as one. Sets link at 100 * intersection >= percent * union;
     component_id is the smallest id reachable. A null or empty text has an
     empty set and links with nothing; equal texts link; rows that repeat an id
@@ -294,7 +324,7 @@ def ngram_classes(documents: DataFrame, n_gram: int = 4, percent: int = 85, id_c
                     names=["doc_id", "n", "s1", "s2", "prefix"],
                 )
 
-    signed = stored(texts.mapInArrow(sign, "doc_id long, n long, s1 long, s2 long, prefix array<long>"))
+    signed = stored(texts.mapInArrow(tidy(sign), "doc_id long, n long, s1 long, s2 long, prefix array<long>"))
     sets = signed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
     entries = sets.select("rep", "n", F.posexplode("prefix").alias("pos", "h")).repartition("h")
     crowd = entries.groupBy("h").agg(F.count("*").alias("members")).where("members > 1")
@@ -324,12 +354,14 @@ def ngram_classes(documents: DataFrame, n_gram: int = 4, percent: int = 85, id_c
     apart = x.join(y, F.col("x.h") == F.col("y.h")).where((F.col("x.comp") < F.col("y.comp")) & ((F.col("x.fam") != F.col("y.fam")) | (F.coalesce("x.m", F.lit(0)) <= FAMILY)))
     rest = cut(_propose(apart.select(F.col("x.rep").alias("a"), F.col("x.n").alias("na"), F.col("x.pos").alias("i"), F.col("y.rep").alias("b"), F.col("y.n").alias("nb"), F.col("y.pos").alias("j")), t))
     more = cut(_verify(texts, rest.join(tried.unionAll(tried.select("b", "a")), ["a", "b"], "left_anti"), order, k, t))
-    dense = cut(_verify_blocks(texts, place.join(size.where(F.col("m") > FAMILY), "fam").select("fam", "rep", "m"), order, k, t))
-    links = first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(dense)
-    final = components(links)
-
-    reps = sets.select("n", "s1", "s2", "rep")
-    classes = reps.join(final, reps["rep"] == final["id"], "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("class"))
+    dense = _verify_blocks(texts, place.join(size.where(F.col("m") > FAMILY), "fam").select("fam", "rep", "comp", "m"), order, k, t)
+    # the components so far are joined by these links: what was settled isn't gone through again
+    of = lambda side: place.select(F.col("rep").alias(side), F.col("comp").alias(f"c{side}"))
+    between = more.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    final = components(cut(between.unionByName(dense)))
+
+    reps = sets.select("n", "s1", "s2", "rep").join(place.select("rep", "comp"), "rep", "left")
+    classes = reps.join(final, reps["comp"] == final["id"], "left").select("n", "s1", "s2", F.coalesce("component", "comp", "rep").alias("class"))
     least = classes.groupBy("n", "s1", "s2").agg(F.min("class").alias("class"))
     return (
         signed.select("doc_id", "n", "s1", "s2")

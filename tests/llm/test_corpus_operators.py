@@ -3,15 +3,18 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from planeframe.llm import caps, licenses, lm_scoring, ngram_join, packing, pieces, pii, quality, tokens, toxicity
-from planeframe.llm.common import Index, components, id_filter, may_hold, mix
+from planeframe.llm import caps, licenses, lm_context, lm_scoring, ngram_join, packing, pieces, pii, quality, tokens, toxicity
+from planeframe.llm.common import LOWER as LOWER_TABLE
+from planeframe.llm.common import Index, Words, components, id_filter, may_hold, mix
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -129,6 +132,40 @@ def test_license_in_long_lines_and_below_a_title(spark):
     assert got == {0: ("MIT", "MIT", None), 1: ("MIT", "MIT", None), 2: (None, "MIT", "b")}
 
 
+def brute_licenses(texts):
+    """(license, cosine) of each text by the definition: all lines, two and three lines, and the whole."""
+    terms = lambda t: re.findall(r"[^\x20\x09-\x0D!-/:-@\[-`{-~]+", t.translate(LOWER))
+    known = licenses.TEMPLATES + licenses.FULL
+    vocabulary = {w for _, t in known for w in terms(t)}
+    df = Counter(w for t in texts for w in set(terms(t or "")) & vocabulary)
+    idf = lambda w: np.log((1 + len(texts)) / (1 + df[w])) + 1 if w in vocabulary else np.log(1 + len(texts)) + 1
+    vector = lambda t: {w: n * idf(w) for w, n in Counter(terms(t)).items()}
+    norm = lambda v: np.sqrt(sum(x * x for x in v.values()))
+    models = [(name, vector(t)) for name, t in known]
+    out = []
+    for t in texts:
+        lines = [x for x in (t or "").split("\n") if terms(x)]
+        windows = ["\n".join(lines[i : i + k]) for k in (1, 2, 3) for i in range(len(lines) - k + 1)] + [t or ""]
+        best = max(((round(sum(x * m.get(w, 0) for w, x in v.items()) / norm(v) / norm(m), 9), -j) for u in windows if (v := vector(u)) for j, (_, m) in enumerate(models)), default=(0, 0))
+        out.append((models[-best[1]][0], best[0]) if best[0] >= licenses.COSINE else (None, None))
+    return out
+
+
+@pytest.mark.parametrize("share", [0.25, 1.0])
+def test_license_scan_matches_brute_force(spark, share):
+    rnd = random.Random(int(share * 4))
+    filler = lambda n: " ".join(rnd.choice(["run", "the", "code", "of", "license", "river", "version"]) for _ in range(n))
+    mit = "Released under the MIT License."
+    texts = [f"{filler(5)}\n{mit}\n{filler(9)}" if i < 24 * share else filler(12) for i in range(24)]
+    texts += [mit + " " + filler(3), mit + " " + filler(30), f"{mit} " * 13, "Released under\nthe MIT\nLicense.", licenses.FULL[0][1], "Copyright 2020 A B\n\n" + licenses.FULL[2][1], licenses.FULL[1][1].replace("\n", " "), filler(400) + "\n" + licenses.FULL[3][1]]
+    texts += [" ".join(rnd.choice(t.split()) for _ in range(8)) for _, t in licenses.TEMPLATES] + [t for _, t in licenses.TEMPLATES] + [None, "", "\n\n", "All rights reserved", "ALL RIGHTS\nRESERVED!"]
+    d = docs(spark, texts)
+    got = {r["doc_id"]: r for r in licenses.license_scan(d, F.concat(F.lit("p/"), F.col("doc_id").cast("string"))).collect()}
+    for i, (name, cos) in enumerate(brute_licenses(texts)):
+        assert got[i]["own_license"] == name, (i, texts[i], cos)
+        assert got[i]["own_cosine"] == (None if cos is None else pytest.approx(cos, abs=2e-6))
+
+
 # --- 2 quality
 
 
@@ -212,6 +249,24 @@ def test_ngram_join(spark, odd, monkeypatch, percent, blocks):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts, 4, percent)
 
 
+def test_ngram_join_keeps_links_beside_null_ids(spark):
+    """Ids beyond 2**53 stay exact in batches that hold a null id."""
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*base[:i], "x", *base[i + 1 :]]) if i else " ".join(base) for i in range(0, 60, 12)] + ["other words of no one"]
+    ids = [(1 << 60) + 2 * i + 1 for i in range(5)] + [None]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_classes(docs(spark, texts, ids).coalesce(1)).collect()}
+    assert got == {**dict.fromkeys(ids[:5], ids[0]), None: None}
+
+
+def test_tree_leaves_its_own_group():
+    sets = [np.arange(i, i + 20) for i in range(6)]
+    tree = ngram_join.Tree(np.zeros(0, np.int64))
+    for i, x in enumerate(sets):
+        tree.add(x, i, i % 2)
+    assert sorted(tree.linked(sets[2], 85, 7)) == [1, 2, 3]
+    assert {i for i in tree.linked(sets[2], 85, 0) if i % 2} == {1, 3}
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.ngram_classes(empty(spark)).count() == 0
 
@@ -357,6 +412,20 @@ def test_sentencepiece_matches_library(spark, wild):
     assert pieces.encode_pieces(empty(spark), path).count() == 0
 
 
+def test_sentencepiece_of_endless_words():
+    """Runs of spaces and words of any length take time in proportion, and give what the library gives."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, lib = pieces.PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rnd = random.Random(1)
+    letters = lambda s, n: "".join(rnd.choice(s) for _ in range(n))
+    for t in (" " * 100_000, "a" * 3000, letters("etaoinshr", 120_000), "x" + " " * 5000 + "yz" * 2000, letters("éa日😀 ", 5000), " " * 17 + "ab", letters("etaoin", 1001), "ab" * 50_001):
+        began = time.perf_counter()
+        assert model.encode([t])[0].tolist() == lib.encode([t], num_threads=1)[0]
+        assert time.perf_counter() - began < 20
+
+
 def test_token_counts_match_library(spark, wild):
     from tokenizers import Tokenizer
 
@@ -500,6 +569,28 @@ def test_near_vectors(spark, monkeypatch, block):
     assert caps.near_vectors(df.where("false")).count() == 0
 
 
+def test_balls_count_as_their_vectors(spark, monkeypatch):
+    """Groups of many near vectors at angles around the limit: decided as wholes, member by member, and vector by vector."""
+    monkeypatch.setattr(caps, "BLOCK", 7)
+    monkeypatch.setattr(caps, "CELL_SIZE", 9)
+    rnd = np.random.default_rng(3)
+    rows = []
+    for turn in (0.0, 0.2, 0.36, 0.5, 1.2):
+        centre = np.zeros(32)
+        centre[0], centre[1] = np.cos(turn), np.sin(turn)
+        rows += [(centre + rnd.normal(0, s, 32)).tolist() for s in (0.002, 0.01, 0.02) for _ in range(12)]
+    unit = np.array(rows) / np.linalg.norm(rows, axis=1)[:, None]
+    near = unit @ unit.T >= 0.93
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in caps.near_vectors(df).collect()}
+    root = list(range(len(rows)))
+    for _ in rows:
+        root = [min(root[j] for j in np.flatnonzero(near[i])) for i in range(len(rows))]
+    want = {i: (int(near[i].sum()) - 1, root[i]) for i in range(len(rows))}
+    assert got == want
+    assert len(set(root)) == 2
+
+
 # --- 9 language model
 
 
@@ -538,15 +629,104 @@ def test_lm_scores_know_the_order_of_words(spark):
     assert score[held[0]] > score[held[1]] + 40
 
 
-def test_factors_keep_a_distribution():
+def test_lm_scores_do_not_depend_on_what_is_broadcast(spark, odd):
+    d = docs(spark, odd)
+    score = lambda n: sorted((r["doc_id"], r["score"], r["base_score"]) for r in lm_scoring.lm_scores(d, frequent=n).collect())
+    for a, b in zip(score(1), score(100_000), strict=True):
+        assert a == pytest.approx(b, rel=1e-9)
+
+
+def code_stream(codes, contexts=(5, 9)):
+    """Texts of one token each, all in the same contexts."""
+    n = len(codes)
+    s = lm_context.Stream.__new__(lm_context.Stream)
+    s.begin = s.ends = s.owner = np.arange(n)
+    s.code = np.asarray(codes)
+    s.hash = s.code.astype(np.uint64) << np.uint64(64 - lm_context.CODE)
+    s.contexts = [np.full(n, c, np.uint64) for c in contexts]
+    return s
+
+
+def test_codes_keep_a_distribution():
     """Whatever stands before a token, the probabilities of all codes add up to one."""
     rnd = np.random.default_rng(1)
-    mass = rnd.random(1 << lm_scoring.CODE)
-    f = lm_scoring.Follow([rnd.integers(0, 9, 2 << n).astype(np.float32) for n in lm_scoring.FOLLOW], mass)
-    h = np.arange(len(mass), dtype=np.uint64) << np.uint64(64 - lm_scoring.CODE)
-    factor = f.factor(h, [np.full(len(h), x, np.uint64) for x in (1, 2, 3)])
-    assert factor.std() > 0.1
-    assert (factor * mass).sum() / mass.sum() == pytest.approx(1.0)
+    n = 1 << lm_context.CODE
+    tables = [rnd.integers(0, 9, (1 << b, 2)).astype(np.uint16) for b in lm_context.FOLLOW]
+    m = lm_context.CodeMixer(tables, rnd.random(n), rnd.normal(0, 0.5, (lm_context.GATES, lm_context.INPUTS)), np.sort(rnd.random((2, lm_context.GATES * lm_context.STEPS)), axis=0)[::-1] * 100)
+    hint = np.array([77], "<u2").tobytes()
+    for at, codes in ((None, None), (pa.array([[0]] * n), pa.array([[hint]] * n, pa.list_(pa.binary())))):
+        p = 10.0 ** m.log10(code_stream(np.arange(n)), np.ones(n, bool), at, codes)
+        assert p.std() > 0
+        assert p.sum() == pytest.approx(1.0)
+    assert p[77] > 2 * np.median(p)
+
+
+def test_running_text_is_mixed_as_by_a_plain_model(spark):
+    """Counts, deletion of the own occurrence, inputs, gates, mixture, map and cache, one bit at a time with dictionaries for tables."""
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 2) for _ in range(rnd.randint(0, 30))) for _ in range(20)]
+    held = np.array([i % 4 == 0 for i in range(20)])
+    src = spark.createDataFrame([(t, bool(h)) for t, h in zip(texts, held, strict=True)], "text string, held boolean")
+    rng = np.random.default_rng(2)
+    mass, weights = rng.random(1 << lm_context.CODE), rng.normal(0.3, 0.3, (lm_context.GATES, lm_context.INPUTS))
+    hits = np.sort(rng.random((2, lm_context.GATES * lm_context.STEPS)), axis=0)[::-1] * 100
+    m = lm_context.CodeMixer(lm_context.follow_tables(src), mass, weights, hits)
+    s = lm_context.Stream(Words(pa.array(texts), LOWER_TABLE))
+    got = m.log10(s, held)
+    C = lm_context.CODE
+    seen = defaultdict(lambda: [0, 0])
+    streams = [s.code[b : e + 1].tolist() for b, e in zip(s.begin, s.ends, strict=True)]
+    path = lambda c: [(1 << k | c >> (C - k), c >> (C - 1 - k) & 1) for k in range(C)]
+    around = lambda t, i: ((t[i - 1],) if i else ("begin",), (t[i - 1], t[i - 2] if i > 1 else "begin") if i else ("begin", "begin"))
+    for t, h in zip(streams, held, strict=True):
+        for i, c in enumerate(t):
+            for node, bit in path(c):
+                for ctx in around(t, i):
+                    seen[ctx, node][bit] += not h
+    below = np.concatenate([np.zeros(1 << C), mass])
+    for i in range((1 << C) - 1, 0, -1):
+        below[i] = below[2 * i] + below[2 * i + 1]
+    want = []
+    for t, h in zip(streams, held, strict=True):
+        for i, c in enumerate(t):
+            total, match = 0.0, next((t[j] for j in range(i - 1, -1, -1) if around(t, j)[1] == around(t, i)[1]), -1)
+            for k, (node, bit) in enumerate(path(c)):
+                one = below[2 * node + 1] / below[node]
+                x, n = [np.log(one / (1 - one))], []
+                for ctx in around(t, i):
+                    counts = list(seen[ctx, node])
+                    counts[bit] -= not h
+                    n.append(sum(counts))
+                    x.append(np.log(counts[1] + lm_context.PRIOR) - np.log(counts[0] + lm_context.PRIOR))
+                fits = match >= 0 and match >> (C - k) == c >> (C - k)
+                x += [0.0, (2 * (match >> (C - 1 - k) & 1) - 1) if fits else 0.0, 0.3]
+                gate = (int(fits) * 3 + sum(n[0] >= v for v in (4, 64))) * 4 + sum(n[1] >= v for v in (1, 2, 4))
+                p = 1 / (1 + np.exp(-np.dot(weights[gate], x)))
+                at = (np.clip(np.log(p / (1 - p)), -8, 8) + 8) * (lm_context.STEPS - 1) / 16
+                lo = min(int(at), lm_context.STEPS - 2)
+                odds = [(hits[1][gate * lm_context.STEPS + v] + lm_context.IDENTITY / (1 + np.exp(-(v * 16 / (lm_context.STEPS - 1) - 8)))) / (hits[0][gate * lm_context.STEPS + v] + lm_context.IDENTITY) for v in (lo, lo + 1)]
+                p = np.clip((p + odds[0] * (1 - at + lo) + odds[1] * (at - lo)) / 2, 1e-6, 1 - 1e-6)
+                total += np.log(p if bit else 1 - p)
+            part = lm_context.CACHE * i / (i + lm_context.CACHE_AT)
+            want.append(np.log10((1 - part) * np.exp(total) + part * sum(y == c for y in t[:i]) / max(i, 1)))
+    assert np.isclose(got, want, atol=1e-3).mean() > 0.99  # all but where two contexts share a slot
+
+
+def test_hints_come_from_other_places(spark):
+    text = lambda tag, n=600: " ".join(f"{tag}{i}" for i in range(n))
+    rows = [(text("a"), False), (text("a"), False), (text("b"), False), (text("c"), False), (text("c"), True), (text("d") + " " + text("e"), False), (text("d") + " other", False), ("", False), (None, True)]
+    src = spark.createDataFrame(rows, "text string, held boolean").withColumn("key", F.xxhash64("text")).repartition(3)
+    found = {(r["key"], r["held"]): r for r in lm_context.hints(src).collect()}
+    key = {t: spark.createDataFrame([(t,)], "t string").select(F.xxhash64("t")).first()[0] for t, _ in rows}
+    assert set(found) == {(key[text("a")], False), (key[text("c")], True), (key[rows[5][0]], False), (key[rows[6][0]], False)}
+    s = lm_context.Stream(Words(pa.array([rows[6][0]]), LOWER_TABLE))
+    r = found[key[rows[6][0]], False]
+    hint, trust = lm_context._spread(s, pa.array([r["at"]]), pa.array([r["codes"]], pa.list_(pa.binary())))
+    on = hint >= 0
+    assert on.sum() > 200
+    assert (hint[on] == s.code[on]).mean() > 0.9  # all up to where the texts part
+    assert trust[on].mean() > 0.9
+    assert lm_context.hints(src.where("false")).count() == 0
 
 
 def test_spelling_is_a_distribution():
