@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,31 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("LicenseRef-Proprietary", "All rights reserved."),
 ]
+#: Whole license texts by SPDX identifier (fixed values), without names and years: a license file is compared with them as a whole.
+FULL: list[tuple[str, str]] = [
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""),
+    ("Unlicense", """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+]
 #: Least cosine of a match, and lines with words of a file's head, in which the beginning of a notice makes it a license file of its directory.
 COSINE, HEAD_LINES = 0.75, 20
+#: Parts that the files of a directory are dealt in when they meet its license.
+SALTS = 16
 
 #: Letters in lower case, digits and other bytes as they are; ASCII punctuation separates, the line feed stays a mark of its own.
 _TABLE = np.arange(256, dtype=np.uint8)
@@ -77,8 +101,8 @@ def _frequencies(texts: DataFrame, templates: Templates) -> tuple[int, np.ndarra
     return int(got.get(n, 0)), np.array([got.get(i, 0) for i in range(n)], float)
 
 
-def _windows(w: Words, line: np.ndarray, code: np.ndarray, unit: np.ndarray, idf: np.ndarray, rare: float, cosine: float) -> Iterator[tuple[int, int, int]]:
-    """(first word, end, place of the first line in its text) of the one, two or three lines that may reach the cosine.
+def _windows(w: Words, line: np.ndarray, code: np.ndarray, unit: np.ndarray, idf: np.ndarray, rare: float, cosine: float, joined: int = 3) -> Iterator[tuple[int, int, int]]:
+    """(first word, end, place of the first line in its text) of the one to ``joined`` lines that may reach the cosine.
 
     A bound decides, never how common a term is: the products with the templates
     add up over lines, and a vector's square is at least the sum of its lines'
@@ -97,7 +121,7 @@ def _windows(w: Words, line: np.ndarray, code: np.ndarray, unit: np.ndarray, idf
     value = times * idf[term]
     products = np.stack([np.bincount(at, value * u[term], n) for u in unit])
     square = np.bincount(at, value**2, n) + np.bincount(row[~inner], minlength=n) * rare**2
-    for more in range(min(3, n)):
+    for more in range(min(joined, n)):
         k = n - more
         dot, least = sum(products[:, i : i + k] for i in range(more + 1)), sum(square[i : i + k] for i in range(more + 1))
         may = (text[:k] == text[more:]) & (dot.max(axis=0) >= (cosine - 1e-9) * np.sqrt(least))
@@ -105,11 +129,11 @@ def _windows(w: Words, line: np.ndarray, code: np.ndarray, unit: np.ndarray, idf
             yield int(first[i]), int(end[i + more]), int(place[i])
 
 
-def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, cosine: float = COSINE, head_lines: int = HEAD_LINES) -> DataFrame:
+def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES + FULL, cosine: float = COSINE, head_lines: int = HEAD_LINES) -> DataFrame:
     """(doc_id, path, own_license, own_cosine, license, inherited_from) of each file.
 
-    Every line of a whole text, and every two and three lines together (a notice
-    may be wrapped), is a TF-IDF vector of its words; ``own_license`` is the
+    Every line of a whole text, every two and three lines together (a notice may
+    be wrapped), and the whole text (a license file) is a TF-IDF vector of its words; ``own_license`` is the
     template of the greatest cosine, if that reaches ``cosine`` (ties: the
     earlier template). Document frequencies count all files; words that no
     template has weigh as the rarest ones. A file with a match in its first
@@ -138,8 +162,9 @@ def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_co
                 best, name, head = np.zeros(len(w)), np.full(len(w), -1), np.zeros(len(w), bool)
                 breaks = np.flatnonzero(w.data == 10)
                 code = known.codes(w.hash)
-                line = np.searchsorted(breaks, w.start) + np.repeat(np.arange(len(w)), np.diff(w.first))  # a text's begin is a break, too
-                for x, y, lo in _windows(w, line, code, unit, idf, rare, cosine):
+                owner = np.repeat(np.arange(len(w)), np.diff(w.first))
+                line = np.searchsorted(breaks, w.start) + owner  # a text's begin is a break, too
+                for x, y, lo in chain(_windows(w, line, code, unit, idf, rare, cosine), _windows(w, owner, code, unit, idf, rare, cosine, 1)):
                     d = int(np.searchsorted(w.first, x, "right")) - 1
                     c = code[x:y]
                     inside = np.bincount(c[c >= 0], minlength=len(idf)) * idf
@@ -163,7 +188,10 @@ def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_co
     parts = F.split("dir", "/")
     up = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, 1, i), "/").alias("ancestor")))).alias("a")).select(F.col("dir").alias("of"), "a.depth", "a.ancestor").distinct()
     near = up.join(licensed, F.col("ancestor") == F.col("_dir")).groupBy("of").agg(F.max_by(F.struct("ancestor", "dir_license"), "depth").alias("near"))
-    return scan.join(near, F.col("dir") == F.col("of"), "left").select(
+    # a directory may hold a third of all files, so they are dealt in parts, each with the directory's one row
+    near = near.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = scan.withColumn("_part", F.pmod(F.xxhash64("doc_id", "path"), F.lit(SALTS)).cast("int"))
+    return dealt.join(near, (F.col("dir") == F.col("of")) & (F.col("_part") == F.col("part")), "left").select(
         "doc_id", "path", "own_license", "own_cosine",
         F.coalesce("own_license", F.when(F.col("path").isNotNull(), F.col("near.dir_license"))).alias("license"),
         F.when(F.col("own_license").isNull() & F.col("path").isNotNull(), F.col("near.ancestor")).alias("inherited_from"),
@@ -171,7 +199,7 @@ def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_co
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
-    """Documents as files: a folder for each source, in it one for each language but English, in that one for each thousand ids."""
+    """The whole table, cases as in ``license_scan``. Documents as files: a folder for each source, in it one for each language but English, in that one for each thousand ids."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     deep = F.concat_ws("/", "source", "lang", F.expr("doc_id div 1000").cast("string"))
     path = F.concat_ws("/", F.when(F.col("lang") == "en", F.col("source")).otherwise(deep), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
