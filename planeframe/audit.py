@@ -30,12 +30,9 @@ class TraceLog:
     def __init__(self, path: str | None = None):
         self.path, self.lock = path, threading.Lock()
         self.events: dict[str, list[dict]] = {}
-        if path and os.path.exists(path):
-            with open(path, encoding="utf-8") as f:
-                for line in f:
-                    e = json.loads(line)
-                    self._check(e["trace_id"], e["event"])
-                    self.events.setdefault(e["trace_id"], []).append(e)
+        for e in _read(path):
+            self._check(e["trace_id"], e["event"])
+            self.events.setdefault(e["trace_id"], []).append(e)
 
     def _check(self, trace_id: str, event: str) -> None:
         have = self.events.get(trace_id)
@@ -66,6 +63,8 @@ class ResolutionLog:
     def __init__(self, path: str | None = None):
         self.path, self.lock = path, threading.Lock()
         self.events: dict[str, list[dict]] = {}
+        for e in _read(path):
+            self.events.setdefault(e["request_id"], []).append(e)
 
     def add(self, request_id: str, event: str, attempt: int | None = None, **data: Any) -> None:
         with self.lock:
@@ -89,6 +88,14 @@ class ResolutionLog:
                 _append(self.path, e)
 
 
+def _read(path: str | None) -> list[dict]:
+    """What a log holds already."""
+    if not path or not os.path.exists(path):
+        return []
+    with open(path, encoding="utf-8") as f:
+        return [json.loads(line) for line in f if line.strip()]
+
+
 def _append(path: str, record: Mapping) -> None:
     with open(path, "a", encoding="utf-8") as f:
         f.write(json.dumps(record, sort_keys=True, ensure_ascii=False) + "\n")
@@ -125,12 +132,18 @@ class Outcome:
         object.__setattr__(self, "succeeded", told)
 
 
+def _outcome(v: Mapping) -> Outcome:
+    """An outcome from its JSON."""
+    told = tuple(Assertion(a["name"], a["passed"], None if a["score"] is None else Decimal(a["score"])) for a in v["assertions"])
+    return Outcome(v["outcome_id"], v["target"], v["task"], v["evaluator"], told, datetime.fromisoformat(v["observed_at"]), v["idempotency_key"], v["succeeded"])
+
+
 class OutcomeLog:
-    """Outcomes; recording one again under its key changes nothing, another one under that key is refused."""
+    """Outcomes; recording one again under its key changes nothing, another one under that key is refused. A log with a path knows what it held."""
 
     def __init__(self, path: str | None = None):
         self.path, self.lock = path, threading.Lock()
-        self.records: dict[str, Outcome] = {}
+        self.records: dict[str, Outcome] = {v["idempotency_key"]: _outcome(v) for v in _read(path)}
 
     def record(self, outcome: Outcome) -> Outcome:
         with self.lock:
@@ -164,7 +177,7 @@ def frame_fingerprint(df: DataFrame) -> str:
 
 
 class ResultStore:
-    """Results of source operations as Parquet by (trace, operation), for replay."""
+    """Results of source operations as Parquet by (trace, operation), and the plan of a trace with all its fingerprints: what a replay needs, also in another process."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -182,6 +195,19 @@ class ResultStore:
         self.known[trace_id, op_id] = marks
         return digest(marks)
 
+    def save_plan(self, trace_id: str, plan: str, marks: Mapping[str, str], final: str) -> None:
+        """The plan as JSON, the fingerprint of each recorded result, and that of the whole one."""
+        record = json.dumps({"plan": plan, "marks": dict(marks), "final": final, "known": {op: m for (t, op), m in self.known.items() if t == trace_id}}, sort_keys=True)
+        self.spark.createDataFrame([(record,)], "value string").coalesce(1).write.mode("overwrite").text(self._path(trace_id, "plan", "record"))
+
+    def load_plan(self, trace_id: str) -> tuple[str, dict[str, str], str]:
+        try:
+            record = json.loads(self.spark.read.text(self._path(trace_id, "plan", "record"), wholetext=True).first()[0])
+        except Exception:
+            raise TraceNotFoundError(f"no recorded plan of {trace_id}") from None
+        self.known |= {(trace_id, op): m for op, m in record["known"].items()}
+        return record["plan"], record["marks"], record["final"]
+
     def load(self, trace_id: str, op_id: str) -> tuple[DataFrame | None, DataFrame | None, str]:
         marks = self.known.get((trace_id, op_id))
         if marks is None:

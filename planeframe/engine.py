@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -16,6 +18,7 @@ from .errors import (
     ArtifactIntegrityError,
     BudgetExceeded,
     DeadlineExceeded,
+    DuplicateSourceError,
     ExecutionError,
     IdempotencyConflictError,
     KernelError,
@@ -30,7 +33,7 @@ from .errors import (
 )
 from .model import Context, EffectLevel, ResultKind, SnapshotRef, SourceDescriptor, SourceKind, SourceRef, Usage, digest, now
 from .operators.relation import IDS, ORDER, Relation, col
-from .plans import Issue, Plan, Ref, plan_to_json, topological_order, validate
+from .plans import Issue, Plan, Ref, plan_from_json, plan_to_json, topological_order, validate
 from .plans.operations import DATAFLOW, Operation
 from .sources.base import Source, SourceResult
 
@@ -75,7 +78,10 @@ class Catalog:
             self.register(s)
 
     def register(self, source: Source) -> None:
-        self.sources[source.descriptor.ref.source_id] = source
+        """Add a source; its id must be new."""
+        if (name := source.descriptor.ref.source_id) in self.sources:
+            raise DuplicateSourceError(f"there is a source {name}")
+        self.sources[name] = source
 
     def descriptors(self) -> dict[str, SourceDescriptor]:
         return {k: s.descriptor for k, s in self.sources.items()}
@@ -152,12 +158,15 @@ class Engine:
         if self.traces:
             self.traces.add(context.trace_id, "plan_started", plan=mark, operations=len(plan.operations))
         try:
-            done, marks = self._run(plan, context)
+            with stopped_at(self.spark, context):
+                done, marks = self._run(plan, context)
             env = self._select(done, plan.output)
             if self.traces:
                 final = self._mark(env)
                 self.traces.add(context.trace_id, "plan_completed", result=final)
                 self.plans[context.trace_id] = (plan, mark, marks, final)
+                if self.results:
+                    self.results.save_plan(context.trace_id, plan_to_json(plan), marks, final)
             return env
         except Exception as e:
             if self.traces:
@@ -296,6 +305,9 @@ class Engine:
         events = self.traces.get(trace_id)
         if not any(e["event"] == "plan_completed" for e in events):
             raise ReplayError("only completed plans can be replayed")
+        if trace_id not in self.plans:  # another process ran it
+            told, marks, final = self.results.load_plan(trace_id)
+            self.plans[trace_id] = (plan := plan_from_json(told), digest(plan_to_json(plan)), marks, final)
         plan, mark, marks, final = self.plans[trace_id]
         if digest(plan_to_json(plan)) != mark or events[0]["plan"] != mark:
             raise ReplayError("the plan isn't the one that ran")
@@ -424,6 +436,32 @@ def failure_kind(e: Exception) -> str:
     return "execution" if isinstance(e, KernelError) else "internal"
 
 
+@contextmanager
+def stopped_at(spark: SparkSession, context: Context):
+    """Cancel the jobs that run in here when the deadline comes; what they raise then is that it has passed."""
+    if context.deadline is None:
+        yield
+        return
+    sc, name = spark.sparkContext, f"deadline:{context.trace_id}"
+    sc.setJobGroup(name, name, True)
+    watch = threading.Timer(max(0.0, (context.deadline - now()).total_seconds()), sc.cancelJobGroup, (name,))
+    watch.daemon = True
+    watch.start()
+    try:
+        yield
+    except KernelError as e:
+        if not isinstance(e, SourceExecutionError):
+            raise
+        _deadline(context)
+        raise
+    except Exception:
+        _deadline(context)
+        raise
+    finally:
+        watch.cancel()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
 def _deadline(context: Context) -> None:
     if context.deadline is not None and now() >= context.deadline:
         raise DeadlineExceeded("the deadline has passed")

@@ -53,6 +53,10 @@ class DeadlineExceeded(ExecutionError):
     """The deadline of the context has passed."""
 
 
+class DuplicateSourceError(ExecutionError):
+    """The catalog has a source of this id."""
+
+
 class SourceExecutionError(ExecutionError):
     """A source failed: the one kind of failure a plan may be replaced for."""
 

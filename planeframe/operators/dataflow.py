@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ExecutionError
 from ..functions.predicates import family, predicate
-from .relation import EVIDENCE_NAMES, IDS, ORDER, Relation, col
+from .relation import EVIDENCE_NAMES, IDS, ORDER, Relation, col, ranked
 
 
 def _need(r: Relation, names) -> None:
@@ -34,8 +34,8 @@ def join_rows(left: Relation, right: Relation, left_on, right_on, left_alias: st
     """Inner equi-join; null keys match nothing, keys of different type families never match.
 
     All fields of both sides remain under their alias. Output order is that of
-    the left side, then of the right; numbering it costs a global sort, so it is
-    left out with ``ordered=False``, for results that nobody reads in order.
+    the left side, then of the right: a pair of both orders, so no row has to
+    wait for a number. With ``ordered=False`` there is none.
     """
     _need(left, left_on)
     _need(right, right_on)
@@ -52,7 +52,7 @@ def join_rows(left: Relation, right: Relation, left_on, right_on, left_alias: st
         conditions.append(cx == cy if fx == fy else F.lit(False))
     fields = [f"{left_alias}.{f}" for f in left.fields] + [f"{right_alias}.{f}" for f in right.fields]
     rows = a.join(b, reduce(lambda p, q: p & q, conditions), "inner")
-    order = F.row_number().over(Window.orderBy("_a", "_b")).cast("long") - 1 if ordered else F.lit(0).cast("long")
+    order = F.struct("_a", "_b") if ordered else F.lit(0).cast("long")
     rows = rows.select(*map(col, fields), order.alias(ORDER), F.array_distinct(F.concat("_ia", "_ib")).alias(IDS))
     both = [r.evidence for r in (left, right) if r.evidence is not None]
     evidence = compose_evidence(both) if both else None
@@ -69,9 +69,10 @@ def fuse(inputs: list[DataFrame], limit: int = 20, rank_constant: int = 60) -> D
     Each input gives 1 / (rank_constant + rank) to what it ranks, ranks from 1;
     what stands twice counts twice. Contributions are added in input and rank
     order, so the double sum doesn't depend on partitioning. Order: score
-    descending, then first seen.
+    descending, then first seen. Inputs of any size are ranked in parts of their
+    order; only the ``limit`` rows that are left are numbered in one task.
     """
-    tagged = [e.withColumn("_in", F.lit(i)).withColumn("_rank", F.row_number().over(Window.orderBy(ORDER))) for i, e in enumerate(inputs)]
+    tagged = [ranked(e, F.shiftright(F.col(ORDER), 16), F.col(ORDER)).withColumn("_in", F.lit(i)) for i, e in enumerate(inputs)]
     all_ = reduce(DataFrame.unionByName, tagged).withColumn("_gain", 1.0 / (F.lit(rank_constant) + F.col("_rank")))
     key = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(f"_k_{c}") for c in PROVENANCE]
     place = F.struct("_in", "_rank")

@@ -40,6 +40,18 @@ def used(evidence: DataFrame, rows: DataFrame) -> DataFrame:
     return evidence.join(ids, evidence["evidence_id"] == ids["_id"], "left_semi")
 
 
+def ranked(df: DataFrame, bucket: Column, *keys: Column, name: str = "_rank") -> DataFrame:
+    """Number all rows from 1 by the keys, which are unique, without a task that holds them all.
+
+    ``bucket`` falls or rises with the keys. Rows are numbered within their
+    bucket; what only one task adds up are the sizes of the buckets.
+    """
+    dealt = df.withColumn("_bucket", bucket)
+    before = dealt.groupBy("_bucket").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys))
+    return dealt.join(before.select("_bucket", F.coalesce("_before", F.lit(0)).alias("_before")), "_bucket").withColumn(name, (F.col("_before") + within).cast("long")).drop("_bucket", "_before")
+
+
 def with_order(df: DataFrame, *keys: Column, name: str = ORDER) -> DataFrame:
     """Number rows from 0 by the keys. Only for results that are already bounded by a limit."""
     return df.withColumn(name, F.row_number().over(Window.orderBy(*keys)).cast("long") - 1)

@@ -12,7 +12,7 @@ from .engine import Catalog, Engine
 from .functions.text import quoted
 from .model import Budget, ScopeRef
 from .operators import Relation, compose_evidence, filter_rows, fuse, join_rows, project
-from .operators.relation import IDS, ORDER, col, evidence_frame
+from .operators.relation import IDS, ORDER, col, evidence_frame, ranked, with_order
 from .plans import Binding, Filter, Fuse, Join, Plan, Project, Query, Ref, Search, Traverse
 from .sources import DocumentSource, GraphSource, SkillSource, SkillSpec, TableSource
 from .sources.document import apply_changes, search_frame
@@ -145,6 +145,26 @@ _sql("query_dates", "SELECT date_format(o_orderdate, 'yyyy-MM') AS month, count(
 _sql("query_strings", "SELECT p_partkey, upper(p_name) AS u, length(p_name) AS n, substring(p_brand, 1, 5) AS b, replace(p_type, ' ', '_') AS t, p_name LIKE '%a%' AS has_a FROM part")
 _sql("query_hash", "SELECT event_id, sha2(concat(cast(event_id AS string), '|', event_type), 256) AS h FROM events", "SELECT event_id, sha256(event_id::VARCHAR || '|' || event_type) AS h FROM events")
 
+_sql("query_subquery_rows", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part)")
+_sql("query_right_join", "SELECT o_orderkey, c_custkey FROM (SELECT * FROM orders WHERE o_orderstatus = 'P') o RIGHT JOIN customer ON o_custkey = c_custkey")
+_sql("query_range_join", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON b.n_nationkey BETWEEN a.n_nationkey + 1 AND a.n_nationkey + 3")
+_sql("query_null_logic", "SELECT o_orderkey, o_orderstatus NOT IN ('F', nullif(o_orderstatus, 'P')) AS a, nullif(o_orderstatus, 'F') IS NULL AS b, nullif(o_orderstatus, 'F') IS NOT DISTINCT FROM nullif(o_orderpriority, '1-URGENT') AS c FROM orders")
+_sql("query_empty_aggregate", "SELECT sum(o_totalprice) AS s, count(o_totalprice) AS n, max(o_orderdate) AS d, coalesce(cast(sum(o_totalprice) AS double), cast(0 AS double)) AS t FROM orders WHERE o_orderkey < 0")
+_sql("query_string_agg", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+_sql("query_division", "SELECT o_orderkey, o_custkey div 7 AS whole, o_custkey / 7 AS part, -o_custkey div 7 AS negative, o_custkey % 7 AS rest FROM orders", "SELECT o_orderkey, o_custkey // 7 AS whole, o_custkey / 7 AS part, -o_custkey // 7 AS negative, o_custkey % 7 AS rest FROM orders")
+_sql("query_division_by_zero", "SELECT o_orderkey, try_divide(o_totalprice, o_custkey % 5) AS ratio FROM orders", "SELECT o_orderkey, CASE WHEN o_custkey % 5 <> 0 THEN o_totalprice / (o_custkey % 5) END AS ratio FROM orders")
+_sql("query_concat", "SELECT n_name || '-' || n_nationkey AS a, concat(n_name, n_regionkey) AS b, n_name || nullif(n_name, 'FRANCE') AS c FROM nation")
+_sql("query_string_functions", "SELECT p_partkey, substr(p_name, -3) AS tail, instr(p_name, 'a') AS place, trim(BOTH 'x' FROM p_name) AS t, hex(p_brand) AS h, format_string('%05d', p_size) AS f, ascii(p_type) AS a, char(65 + p_size % 26) AS c FROM part", "SELECT p_partkey, substr(p_name, -3) AS tail, instr(p_name, 'a') AS place, trim(p_name, 'x') AS t, hex(p_brand) AS h, printf('%05d', p_size) AS f, ascii(p_type) AS a, chr(65 + p_size % 26) AS c FROM part")
+_sql("query_case_folding", "SELECT doc_id, upper(substr(text, 1, 40)) AS u, lower(substr(text, 1, 40)) AS l FROM documents WHERE lang IN ('fr', 'es') AND text IS NOT NULL", "SELECT doc_id, upper(substr(text, 1, 40)) AS u, lower(substr(text, 1, 40)) AS l FROM documents WHERE lang IN ('fr', 'es') AND text IS NOT NULL")
+_sql("query_patterns", "SELECT p_partkey, p_name ILIKE '%A%' AS i, p_type RLIKE '^[A-Z]+ ' AS r FROM part", "SELECT p_partkey, p_name ILIKE '%A%' AS i, regexp_matches(p_type, '^[A-Z]+ ') AS r FROM part")
+_sql("query_scalar_max", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN greatest(o_custkey, o_orderkey % 1000) END AS hi, least(o_custkey, o_orderkey % 1000) AS lo FROM orders")
+_sql("query_math", "SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05) AS a, round(l_extendedprice, 1) AS r, floor(l_quantity / 3) AS f, ceil(l_quantity / 3) AS c, round(sqrt(l_extendedprice), 6) AS q, round(power(l_discount, 2), 8) AS p, round(ln(l_quantity), 8) AS n, sign(l_tax - 0.04) AS s FROM lineitem", "SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05) AS a, round(l_extendedprice, 1) AS r, floor(l_quantity / 3)::BIGINT AS f, ceil(l_quantity / 3)::BIGINT AS c, round(sqrt(l_extendedprice), 6) AS q, round(power(l_discount, 2), 8) AS p, round(ln(l_quantity), 8) AS n, sign(l_tax - 0.04)::DOUBLE AS s FROM lineitem")
+_sql("query_casts", "SELECT p_partkey, try_cast(substr(p_brand, -2) AS int) AS n, try_cast(p_name AS int) AS none, cast(p_size AS string) AS s, cast(p_retailprice AS bigint) AS b, cast('7' AS int) + p_size AS sum FROM part", "SELECT p_partkey, try_cast(substr(p_brand, -2) AS int) AS n, try_cast(p_name AS int) AS none, cast(p_size AS varchar) AS s, trunc(p_retailprice)::BIGINT AS b, cast('7' AS int) + p_size AS sum FROM part")
+_sql("query_months", "SELECT o_orderkey, cast(add_months(o_orderdate, 1) AS string) AS next, datediff(DATE '2000-01-01', cast(o_orderdate AS date)) AS days, cast(trunc(o_orderdate, 'MM') AS string) AS first, extract(YEAR FROM o_orderdate) AS y FROM orders", "SELECT o_orderkey, (o_orderdate::DATE + INTERVAL 1 MONTH)::DATE::VARCHAR AS next, date_diff('day', o_orderdate::DATE, DATE '2000-01-01') AS days, date_trunc('month', o_orderdate)::DATE::VARCHAR AS first, extract(YEAR FROM o_orderdate) AS y FROM orders")
+_sql("query_row_values", "SELECT o_orderkey FROM orders WHERE (o_orderstatus, o_orderpriority) = ('F', '1-URGENT') OR struct(o_custkey, 'x') = struct(cast(7 AS bigint), 'x')", "SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') OR o_custkey = 7")
+_sql("query_arrays", "SELECT o_custkey, size(collect_set(o_orderstatus)) AS kinds, array_join(array_sort(collect_set(o_orderstatus)), '') AS told, array_contains(collect_list(o_orderpriority), '1-URGENT') AS urgent FROM orders GROUP BY o_custkey", "SELECT o_custkey, len(list(DISTINCT o_orderstatus)) AS kinds, array_to_string(list_sort(list(DISTINCT o_orderstatus)), '') AS told, list_contains(list(o_orderpriority), '1-URGENT') AS urgent FROM orders GROUP BY o_custkey")
+_sql("query_cross_join", "SELECT r_name, n FROM region CROSS JOIN (VALUES (1), (2)) t(n)")
+
 
 # --- dataflow
 
@@ -182,11 +202,13 @@ def join_bindings(spark, sf_dir):
     return j.rows.select(*[col(n).alias(n.split(".")[1]) for n in ("l.l_orderkey", "l.l_partkey", "o.o_custkey", "o.o_orderstatus")])
 
 
-@query("SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.event_id <> b.event_id WHERE a.event_id < 200 AND b.event_id >= 200")
+@query("SELECT e.event_id, n, first_id FROM events e JOIN (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY user_id, event_type) t ON e.user_id = t.user_id AND e.event_type = t.event_type")
 def join_multi_key(spark, sf_dir):
+    """Every event with the number and the first of its user's events of its type."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    a, b = rows_of(e.where("event_id < 200"), "event_id"), rows_of(e.where("event_id >= 200"), "event_id")
-    return join_rows(a, b, ["user_id", "event_type"], ["user_id", "event_type"], "a", "b", ordered=False).rows.select(col("a.event_id").alias("a"), col("b.event_id").alias("b"))
+    t = e.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+    j = join_rows(rows_of(e, "event_id"), rows_of(t, "first_id"), ["user_id", "event_type"], ["user_id", "event_type"], "e", "t", ordered=False)
+    return j.rows.select(*[col(n).alias(n.split(".")[1]) for n in ("e.event_id", "t.n", "t.first_id")])
 
 
 @query(
@@ -212,7 +234,8 @@ def join_null_keys(spark, sf_dir):
 @query("SELECT row_number() OVER (ORDER BY a.n_nationkey, b.r_regionkey) - 1 AS place, n_name, r_name FROM nation a JOIN region b ON n_regionkey = r_regionkey")
 def join_ordered(spark, sf_dir):
     n, r = rows_of(table(spark, sf_dir, "nation"), "n_nationkey"), rows_of(table(spark, sf_dir, "region"), "r_regionkey")
-    return join_rows(n, r, ["n_regionkey"], ["r_regionkey"]).rows.select(F.col(ORDER).alias("place"), col("left.n_name").alias("n_name"), col("right.r_name").alias("r_name"))
+    rows = with_order(join_rows(n, r, ["n_regionkey"], ["r_regionkey"]).rows, F.col(ORDER), name="place")
+    return rows.select("place", col("left.n_name").alias("n_name"), col("right.r_name").alias("r_name"))
 
 
 @query("SELECT d.doc_id, lang, quality, toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
@@ -222,54 +245,51 @@ def doc_label_join(spark, sf_dir):
     return join_rows(d, lab, ["doc_id"], ["doc_id"], "d", "l", ordered=False).rows.select(col("d.doc_id").alias("doc_id"), col("d.lang").alias("lang"), col("l.quality").alias("quality"), col("l.toxic").alias("toxic"))
 
 
-def _ranked(spark, sf_dir, *order: Column, limit: int | None = 500) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    o = (o if limit is None else o.orderBy(*order).limit(limit)).withColumn(ORDER, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
-    return evidence_frame(o, "op", "table", "warehouse", "v1", F.col("o_orderkey").cast("string"), F.col("o_orderstatus"))
+def by_price() -> tuple[Column, ...]:
+    """A coarse order, and the order: dearest orders first."""
+    return -F.floor(F.col("o_totalprice") / 100), F.desc("o_totalprice"), F.col("o_orderkey")
 
 
-def _rrf(orders: list[str], where: str = " WHERE rk <= 500") -> str:
-    parts = " UNION ALL ".join(f"SELECT {i} AS b, o_orderkey AS k, rk FROM (SELECT o_orderkey, row_number() OVER (ORDER BY {o}) AS rk FROM orders){where}" for i, o in enumerate(orders))
-    return f"SELECT k::VARCHAR AS locator, round(sum(1.0::DOUBLE / (60 + rk)), 12) AS score FROM ({parts}) GROUP BY k ORDER BY sum(1.0::DOUBLE / (60 + rk)) DESC, min(b * 1000 + rk) LIMIT 20"
+def by_cheapness() -> tuple[Column, ...]:
+    return F.floor(F.col("o_totalprice") / 100), F.col("o_totalprice"), F.col("o_orderkey")
 
 
-@query(_rrf(["o_totalprice DESC, o_orderkey", "o_orderdate DESC, o_orderkey"]))
-def fuse_rrf_two(spark, sf_dir):
-    return fuse([_ranked(spark, sf_dir, F.desc("o_totalprice"), F.col("o_orderkey")), _ranked(spark, sf_dir, F.desc("o_orderdate"), F.col("o_orderkey"))]).select("locator", "score")
+def by_date() -> tuple[Column, ...]:
+    return F.datediff(F.lit("2100-01-01"), "o_orderdate"), F.desc("o_orderdate"), F.col("o_orderkey")
 
 
-@query(_rrf(["o_totalprice DESC, o_orderkey", "o_orderdate DESC, o_orderkey", "o_orderkey"]))
-def fuse_rrf_three(spark, sf_dir):
-    return fuse([_ranked(spark, sf_dir, F.desc("o_totalprice"), F.col("o_orderkey")), _ranked(spark, sf_dir, F.desc("o_orderdate"), F.col("o_orderkey")), _ranked(spark, sf_dir, F.col("o_orderkey"))]).select("locator", "score")
+def by_key() -> tuple[Column, ...]:
+    return F.shiftright(F.col("o_orderkey").cast("long"), 16), F.col("o_orderkey")
 
 
-@query(
-    "SELECT DISTINCT o_orderkey::VARCHAR AS locator FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS a, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS b, row_number() OVER (ORDER BY o_orderkey) AS c FROM orders) WHERE a <= 500 OR b <= 500 OR c <= 500"
-)
-def compose_union(spark, sf_dir):
-    inputs = [_ranked(spark, sf_dir, F.desc("o_totalprice"), F.col("o_orderkey")), _ranked(spark, sf_dir, F.col("o_totalprice"), F.col("o_orderkey")), _ranked(spark, sf_dir, F.col("o_orderkey"))]
-    return compose_evidence(inputs).select("locator")
+def _ranked(spark, sf_dir, bucket: Column, *order: Column) -> DataFrame:
+    """All orders as evidence, ranked."""
+    o = ranked(table(spark, sf_dir, "orders"), bucket, *order).withColumn(ORDER, F.col("_rank") - 1)
+    return evidence_frame(o, "op", "table", "warehouse", "v1", F.col("o_orderkey").cast("string"), F.col("o_orderstatus"))
 
 
-def _whole(spark, sf_dir, *orders: tuple[Column, ...]) -> list[DataFrame]:
-    """Rankings of all orders; each numbering is one task's window."""
-    return [_ranked(spark, sf_dir, *o, limit=None) for o in orders]
+def _rrf(orders: list[str]) -> str:
+    parts = " UNION ALL ".join(f"SELECT {i} AS b, o_orderkey AS k, row_number() OVER (ORDER BY {o}) AS rk FROM orders" for i, o in enumerate(orders))
+    return f"SELECT k::VARCHAR AS locator, round(sum(1.0::DOUBLE / (60 + rk)), 12) AS score FROM ({parts}) GROUP BY k ORDER BY sum(1.0::DOUBLE / (60 + rk)) DESC, min(struct_pack(b := b, rk := rk)) LIMIT 20"
 
 
-@query(_rrf(["o_totalprice DESC, o_orderkey", "o_orderdate DESC, o_orderkey"], ""))
-def fuse_rrf_two_whole(spark, sf_dir):
-    return fuse(_whole(spark, sf_dir, (F.desc("o_totalprice"), F.col("o_orderkey")), (F.desc("o_orderdate"), F.col("o_orderkey")))).select("locator", "score")
+@query(_rrf(["o_totalprice DESC, o_orderkey", "o_orderdate DESC, o_orderkey"]))
+def fuse_rrf_two(spark, sf_dir):
+    return fuse([_ranked(spark, sf_dir, *by_price()), _ranked(spark, sf_dir, *by_date())]).select("locator", "score")
 
 
-@query(_rrf(["o_totalprice DESC, o_orderkey", "o_orderdate DESC, o_orderkey", "o_orderkey"], ""))
-def fuse_rrf_three_whole(spark, sf_dir):
-    return fuse(_whole(spark, sf_dir, (F.desc("o_totalprice"), F.col("o_orderkey")), (F.desc("o_orderdate"), F.col("o_orderkey")), (F.col("o_orderkey"),))).select("locator", "score")
+@query(_rrf(["o_totalprice DESC, o_orderkey", "o_orderdate DESC, o_orderkey", "o_orderkey"]))
+def fuse_rrf_three(spark, sf_dir):
+    return fuse([_ranked(spark, sf_dir, *by_price()), _ranked(spark, sf_dir, *by_date()), _ranked(spark, sf_dir, *by_key())]).select("locator", "score")
 
 
 @query("SELECT o_orderkey::VARCHAR AS locator FROM orders")
-def compose_union_whole(spark, sf_dir):
-    inputs = _whole(spark, sf_dir, (F.desc("o_totalprice"), F.col("o_orderkey")), (F.col("o_totalprice"), F.col("o_orderkey")), (F.col("o_orderkey"),))
-    return compose_evidence(inputs).select("locator")
+def compose_union(spark, sf_dir):
+    return compose_evidence([_ranked(spark, sf_dir, *by_price()), _ranked(spark, sf_dir, *by_cheapness()), _ranked(spark, sf_dir, *by_key())]).select("locator")
+
+
+for _name in ("fuse_rrf_two", "fuse_rrf_three", "compose_union"):  # the names of a time when the first ones had row limits
+    QUERIES[f"{_name}_whole"], ORACLE_SQL[f"{_name}_whole"] = QUERIES[_name], ORACLE_SQL[_name]
 
 
 # --- graph

@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import DataFrame
+
 from ..errors import SnapshotUnavailableError
-from ..model import Context, SnapshotRef, SourceDescriptor, Usage
+from ..model import Context, SnapshotRef, SourceDescriptor, Usage, digest
 from ..operators import Relation
 
 
+def kept(df: DataFrame, folder: str | None, name: str) -> DataFrame:
+    """A version as a table of its own in ``folder`` or the cluster's shared one: it outlives the batch it came
+    from and carries no lineage. Where neither is there the frame stays lazy."""
+    spark = df.sparkSession
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df
+    path = f"{folder.rstrip('/')}/versions/{digest(name)[:16]}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @dataclass(frozen=True)
 class SourceResult:
     """``value`` is the native result (a frame where there are many rows), ``relation`` its relational view and

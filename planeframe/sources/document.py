@@ -10,8 +10,10 @@ from ..functions.text import lexical_score, quoted
 from ..model import EffectLevel, SnapshotRef, SourceDescriptor, SourceKind, SourceRef, now
 from ..operators import Relation, evidence_frame, with_order
 from ..operators.relation import IDS, ORDER, col
-from .base import Source, SourceResult
+from .base import Source, SourceResult, kept
 
+#: Distinct names of metadata that a source offers as fields.
+MOST_KEYS = 1000
 SCHEMA = "document_id string, content string, metadata map<string,string>"
 
 
@@ -50,9 +52,14 @@ def state_version(docs: DataFrame) -> str:
 
 
 class DocumentSource(Source):
-    """Documents (document_id, content, metadata) by version; old versions stay readable."""
+    """Documents (document_id, content, metadata) by version; old versions stay readable.
 
-    def __init__(self, source_id: str, documents: DataFrame, version: str):
+    A version that a change set makes is stored, in ``folder`` if one is given. The names of metadata
+    that become fields are at most ``MOST_KEYS``; a source with more of them has none.
+    """
+
+    def __init__(self, source_id: str, documents: DataFrame, version: str, folder: str | None = None):
+        self.folder = folder
         self.ref = SourceRef(source_id, SourceKind.DOCUMENT)
         self.descriptor = SourceDescriptor(self.ref, frozenset({"search", "sync"}), EffectLevel.READ, version)
         self.versions: dict[str, tuple[DataFrame, list[str]]] = {}
@@ -61,7 +68,8 @@ class DocumentSource(Source):
 
     def _add(self, version: str, docs: DataFrame, checksum: str | None) -> SnapshotRef:
         docs = docs.select(F.col("document_id").cast("string").alias("document_id"), F.col("content").cast("string").alias("content"), F.coalesce(F.col("metadata").cast("map<string,string>"), F.create_map().cast("map<string,string>")).alias("metadata"))
-        keys = sorted(r[0] for r in docs.select(F.explode(F.map_keys("metadata")).alias("k")).distinct().collect())
+        keys = sorted(r[0] for r in docs.select(F.explode(F.map_keys("metadata")).alias("k")).distinct().limit(MOST_KEYS + 1).collect())
+        keys = keys if len(keys) <= MOST_KEYS else []
         self.versions[version] = (docs, keys)
         ref = SnapshotRef(self.ref, version, checksum, now())
         self.order = [s for s in self.order if s.version != version] + [ref]
@@ -93,7 +101,7 @@ class DocumentSource(Source):
             raise KernelValidationError("a change set has one change for a document")
         if bad := conflicts(docs, changes).select("kind", "document_id").limit(5).collect():
             raise SyncError(f"can't apply {[tuple(r) for r in bad]}")
-        after = apply_changes(docs, changes)
+        after = kept(apply_changes(docs, changes), self.folder, self.ref.source_id)
         version = "sha256:" + state_version(after)
         if version in self.versions:
             self.order.sort(key=lambda s: s.version == version)

@@ -15,7 +15,7 @@ from ..functions.text import lexical_score
 from ..model import LINK_KINDS, MEMORY_KINDS, EffectLevel, MemoryOrigin, ScopeRef, SnapshotRef, SourceDescriptor, SourceKind, SourceRef, digest, moment, now, text
 from ..operators import Relation, evidence_frame, with_order
 from ..operators.relation import IDS, ORDER, evidence_id
-from .base import Source, SourceResult
+from .base import Source, SourceResult, kept
 
 SCHEMA = (
     "memory_id string, kind string, scope struct<kind:string,scope_id:string>, content string, recorded_from timestamp, recorded_to timestamp, valid_from timestamp, valid_to timestamp,"
@@ -126,7 +126,8 @@ class Receipt:
 class MemorySource(Source):
     """Versions of the whole history; a mutation is proposed against one version and applied to just that one."""
 
-    def __init__(self, source_id: str, records: DataFrame, version: str = "v1", observed_at: datetime | None = None, clock: Callable[[], datetime] = now):
+    def __init__(self, source_id: str, records: DataFrame, version: str = "v1", observed_at: datetime | None = None, clock: Callable[[], datetime] = now, folder: str | None = None):
+        self.folder = folder
         self.ref = SourceRef(source_id, SourceKind.MEMORY)
         self.descriptor = SourceDescriptor(self.ref, frozenset({"recall", "propose_mutation", "apply_mutation"}), EffectLevel.INTERNAL_WRITE, version)
         self.clock, self.lock = clock, threading.Lock()
@@ -213,7 +214,7 @@ class MemorySource(Source):
             after, ids = self._after(records, draft, proposal, at)
             version = "sha256:" + digest(current.version, proposal.proposal_id, at)
             ref = SnapshotRef(self.ref, version, version.removeprefix("sha256:"), at)
-            self.versions[version] = after
+            self.versions[version] = kept(after, self.folder, self.ref.source_id)
             self.order.append(ref)
             receipt = Receipt(proposal.proposal_id, ref, ids)
             self.receipts[draft.idempotency_key] = (mark, receipt)

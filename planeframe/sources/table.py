@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import re
 import threading
-import time
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..errors import ExecutionError
+from ..errors import ExecutionError, SnapshotUnavailableError
 from ..model import EffectLevel, SnapshotRef, SourceDescriptor, SourceKind, SourceRef, digest, now
-from ..operators import Relation, evidence_frame
+from ..operators import Relation, evidence_frame, with_order
 from ..operators.relation import IDS, ORDER, evidence_id
 from .base import Source, SourceResult
 
@@ -22,6 +21,8 @@ READS = frozenset(
     " CTE CTERelationDef CTERelationRef Union Intersect Except UnresolvedInlineTable LocalRelation OneRowRelation UnresolvedRelation Generate Window WithWindowDefinition Pivot UnresolvedPivot Unpivot"
     " UnresolvedUnpivot Sample UnionLoop UnionLoopRef UnresolvedTableValuedFunction UnresolvedTVFAliases Range Expand NameParameterizedQuery GroupingSets UnresolvedHint ResolvedHint Subquery RelationTimeTravel".split()
 )
+#: Names of the one language there is; statements in all of them are Spark SQL.
+LANGUAGES = ("sql", "spark", "sqlite")
 _HEAD = re.compile(r"^[\s:|+-]*'?([A-Za-z]+)")
 _UNSAFE = re.compile(r"\b(reflect|java_method|try_reflect)\b", re.IGNORECASE)
 
@@ -49,20 +50,49 @@ def check_read_only(spark: SparkSession, statement: str, tables) -> None:
                 raise ExecutionError(f"no table {name}")
 
 
+def files_mark(spark: SparkSession, path: str) -> str:
+    """A fingerprint of a table's files: names, sizes, times of change."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, at = [], fs.listFiles(where, True)
+    while at.hasNext():
+        f = at.next()
+        found.append([f.getPath().toString(), f.getLen(), f.getModificationTime()])
+    return digest(sorted(found))
+
+
 class TableSource(Source):
-    """Tables by name (frames, or paths of Parquet). A query returns at most ``row_limit`` rows, all of them if that is None."""
+    """Tables by name (frames, or paths of Parquet). A query returns at most ``row_limit`` rows, all of them if that is None.
+
+    Without a given one the version is a fingerprint of the schemas and of the
+    files behind paths, taken anew whenever it is asked for. A result with a
+    limit is read at once, so its value, rows and evidence are the same rows,
+    and refused if the files changed meanwhile; one without a limit stays lazy,
+    and says so when it is finalized.
+    """
 
     _lock = threading.Lock()
 
     def __init__(self, spark: SparkSession, source_id: str, tables: Mapping[str, DataFrame | str], row_limit: int | None = 1000, version: str | None = None):
         self.spark, self.row_limit = spark, row_limit
         self.tables = {n: spark.read.parquet(t) if isinstance(t, str) else t for n, t in tables.items()}
-        self.ref = SourceRef(source_id, SourceKind.TABLE)
-        version = version or "schema:" + digest({n: t.schema.jsonValue() for n, t in self.tables.items()})[:16]
+        self.paths = {n: t for n, t in tables.items() if isinstance(t, str)}
+        self.ref, self.given = SourceRef(source_id, SourceKind.TABLE), version
+        version = self._version()
         self.descriptor = SourceDescriptor(self.ref, frozenset({"query"}), EffectLevel.READ, version, {n: t.schema.jsonValue() for n, t in self.tables.items()})
         self._snapshot = SnapshotRef(self.ref, version, None, now())
 
+    def _version(self) -> str:
+        if self.given:
+            return self.given
+        return "data:" + digest({n: t.schema.jsonValue() for n, t in self.tables.items()}, {n: files_mark(self.spark, p) for n, p in self.paths.items()})[:16]
+
     def latest(self) -> SnapshotRef:
+        version = self._version()
+        if version != self._snapshot.version:
+            self.tables |= {n: self.spark.read.parquet(p) for n, p in self.paths.items()}
+            self._snapshot = SnapshotRef(self.ref, version, None, now())
         return self._snapshot
 
     def frame(self, statement: str, parameters: Mapping | None = None) -> DataFrame:
@@ -82,38 +112,32 @@ class TableSource(Source):
 
     def query(self, op, context) -> SourceResult:
         snap = self.snapshot(context)
-        if op.language.lower() not in ("sql", "spark"):
+        if op.language.lower() not in LANGUAGES:
             raise ExecutionError(f"no language {op.language}")
         whole = self.frame(op.statement, op.parameters)
         names = whole.columns
         quoted = [f"`{n}`" for n in names]
-        first = whole if self.row_limit is None else whole.limit(self.row_limit)
+        first, more = whole, False
+        if self.row_limit is not None:
+            got = whole.limit(self.row_limit + 1).toArrow()
+            more = got.num_rows > self.row_limit
+            first = self.spark.createDataFrame(got.slice(0, self.row_limit), schema=whole.schema) if got.num_rows else whole.sparkSession.createDataFrame([], whole.schema)
+            if self._version() != snap.version:
+                raise SnapshotUnavailableError(f"{self.ref.source_id} changed while it was read")
         # without an order of its own a row is known by its content and how many like it came before
-        some = first.withColumn("_seq", F.monotonically_increasing_id())
         content = F.to_json(F.struct(*sorted(quoted)), {"ignoreNullFields": "false"})
-        rows = some.withColumn("_content", content).withColumn(ORDER, F.row_number().over(Window.orderBy("_seq")).cast("long") - 1)
+        rows = first.withColumn("_content", content).withColumn(ORDER, F.monotonically_increasing_id())
+        if self.row_limit is not None:
+            rows = with_order(rows, F.col(ORDER))
         rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_content").orderBy(ORDER)) - 1)
         locator = F.concat(F.lit(f"table://{self.ref.source_id}/query/{digest(op.statement)[:16]}#row="), F.substring(F.sha2("_content", 256), 1, 16), F.lit("."), F.col("_nth").cast("string"))
         evidence = evidence_frame(rows, op.op_id, "table", self.ref.source_id, snap.version, locator, F.col("_content"), metadata=F.create_map(F.lit("row_index"), F.col(ORDER).cast("string")))
         bound = rows.select(*quoted, ORDER, F.array(evidence_id(op.op_id, locator, F.lit(snap.version))).alias(IDS))
 
         def truncated() -> str | None:
-            if self.row_limit is None:
-                return None
-            return f"more than {self.row_limit} rows; the rest was left out" if whole.limit(self.row_limit + 1).count() > self.row_limit else None
-
-        return SourceResult(first, Relation(tuple(names), bound, evidence), snap, partial=(truncated,))
-
-    @staticmethod
-    def deadline_group(spark: SparkSession, seconds: float, name: str):
-        """Cancel the jobs of a group when the time is over; returns a function that ends the watch."""
-        spark.sparkContext.setJobGroup(name, name, True)
-        done = threading.Event()
+            return f"more than {self.row_limit} rows; the rest was left out" if more else None
 
-        def watch() -> None:
-            end = time.monotonic() + seconds
-            if not done.wait(max(0.0, end - time.monotonic())):
-                spark.sparkContext.cancelJobGroup(name)
+        def changed() -> str | None:
+            return None if self._version() == snap.version else f"{self.ref.source_id} has changed since {snap.version}"
 
-        threading.Thread(target=watch, daemon=True).start()
-        return done.set
+        return SourceResult(first, Relation(tuple(names), bound, evidence), snap, partial=(truncated, changed))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from planeframe.errors import ExecutionError
 from planeframe.functions.text import lexical_score
 from planeframe.operators import Relation, compose_evidence, filter_rows, fuse, join_rows, project
-from planeframe.operators.relation import EVIDENCE, IDS, ORDER
+from planeframe.operators.relation import EVIDENCE, IDS, ORDER, ranked
 
 SCHEMA = "k string, n long, b boolean, tags array<string>"
 ROWS = [("x", 1, True, ["a", None]), (None, 2, False, []), ("y", None, None, ["b"]), ("x", 1, True, ["a"]), ("", 0, True, ["c", "a"])]
@@ -91,3 +91,12 @@ def test_lexical_score(spark):
     assert [r[0] for r in df.select(lexical_score("t", "strasse weiss zzz")).collect()] == [round(2 / 3, 8), round(1 / 3, 8), 0.0, 0.0, 0.0]
     assert [r[0] for r in df.select(lexical_score("t", "naïve")).collect()] == [0.0, 0.0, 0.0, 0.0, 1.0]
     assert df.select(F.max(lexical_score("t", ", "))).first()[0] == 1.0
+
+
+def test_ranks_of_parts(spark):
+    rnd = random.Random(8)
+    df = spark.createDataFrame([(rnd.randrange(10_000), i) for i in range(500)], "v long, i long").repartition(5)
+    got = sorted((r["_rank"], r["v"], r["i"]) for r in ranked(df, F.shiftright("v", 10), F.col("v"), F.col("i")).collect())
+    assert [r[0] for r in got] == list(range(1, 501))
+    assert [r[1:] for r in got] == sorted((r["v"], r["i"]) for r in df.collect())
+    assert ranked(df.where("false"), F.shiftright("v", 10), F.col("v")).count() == 0

@@ -1,7 +1,7 @@
 """Plans, their validation and codec, execution policy, traces, replay, outcomes, compilation."""
 
 from dataclasses import replace
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 from decimal import Decimal
 
 import pytest
@@ -12,6 +12,7 @@ from planeframe.engine import Catalog, Engine
 from planeframe.errors import (
     BudgetExceeded,
     DeadlineExceeded,
+    DuplicateSourceError,
     EffectPolicyError,
     ExecutionError,
     KernelValidationError,
@@ -20,9 +21,11 @@ from planeframe.errors import (
     PlanValidationError,
     ReplayError,
     SerializationError,
+    SnapshotUnavailableError,
     SourceExecutionError,
     TraceConflictError,
     TraceError,
+    TraceNotFoundError,
     UnsupportedPlanningError,
 )
 from planeframe.model import Budget, Context, EffectLevel, EffectSpec, ScopeRef, SourceRef, Usage
@@ -209,3 +212,74 @@ def test_outcomes(spark, sources, tmp_path):
     assert engine.outcomes.list("t1") == [o]
     with pytest.raises(KernelValidationError):
         replace(o, succeeded=True)
+
+
+def test_catalog_refuses_a_second_source_of_an_id(sources):
+    with pytest.raises(DuplicateSourceError):
+        Catalog(*sources).register(sources[0])
+
+
+def test_changed_files_are_another_version(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    wh = TableSource(spark, "wh", {"t": path})
+    engine, pinned = Engine(spark, Catalog(wh)), wh.latest()
+    ask = lambda **k: engine.execute(Query(source=WH, statement="SELECT count(*) AS n FROM t"), Context(**k)).bindings().first()[0]
+    assert ask(snapshots=(pinned,)) == 3
+    spark.range(2).write.mode("append").parquet(path)
+    with pytest.raises(SnapshotUnavailableError):
+        ask(snapshots=(pinned,))
+    assert ask() == 5
+
+
+def test_table_that_changes_while_it_is_read(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    wh = TableSource(spark, "wh", {"t": path})
+    versions = iter([wh._version(), "data:other"])
+    monkeypatch.setattr(wh, "_version", lambda: next(versions, "data:other"))
+    with pytest.raises(SnapshotUnavailableError, match="changed while"):
+        wh.query(Query(source=WH, statement="SELECT id FROM t"), Context())
+
+
+def test_failed_reads_are_failures_of_the_source(spark, sources):
+    with pytest.raises(SourceExecutionError):
+        Engine(spark, Catalog(*sources)).execute(Query(source=WH, statement="SELECT raise_error('x') AS a FROM spend"))
+
+
+def test_deadline_stops_running_work(spark, sources):
+    slow = "SELECT count(*) AS n FROM range(400000) a JOIN range(400000) b ON a.id <> b.id WHERE sha2(cast(a.id * b.id AS string), 256) = 'x'"
+    began = datetime.now(UTC)
+    with pytest.raises(DeadlineExceeded):
+        Engine(spark, Catalog(*sources)).execute(Query(source=WH, statement=slow), Context(deadline=began + timedelta(seconds=3)))
+    assert datetime.now(UTC) - began < timedelta(seconds=60)
+
+
+def test_logs_and_replay_outlive_the_process(spark, sources, tmp_path):
+    path = lambda n: str(tmp_path / n)
+    one = Outcome("o", "t", "task", "judge", (Assertion("a", True, Decimal("0.5")),), datetime(2026, 1, 1, tzinfo=UTC), "k")
+    OutcomeLog(path("outcomes")).record(one)
+    again = OutcomeLog(path("outcomes"))
+    assert again.record(one) == again.get("o") == one
+    with pytest.raises(OutcomeConflictError):
+        again.record(replace(one, task="other"))
+    log = ResolutionLog(path("resolutions"))
+    log.add("r", "resolution_started")
+    log.add("r", "attempt_started", 0)
+    with pytest.raises(TraceError):
+        ResolutionLog(path("resolutions")).add("r", "resolution_completed")
+    Engine(spark, Catalog(*sources), TraceLog(path("traces")), ResultStore(spark, path("results"))).execute(joined(), Context(trace_id="t"))
+    later = Engine(spark, Catalog(), TraceLog(path("traces")), ResultStore(spark, path("results")))
+    assert later.replay("t").bindings().count() == 1
+    assert TraceLog(path("traces")).get("t")[-1]["event"] == "replay_completed"
+    with pytest.raises(TraceNotFoundError):
+        later.replay("never")
+
+
+def test_versions_of_documents_are_tables(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "x", {})], "document_id string, content string, metadata map<string,string>")
+    source = DocumentSource("kb", docs, "v1", folder=str(tmp_path))
+    after = source.sync(spark.createDataFrame([("add", "b", "y", {"k": "v"})], "kind string, document_id string, content string, metadata map<string,string>"))
+    frame = source.versions[after.version][0]
+    assert str(tmp_path) in frame.inputFiles()[0]
+    assert sorted(r[0] for r in frame.select("document_id").collect()) == ["a", "b"]
