@@ -17,12 +17,21 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labels, doesn't predict to be toxic."""
+    """Documents that the classifier, trained on the labels, doesn't predict to be toxic.
+
+    A null or empty text has no toxic word and stays; rows without an id are
+    judged like others (they only can't be labelled); repeated rows stay as many;
+    an empty table gives none.
+    """
     return toxicity.without_toxic(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).select(*COLUMNS)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base and the cascade of quality rules keep."""
+    """Documents that the base and the cascade of quality rules keep.
+
+    A null or empty text has fewer than 50 words and goes; ids play no part;
+    repeated rows stay as many; an empty table gives none.
+    """
     return quality.only_kept(docs).select(*COLUMNS)
 
 
@@ -43,12 +52,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind; n_chars counts the new text."""
+    """All documents, personal data replaced by its kind; n_chars counts the new text, null for a null one.
+
+    Ids play no part; repeated rows stay as many; an empty table gives none.
+    """
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents with their places in sequences."""
+    """Token pieces of all documents with their places in sequences.
+
+    A null or empty text is its end token alone; repeated rows are packed each;
+    an empty table gives none.
+    """
     import public_tokenizers
 
     return packing.best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -371,6 +371,7 @@ def ngram_classes(documents: DataFrame, n_gram: int = 4, percent: int = 85, id_c
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
+    """The whole table of documents; cases as in ``ngram_classes``."""
     return ngram_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

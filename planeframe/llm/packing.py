@@ -250,6 +250,7 @@ def best_fit_packing(documents: DataFrame, path: str, capacity: int = 4096, end_
 
 
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """The whole table of documents; cases as in ``best_fit_packing``."""
     import public_tokenizers
 
     return best_fit_packing(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))

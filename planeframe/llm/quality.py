@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,34 @@ OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines l
 
 
 class Doc:
-    """What a rule may look at: the text's bytes and the base counts."""
+    """What a rule may look at: the text's bytes and the base counts, each taken when it is first asked for."""
 
-    __slots__ = ("raw", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_classes")
+    def __init__(self, part: np.ndarray, n_words: int, win: np.ndarray):
+        self.part, self.n_words, self.win = part, n_words, win
 
-    def __init__(self, raw: bytes, n_words: int, word_chars: int, n_symbols: int, n_dup_lines: int, n_repeat_words: int):
-        self.raw, self.n_words, self.word_chars, self.n_symbols, self.n_dup_lines, self.n_repeat_words = raw, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words
+    @cached_property
+    def raw(self) -> bytes:
+        return self.part.tobytes()
+
+    @cached_property
+    def classes(self) -> np.ndarray:
+        return np.bincount(_CLASS[self.part], minlength=6)
+
+    @property
+    def word_chars(self) -> int:
+        return int(len(self.part) - self.classes[1] - self.classes[2])
+
+    @property
+    def n_symbols(self) -> int:
+        return int(self.classes[3])
+
+    @cached_property
+    def n_dup_lines(self) -> int:
+        return _dup_lines(self.raw)
+
+    @cached_property
+    def n_repeat_words(self) -> int:
+        return _repeated(self.win, 3)
 
 
 def many_symbols(d: Doc) -> bool:
@@ -99,28 +122,37 @@ def measure(arr: pa.Array) -> Iterator[Doc]:
     """The base counts of each text of a slice."""
     w = Words(arr)
     win = w.windows(3)
-    data = w.data
     for d in range(len(w)):
-        lo, hi, a, b = w.offsets[d], w.offsets[d + 1], int(w.first[d]), int(w.first[d + 1])
-        part = data[lo:hi]
-        n = np.bincount(_CLASS[part], minlength=6)
-        raw = part.tobytes()
-        yield Doc(raw, b - a, int(hi - lo - n[1] - n[2]), int(n[3]), _dup_lines(raw), _repeated(win[a : max(a, b - 2)], 3))
+        a, b = int(w.first[d]), int(w.first[d + 1])
+        yield Doc(w.data[w.offsets[d] : w.offsets[d + 1]], b - a, win[a : max(a, b - 2)])
+
+
+def too_short(d: Doc) -> bool:
+    return d.n_words < 50
+
+
+def repeats_itself(d: Doc) -> bool:
+    return 100 * d.n_repeat_words > 50 * d.n_words
+
+
+#: The base as rules: where only the verdict counts they take part in the cascade.
+BASE: dict[str, Callable[[Doc], bool]] = {f.__name__: f for f in (too_short, repeats_itself)}
 
 
 def base_failed(d: Doc) -> bool:
-    return d.n_words < 50 or 100 * d.n_repeat_words > 50 * d.n_words
+    return too_short(d) or repeats_itself(d)
 
 
 def rule_order(texts: list[str | None], rules: dict[str, Callable[[Doc], bool]] = RULES) -> list[str]:
     """Rules by estimated rejection per cost on the given texts, highest first.
 
-    With independent rules this order has the least expected cost. Rules that
-    reject nothing there come last, cheapest first.
+    With independent rules this order has the least expected cost, in which the
+    counts that a rule needs have their part. Rules that reject nothing there
+    come last, cheapest first.
     """
-    docs = [d for d in measure(pa.array(texts, pa.string())) if not base_failed(d)] if texts else []
     cost, hits = {}, {}
     for name, rule in rules.items():
+        docs = [d for d in measure(pa.array(texts, pa.string())) if rule in BASE.values() or not too_short(d)] if texts else []
         began = time.perf_counter()
         hits[name] = sum(rule(d) for d in docs)
         cost[name] = time.perf_counter() - began + 1e-9
@@ -129,14 +161,15 @@ def rule_order(texts: list[str | None], rules: dict[str, Callable[[Doc], bool]]
 
 def only_kept(documents: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows that the base and the cascade keep, all columns as they are; cases as in ``quality_rules``."""
-    order = rule_order([r[0] for r in documents.select(documents[text_col].cast("string")).limit(sample_rows).collect()])
+    rules = BASE | RULES
+    order = rule_order([r[0] for r in documents.select(documents[text_col].cast("string")).limit(sample_rows).collect()], rules)
     at = documents.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cascade = [RULES[n] for n in order]
+        cascade = [rules[n] for n in order]
         for batch in batches:
             for part in slices(batch, at):
-                yield part.filter(pa.array([not base_failed(d) and not any(rule(d) for rule in cascade) for d in measure(part.column(at))], pa.bool_()))
+                yield part.filter(pa.array([not any(rule(d) for rule in cascade) for d in measure(part.column(at))], pa.bool_()))
 
     return documents.mapInArrow(tidy(run), documents.schema)
 
@@ -171,6 +204,7 @@ NAMES = [c.split()[0] for c in OUT.split(", ")]
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """The whole table of documents; cases as in ``quality_rules``."""
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

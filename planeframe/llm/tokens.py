@@ -168,6 +168,7 @@ def token_counts(documents: DataFrame, path: str, limit: int = 1024, id_col: str
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
+    """The whole table of documents; cases as in ``token_counts``."""
     import public_tokenizers
 
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))

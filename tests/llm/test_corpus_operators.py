@@ -779,6 +779,41 @@ def insults():
     return rows
 
 
+def gapped(word):
+    """Weights of all gapped triples of bytes of a word, by the definition."""
+    m, out, norm = [1, *word], Counter(), 0.0
+    for i in range(len(m)):
+        for k in range(2, toxicity.WINDOW):
+            for j in range(1, k):
+                if i + k < len(m):
+                    w = toxicity.DECAY ** (k - 2)
+                    out[m[i], m[i + j], m[i + k]] += w
+                    norm += w * w
+    return out, norm + 1e-9
+
+
+def test_kernel_of_gapped_subsequences():
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 12))).encode()
+    left, right = [word() for _ in range(40)] + [b"stupid", b"st.u.p.i.d"], [word() for _ in range(15)] + [b"stupid", b"lovely"]
+    got = toxicity.Landmarks(right).kernel(left)
+    want = np.array([[sum(x * b[f] for f, x in a.items()) / np.sqrt(n * m) for b, m in map(gapped, right)] for a, n in map(gapped, left)])
+    assert np.isclose(got, want, atol=1e-4).mean() > 0.98  # all but where two triples share a feature
+    assert got[-1, -2] > got[-1, -1] + 0.1  # inserted marks leave an insult like itself
+    marks = toxicity.Landmarks(right)
+    weights = np.random.default_rng(1).normal(size=len(right)).astype(np.float32)
+    table = marks.folded(weights)
+    assert toxicity.Scorer(table, 0.0).margins(*toxicity._packed(left)) == pytest.approx(got @ weights, abs=1e-3)
+
+
+def test_pieces_of_long_words():
+    w = bytes(rnd.randrange(97, 123) for rnd in [random.Random(3)] for _ in range(200))
+    parts = toxicity.pieces(w)
+    assert all(len(p) <= toxicity.PIECE for p in parts)
+    assert parts[0] + b"".join(p[toxicity.WINDOW :] for p in parts[1:]) == w
+    assert toxicity.pieces(b"short") == [b"short"]
+
+
 def test_toxicity_generalises(insults):
     import pyarrow as pa
 
