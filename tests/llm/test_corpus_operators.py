@@ -651,16 +651,12 @@ def test_codes_keep_a_distribution():
     """Whatever stands before a token, the probabilities of all codes add up to one."""
     rnd = np.random.default_rng(1)
     n = 1 << lm_context.CODE
-    tables = [rnd.integers(0, 9, (1 << b, 2)).astype(np.uint16) for b in lm_context.FOLLOW]
+    tables = [lm_context.told(rnd.integers(0, 9, (1 << b, 2)), (2, 4)) for b in lm_context.FOLLOW]
     weights = rnd.normal(0, 0.3, (lm_context.GATES, lm_context.INPUTS))
-    weights[:, 3] = 2
-    m = lm_context.CodeMixer(lm_context.told(tables), rnd.random(n), weights, np.sort(rnd.random((2, lm_context.GATES * lm_context.STEPS)), axis=0)[::-1] * 100)
-    hint = np.array([77], "<u2").tobytes()
-    for at, codes in ((None, None), (pa.array([[0]] * n), pa.array([[hint]] * n, pa.list_(pa.binary())))):
-        p = 10.0 ** m.log10(code_stream(np.arange(n)), np.ones(n, bool), at, codes)
-        assert p.std() > 0
-        assert p.sum() == pytest.approx(1.0)
-    assert p[77] > 2 * np.median(p)
+    m = lm_context.CodeMixer(tables, rnd.random(n), weights, np.sort(rnd.random((2, lm_context.GATES * lm_context.STEPS)), axis=0)[::-1] * 100)
+    p = 10.0 ** m.log10(code_stream(np.arange(n)), np.ones(n, bool))
+    assert p.std() > 0
+    assert p.sum() == pytest.approx(1.0)
 
 
 def test_running_text_is_mixed_as_by_a_plain_model(spark):
@@ -672,7 +668,7 @@ def test_running_text_is_mixed_as_by_a_plain_model(spark):
     rng = np.random.default_rng(2)
     mass, weights = rng.random(1 << lm_context.CODE), rng.normal(0.3, 0.3, (lm_context.GATES, lm_context.INPUTS))
     hits = np.sort(rng.random((2, lm_context.GATES * lm_context.STEPS)), axis=0)[::-1] * 100
-    m = lm_context.CodeMixer(lm_context.told(lm_context.follow_tables(src)), mass, weights, hits)
+    m = lm_context.CodeMixer(lm_context.follow_tables(src), mass, weights, hits)
     s = lm_context.Stream(Words(pa.array(texts), LOWER_TABLE))
     got = m.log10(s, held)
     C = lm_context.CODE
@@ -701,7 +697,7 @@ def test_running_text_is_mixed_as_by_a_plain_model(spark):
                     n.append(sum(counts))
                     x.append(np.log(counts[1] + lm_context.PRIOR) - np.log(counts[0] + lm_context.PRIOR))
                 fits = match >= 0 and match >> (C - k) == c >> (C - k)
-                x += [0.0, (2 * (match >> (C - 1 - k) & 1) - 1) if fits else 0.0, 0.3]
+                x += [(2 * (match >> (C - 1 - k) & 1) - 1) if fits else 0.0, 0.3]
                 gate = (int(fits) * 3 + sum(n[0] >= v for v in (4, 64))) * 4 + sum(n[1] >= v for v in (1, 2, 4))
                 p = 1 / (1 + np.exp(-np.dot(weights[gate], x)))
                 at = (np.clip(np.log(p / (1 - p)), -8, 8) + 8) * (lm_context.STEPS - 1) / 16
@@ -711,24 +707,7 @@ def test_running_text_is_mixed_as_by_a_plain_model(spark):
                 total += np.log(p if bit else 1 - p)
             part = lm_context.CACHE * i / (i + lm_context.CACHE_AT)
             want.append(np.log10((1 - part) * np.exp(total) + part * sum(y == c for y in t[:i]) / max(i, 1)))
-    assert np.isclose(got, want, atol=5e-3).mean() > 0.97  # all but where two contexts share a slot
-
-
-def test_hints_come_from_other_places(spark):
-    text = lambda tag, n=600: " ".join(f"{tag}{i}" for i in range(n))
-    rows = [(text("a"), False), (text("a"), False), (text("b"), False), (text("c"), False), (text("c"), True), (text("d") + " " + text("e"), False), (text("d") + " other", False), ("", False), (None, True)]
-    src = spark.createDataFrame(rows, "text string, held boolean").withColumn("key", F.xxhash64("text")).repartition(3)
-    found = {(r["key"], r["held"]): r for r in lm_context.hints(src).collect()}
-    key = {t: spark.createDataFrame([(t,)], "t string").select(F.xxhash64("t")).first()[0] for t, _ in rows}
-    assert set(found) == {(key[text("a")], False), (key[text("c")], True), (key[rows[5][0]], False), (key[rows[6][0]], False)}
-    s = lm_context.Stream(Words(pa.array([rows[6][0]]), LOWER_TABLE))
-    r = found[key[rows[6][0]], False]
-    hint, trust = lm_context._spread(s, pa.array([r["at"]]), pa.array([r["codes"]], pa.list_(pa.binary())))
-    on = hint >= 0
-    assert on.sum() > 200
-    assert (hint[on] == s.code[on]).mean() > 0.9  # all up to where the texts part
-    assert trust[on].mean() > 0.9
-    assert lm_context.hints(src.where("false")).count() == 0
+    assert np.isclose(got, want, atol=2e-2).mean() > 0.97  # all but where two contexts share a slot
 
 
 def test_spelling_is_a_distribution():
