@@ -134,6 +134,7 @@ class Resolution:
     text: str
     attempts: tuple[Attempt, ...]
     calls: int
+    usage: Usage = field(default_factory=Usage)
 
     @property
     def result(self) -> Envelope:
@@ -381,16 +382,17 @@ class Engine:
         context = replace(context, max_effect=min(context.max_effect, EffectLevel.READ))
         view = self._planning_view(context)
         attempts: list[Attempt] = []
-        calls, failure = 0, None
+        calls, failure, spent = 0, None, Usage()
         log = lambda event, n=None, **d: self.resolutions and self.resolutions.add(context.trace_id, event, n, **d)
         log("resolution_started", text=digest(text))
         for n in range(2):
             try:
-                plan, used = self.compiler.compile(text, view, context, failure)
+                left = replace(context, budget=context.budget.remaining(spent))
+                plan, used, took = self.compiler.compile(text, view, left, failure)
             except Exception as e:
                 log("resolution_failed", error=type(e).__name__)
                 raise
-            calls += used
+            calls, spent = calls + used, spent + took
             log("attempt_started", n, plan=digest(plan_to_json(plan)))
             try:
                 env = self.execute(plan, replace(context, trace_id=f"{context.trace_id}:{n}"))
@@ -406,7 +408,7 @@ class Engine:
             attempts.append(Attempt(plan, env, None))
             log("attempt_completed", n)
             log("resolution_completed")
-            return Resolution(text, tuple(attempts), calls)
+            return Resolution(text, tuple(attempts), calls, spent)
         raise AssertionError
 
     def _planning_view(self, context: Context) -> dict[str, dict]:

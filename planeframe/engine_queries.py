@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 from dataclasses import replace
 from datetime import timedelta
@@ -11,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .audit import Assertion, Outcome, OutcomeLog, ResultStore, TraceLog
+from .compiler import Compiler, StructuredModel
 from .engine import Catalog, ChangeSet, Engine
 from .errors import KernelError
+from .faults import FlakySource
 from .lifecycle import ArtifactStore
 from .model import Budget, Context, EffectLevel, MemoryOrigin, ScopeRef, SourceRef
 from .operators.relation import col
@@ -251,6 +254,18 @@ def engine_replay(spark, sf_dir) -> DataFrame:
     return Engine(spark, Catalog(), log, ResultStore(spark, where)).replay("t").relation.rows.select("n_nationkey", "n_name")
 
 
+@query(pairs("(0, 'source', 30, 3), (1, 'none', 30, 3)", "attempt, error, tokens, calls"))
+def engine_resolve(spark, sf_dir) -> DataFrame:
+    """Text to plan: the first draft names no known source and is repaired, its run fails with its source, another plan answers."""
+    source, drafts = FlakySource(kb(spark, sf_dir), {"search": (1,)}), iter(["nowhere", "kb", "kb"])
+
+    def send(request: str) -> tuple[str, int, Decimal]:
+        return json.dumps({"operations": [{"type": "search", "op_id": "s", "source": next(drafts), "query": "the"}], "output": "s"}), 10, Decimal("0.01")
+
+    got = Engine(spark, Catalog(source), compiler=Compiler(StructuredModel(send))).resolve("find it", Context(budget=Budget(max_tokens=30)))
+    return spark.createDataFrame([(i, a.error or "none", got.usage.tokens, got.calls) for i, a in enumerate(got.attempts)], "attempt int, error string, tokens int, calls int")
+
+
 @query(pairs("('o1', true, 2), ('o2', false, 1)", "outcome_id, succeeded, assertions"))
 def engine_outcomes(spark, sf_dir) -> DataFrame:
     log = OutcomeLog()

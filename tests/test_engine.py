@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 
 from planeframe.audit import Assertion, Outcome, OutcomeLog, ResolutionLog, ResultStore, TraceLog
-from planeframe.compiler import Compiler, ScriptedModel
+from planeframe.compiler import Answer, Compiler, ScriptedModel, StructuredModel
 from planeframe.engine import Catalog, Engine
 from planeframe.errors import (
     BudgetExceeded,
@@ -28,6 +28,7 @@ from planeframe.errors import (
     TraceNotFoundError,
     UnsupportedPlanningError,
 )
+from planeframe.faults import FlakySource
 from planeframe.model import Budget, Context, EffectLevel, EffectSpec, ScopeRef, SourceRef, Usage
 from planeframe.plans import Binding, Compose, Describe, Discover, Filter, Fuse, InvokeSkill, Join, Plan, Project, ProposeMutation, Query, Recall, Ref, ResolveSkill, Search, Traverse, plan_from_json, plan_to_dict, plan_to_json, topological_order, validate
 from planeframe.sources import DocumentSource, GraphSource, TableSource
@@ -162,29 +163,13 @@ def test_trace_and_replay(spark, sources, tmp_path):
     assert spark.read.json(str(tmp_path / "trace.jsonl")).where("event = 'replay_failed'").count() == 1
 
 
-class Failing:
-    """A document source whose first search fails."""
-
-    def __init__(self, inner):
-        self.inner, self.left, self.descriptor = inner, 1, inner.descriptor
-
-    def __getattr__(self, name):
-        return getattr(self.inner, name)
-
-    def search(self, op, context):
-        if self.left:
-            self.left -= 1
-            raise OSError("gone")
-        return self.inner.search(op, context)
-
-
 def test_resolve_replans_once(spark, sources, tmp_path):
     draft = lambda i: {"operations": [{"type": "search", "op_id": i, "source": "kb", "query": "keys", "filters_json": "{}"}], "output": i}
     wrong = {"operations": [{"type": "search", "op_id": "a", "source": "nowhere", "query": "q"}], "output": "a"}
     log = TraceLog()
     model = ScriptedModel([wrong, draft("one"), draft("two")])
     said = ResolutionLog(str(tmp_path / "r.jsonl"))
-    engine = Engine(spark, Catalog(Failing(sources[0]), sources[1]), log, compiler=Compiler(model), resolutions=said)
+    engine = Engine(spark, Catalog(FlakySource(sources[0], {"search": (1,)}), sources[1]), log, compiler=Compiler(model), resolutions=said)
     got = engine.resolve("find keys", Context(trace_id="r"))
     assert [a.error for a in got.attempts] == ["source", None]
     assert got.calls == 3
@@ -195,7 +180,7 @@ def test_resolve_replans_once(spark, sources, tmp_path):
     assert model.requests[2]["failure"] == "source"
     assert log.get("r:0")[-1]["event"] == "plan_failed"
     with pytest.raises(SourceExecutionError):
-        Engine(spark, Catalog(Failing(sources[0]))).execute(Search(source=KB, query="x"))
+        Engine(spark, Catalog(FlakySource(sources[0], {"search": (1,)}))).execute(Search(source=KB, query="x"))
     with pytest.raises(PlanCompilationError):
         Engine(spark, Catalog(*sources), compiler=Compiler(ScriptedModel([wrong, wrong]))).resolve("x")
     with pytest.raises(UnsupportedPlanningError):
@@ -283,3 +268,23 @@ def test_versions_of_documents_are_tables(spark, tmp_path):
     frame = source.versions[after.version][0]
     assert str(tmp_path) in frame.inputFiles()[0]
     assert sorted(r[0] for r in frame.select("document_id").collect()) == ["a", "b"]
+
+
+def test_models_are_measured_and_faults_are_counted(spark, sources):
+    draft = {"operations": [{"type": "search", "op_id": "s", "source": "kb", "query": "keys"}], "output": "s"}
+    with pytest.raises(BudgetExceeded):
+        Engine(spark, Catalog(*sources), compiler=Compiler(ScriptedModel([Answer(draft, Usage(tokens=9))]))).resolve("x", Context(budget=Budget(max_tokens=8)))
+    with pytest.raises(PlanCompilationError):
+        StructuredModel(lambda request: ("[1]", 1, Decimal(0)))({})
+    with pytest.raises(PlanCompilationError):
+        StructuredModel(lambda request: ("{", 1, Decimal(0)))({})
+    flaky = FlakySource(sources[0], {"search": (2,)})
+    engine, search = Engine(spark, Catalog(flaky)), Search(source=KB, query="keys")
+    engine.execute(search)
+    with pytest.raises(SourceExecutionError):
+        engine.execute(search)
+    engine.execute(search)
+    assert flaky.calls["search"] == 3
+    for bad in ({}, {"search": (0,)}, {"query": (1,)}):
+        with pytest.raises(KernelValidationError):
+            FlakySource(sources[0], bad)
