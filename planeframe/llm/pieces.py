@@ -76,6 +76,9 @@ class PieceModel:
         keys = np.array([self._hash(t) for t in self.id], np.uint64)
         order = np.argsort(keys)
         self.keys, self.key_id = keys[order], np.fromiter(self.id.values(), np.int32, len(self.id))[order]
+        #: Which beginnings of hashes any piece has: most substrings are none, and needn't be looked for among the sorted keys.
+        self.some = np.zeros(1 << 20, bool)
+        self.some[keys >> np.uint64(44)] = True
         if len(np.unique(keys)) != len(keys):
             raise ValueError("two pieces have one hash")
         self.text = text
@@ -99,16 +102,26 @@ class PieceModel:
         self.first = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
 
-    def merge(self, text: str) -> list[str]:
-        """The pieces of a short text by merging the best-scored neighbours, leftmost first."""
-        s = list(text)
-        while len(s) > 1:
-            best = max(((self.score.get(s[i] + s[i + 1], -np.inf), -i) for i in range(len(s) - 1)))
-            if best[0] == -np.inf:
+    def apart(self, x: str, y: str) -> bool:
+        """Whether the text of two pieces merges into just these: best-scored neighbours first, leftmost of equal ones, and none across the border."""
+        s, get, none = [*x, *y], self.score.get, -np.inf
+        border = len(x)
+        gain = [get(s[i] + s[i + 1], none) for i in range(len(s) - 1)]
+        while gain:
+            best = max(gain)
+            if best == none:
                 break
-            i = -best[1]
+            i = gain.index(best)
+            if i == border - 1:
+                return False
+            border -= i < border
             s[i : i + 2] = [s[i] + s[i + 1]]
-        return s
+            del gain[i]
+            if i:
+                gain[i - 1] = get(s[i - 1] + s[i], none)
+            if i < len(gain):
+                gain[i] = get(s[i] + s[i + 1], none)
+        return s == [x, y]
 
     def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the joint text of pieces a and b (ids) merges into just these two."""
@@ -120,8 +133,7 @@ class PieceModel:
         for i, k in enumerate(kinds.tolist()):
             v = self.pair.get(k)
             if v is None:
-                x, y = self.text[k >> 32], self.text[k & 0xFFFFFFFF]
-                v = self.pair[k] = self.merge(x + y) == [x, y]
+                v = self.pair[k] = self.apart(self.text[k >> 32], self.text[k & 0xFFFFFFFF])
             got[i] = v
         return got[back]
 
@@ -131,10 +143,20 @@ class PieceModel:
         if v is None:
             if len(self.pair) > PAIRS:
                 self.pair.clear()
-            x, y = self.text[a], self.text[b]
-            v = self.pair[key] = self.merge(x + y) == [x, y]
+            v = self.pair[key] = self.apart(self.text[a], self.text[b])
         return v
 
+    def _probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the hashes that are a piece's, ids of the pieces)."""
+        hit = np.flatnonzero(self.some[h >> np.uint64(44)])
+        if len(hit):
+            at = np.searchsorted(self.keys, h[hit])
+            at[at == len(self.keys)] = 0
+            ok = self.keys[at] == h[hit]
+            hit, at = hit[ok], at[ok]
+            return hit, self.key_id[at]
+        return hit, self.key_id[:0]
+
     def viterbi(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of W words of L characters each (code points, W x L): their ids from the end (W x L, -1 beyond), and how many.
 
@@ -155,12 +177,9 @@ class PieceModel:
             piece = np.full(n, -2, np.int32)
             for k in range(1, min(i, self.longest) + 1):
                 h = pre[i] - pre[i - k] * power[k]
-                at = np.searchsorted(self.keys, h)
-                at[at == len(self.keys)] = 0
-                hit = np.flatnonzero(self.keys[at] == h)
+                hit, own = self._probe(h)
                 if not len(hit):
                     continue
-                own = self.key_id[at[hit]]
                 if i > k:
                     before = last[i - k, hit]
                     ok = before == -2
@@ -262,10 +281,8 @@ class PieceModel:
             ids = np.full((self.longest + 1, size + 1), -1, np.int32)
             for k in range(1, min(size, self.longest) + 1):
                 h = (total[k:] - total[:-k]) * power[k:]
-                i = np.searchsorted(self.keys, h)
-                i[i == len(self.keys)] = 0
-                hit = self.keys[i] == h
-                ids[k, k:][hit] = self.key_id[i[hit]]
+                hit, own = self._probe(h)
+                ids[k, k:][hit] = own
             some = ids >= 0
             options: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]
             for k, i in zip(*np.nonzero(some), strict=True):
