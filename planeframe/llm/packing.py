@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import Index, Words, cut, keep, slices, tidy
 
 #: Distinct words whose ids a worker remembers; beyond it the memory starts anew. The table has four places for each.
-MEMO = 1 << 19
+MEMO = 1 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RESULT = f"{PIECES}, sequence_id long, offset long"
