@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import caps, licenses, lm_scoring, ngram_join, packing, pieces, pii, quality, tokens, toxicity
+from . import caps, licenses, lm_scoring, ngram_join, packing, phrases, pieces, pii, quality, tokens, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_embedding_dedup": caps.op8_embedding_dedup,
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op13_collocations": phrases.op13_collocations,
 }
 
 ORACLE_SQL = {
     "op2_quality_rules": quality.ORACLE,
     "op3_ngram_join": ngram_join.ORACLE,
     "op8_embedding_dedup": caps.ORACLE,
+    "op13_collocations": phrases.ORACLE,
 }
