@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import caps, licenses, lm_scoring, ngram_join, packing, phrases, pieces, pii, quality, tokens, toxicity
+from . import caps, licenses, lm_scoring, main_text, ngram_join, packing, phrases, pieces, pii, prefix_trie, quality, tokens, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_embedding_dedup": caps.op8_embedding_dedup,
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_main_text": main_text.op12_main_text,
     "op13_collocations": phrases.op13_collocations,
 }
 
@@ -22,5 +24,6 @@ ORACLE_SQL = {
     "op2_quality_rules": quality.ORACLE,
     "op3_ngram_join": ngram_join.ORACLE,
     "op8_embedding_dedup": caps.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
     "op13_collocations": phrases.ORACLE,
 }
