@@ -8,8 +8,8 @@
 2. Spark counts the votes of each host. A host's winners are the paths with one
    in a hundred of its votes at least, so no host has more than a hundred.
 3. Each page is read again with the winners of its host: of those that it has,
-   weak ones aside, the deepest is its article. A page that has none but the
-   whole body goes by its own vote.
+   the one with most votes, or the winner inside it that isn't weak, is its
+   article. A page that has none but the whole body goes by its own vote.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from .common import stored, tidy
 #: Share of a page's score that the container it votes for holds.
 MOST = 0.7
 #: Share of a page's score that a winner needs to count as found on it.
-FOUND = 0.2
-#: Share of the votes of the winners found on a page that a path needs to be taken.
+FOUND = 0.01
+#: Share of the votes of the winners found on a page that a path needs to be preferred to one around it.
 WEAK = 0.1
 #: A host's winners have one in so many of its votes.
 WINNERS = 100
@@ -291,7 +291,10 @@ class Page:
             path = self.vote() or "body"
         else:
             least = WEAK * sum(found.values())
-            path = max((p for p, v in found.items() if v >= least), key=lambda p: (p.count(">"), found[p], p))
+            path, inner = "", list(found)
+            while inner:
+                path = max(inner, key=lambda p: (found[p], p.count(">"), p))
+                inner = [p for p, v in found.items() if p.startswith(f"{path}>") and v >= least]
         chosen = [False] * len(self.parent)
         for k in range(len(chosen)):
             chosen[k] = self.path[k] == path if self.tops[k] else False
@@ -325,8 +328,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     ids and addresses may be null or repeat and are handed on as they are; a page
     without an absolute address is judged with all others like it; repeated rows
     are rows each and vote each; html of any length is read whole, in time in
-    proportion to it; of paths of equal depth and votes the last in order is
-    taken; an empty table gives no rows. Other columns play no part.
+    proportion to it; of paths of equal votes the deepest, then the last in
+    order is taken; an empty table gives no rows. Other columns play no part.
     """
     winners = host_paths(pages, url_col, html_col).groupBy("host").agg(F.collect_list("path").alias("paths"), F.collect_list("votes").alias("votes"))
     winners = stored(winners).withColumn("salt", F.explode(F.expr(f"sequence(0, {SALT - 1})")))
