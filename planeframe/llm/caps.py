@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, tidy
+from .common import components, cut, distinct_keys, tidy
 
 #: Blocks of the product code, least code words in each block, and how far below a vector's best direction its caps reach.
 #: On 4,000 pairs at a cosine of exactly 0.93 (uniform directions, 64 dimensions) every pair met, with 36 caps a vector.
@@ -146,9 +146,11 @@ def near_vectors(table: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
     none of it links; all else is decided by the cosine in double precision.
     Vectors of unequal length don't link. Null, empty or zero vectors, those
     with null or non-finite components, and those without a label get n_links 0
-    and a component of their own; rows that repeat a vec_id give a row each
-    (their vectors count as that many); an empty table gives no rows; other
-    columns are ignored.
+    and a component of their own; rows that repeat a vec_id, with one vector or
+    several, under one label or several, give a row each and are judged each by
+    their vector and label: inside, a vector of a label goes by a key of its own.
+    Rows without a vec_id count as others and name no component. An empty table
+    gives no rows; other columns are ignored.
 
     A cell, a cap or a pair of balls with very many rows is dealt in blocks by
     hash, and every two blocks meet in a task of their own: no group is
@@ -156,7 +158,8 @@ def near_vectors(table: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
     """
     raw = table.select(table[id_col].cast("long").alias("vec_id"), table[vector_col].alias("v"), table[label_col].cast("string").alias("label"))
     fine = "v is not null and size(v) > 0 and label is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x != 0)"
-    distinct = raw.where(fine).groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    distinct = cut(raw.where(fine).groupBy("label", "v").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies")))
+    distinct = distinct.withColumn("rep", distinct_keys(distinct, ["label", "v"]))
     phi = float(np.arccos(cosine))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +171,9 @@ def near_vectors(table: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
                 out[rows] = code.cell(_unit(_matrix(b.column(0).take(pa.array(rows))))) * 65536 + n % 65536
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "cell"])
 
-    distinct = distinct.select("v", "label", "rep", "copies")
+    distinct = distinct.select("v", "label", "rep", "copies", "low")
     vector = distinct.schema["v"].dataType.simpleString()
-    celled = cut(distinct.mapInArrow(tidy(cells), f"v {vector}, label string, rep long, copies long, cell long"))
+    celled = cut(distinct.mapInArrow(tidy(cells), f"v {vector}, label string, rep long, copies long, low long, cell long"))
     crowded = celled.groupBy("label", "cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL_SIZE)
     spread = celled.join(crowded, ["label", "cell"], "left").withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.coalesce("n", F.lit(1)) / CELL_SIZE)))
     in_cells = spread.select("label", "cell", "part", "rep", "copies", "v").repartition("label", "cell", "part").sortWithinPartitions("label", "cell", "part", "rep")
@@ -293,6 +296,9 @@ def near_vectors(table: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
     edges = pairs.where("sure").select("a", "b").unionByName(single.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     joined = components(edges)
     placed = balls.select("ball", "n").join(whole, F.col("ball") == F.col("a"), "left").join(joined, F.col("ball") == F.col("id"), "left").select("ball", (F.col("n") - 1 + F.coalesce("whole", F.lit(0))).alias("common"), F.coalesce("component", "ball").alias("component_id"))
+    # a component's name is the smallest id of its vectors
+    named = members.select("rep", "ball").join(celled.select("rep", "low"), "rep").groupBy("ball").agg(F.min("low").alias("low")).join(placed.select("ball", "component_id"), "ball")
+    placed = placed.join(named.groupBy("component_id").agg(F.min("low").alias("name")), "component_id").select("ball", "common", F.col("name").alias("component_id"))
     classes = members.select("label", "v", "rep", "ball").join(placed, "ball").join(weight, "rep", "left").select("label", "v", (F.col("common") + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     return raw.join(classes, ["label", "v"], "left").select(
         "vec_id",

@@ -268,6 +268,23 @@ def may_hold(filter_: tuple[np.ndarray, int], ids: np.ndarray) -> np.ndarray:
     return (filter_[0][at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
+def distinct_keys(df: DataFrame, of: list[str], same: list[str] | None = None) -> F.Column:
+    """An expression for a key of 63 bits over the columns ``of``, equal for two rows of ``df`` only if they agree in ``same`` (by default ``of``).
+
+    A hash, checked by one shuffle of keys. Keys that stand for several contents,
+    a handful in 10^10, are hashed again with another seed and checked again.
+    """
+    content = F.struct(*(same or of))
+    key, seed = F.xxhash64(*of).bitwiseAND(F.lit((1 << 63) - 1)), 0
+    while True:
+        seen = df.select(key.alias("_key"), content.alias("_of")).groupBy("_key").agg(F.min("_of").alias("lo"), F.max("_of").alias("hi"))
+        bad = [r[0] for r in seen.where("lo != hi").select("_key").collect()]
+        if not bad:
+            return key
+        seed += 1
+        key = F.when(key.isin(bad), F.xxhash64(F.lit(seed), *reversed(of)).bitwiseAND(F.lit((1 << 63) - 1))).otherwise(key)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage by a Parquet table in the shared checkpoint folder, smaller than checkpoint() makes it; removed at exit."""
     spark = with_checkpoints(df.sparkSession)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, components, cut, id_filter, ids_of, may_hold, slices, stored, tidy
+from .common import LOWER, Words, components, cut, distinct_keys, id_filter, ids_of, may_hold, slices, stored, tidy
 
 #: Size of the heavy-hitter table. It only shapes the order of n-grams, so it changes cost, never results.
 HEAVY = 1 << 18
@@ -161,6 +161,11 @@ class Tree:
         return out
 
 
+def _once(texts: DataFrame) -> DataFrame:
+    """One row of each key: repeated rows meet before they are shuffled, in the partitioning of the join that follows."""
+    return texts.groupBy("doc_id").agg(F.first("text").alias("text"))
+
+
 def _verify(texts: DataFrame, pairs: DataFrame, order: Order, k: int, t: int) -> DataFrame:
     """Those of the distinct pairs (a, b) whose sets link.
 
@@ -178,7 +183,7 @@ def _verify(texts: DataFrame, pairs: DataFrame, order: Order, k: int, t: int) ->
         for b in batches:
             yield b.filter(pa.array(may_hold(some, ids_of(b.column(0)))))
 
-    texts = texts.mapInArrow(tidy(near), "doc_id long, text string")
+    texts = _once(texts.mapInArrow(tidy(near), "doc_id long, text string"))
     rows = texts.join(routes, texts["doc_id"] == routes["id"]).select("a", "slice", "role", "id", "text")
     rows = rows.repartition("a", "slice").sortWithinPartitions("a", "slice", "role")
 
@@ -248,7 +253,7 @@ def _verify_blocks(texts: DataFrame, members: DataFrame, order: Order, k: int, t
         for b in batches:
             yield b.filter(pa.array(may_hold(some, ids_of(b.column(0)))))
 
-    texts = texts.mapInArrow(tidy(near), "doc_id long, text string")
+    texts = _once(texts.mapInArrow(tidy(near), "doc_id long, text string"))
     rows = texts.join(met, texts["doc_id"] == met["id"]).select("fam", "x", "y", "role", "comp", "id", "text")
     rows = rows.repartition("fam", "x", "y").sortWithinPartitions("fam", "x", "y", "role", "id")
 
@@ -294,8 +299,11 @@ def ngram_classes(documents: DataFrame, n_gram: int = 4, percent: int = 85, id_c
     sequence as one. Sets link at 100 * intersection >= percent * union;
     component_id is the smallest id reachable. A null or empty text has an
     empty set and links with nothing; equal texts link; rows that repeat an id
-    give a row each, with the ids taken as one document each of that id; an
-    empty table gives no rows; other columns are ignored.
+    give a row each and are one document: what links with one of them is in the
+    component of all. Inside, a text goes by a key of its own, so the order of
+    rows plays no part. Rows without an id are documents each, and name no
+    component. Texts of any length are taken whole; an empty table gives no
+    rows; other columns are ignored.
 
     The member of a bucket that shares most n-grams with others is compared with
     the rest first, in linear work, which settles groups of copies. Then members
@@ -304,7 +312,8 @@ def ngram_classes(documents: DataFrame, n_gram: int = 4, percent: int = 85, id_c
     that pass the size and overlap bounds. Nothing is capped or left out.
     """
     t, k = percent, n_gram
-    texts = documents.select(documents[id_col].cast("long").alias("doc_id"), documents[text_col].cast("string").alias("text"))
+    given = documents.select(documents[id_col].cast("long").alias("own_id"), documents[text_col].cast("string").alias("text"))
+    texts = given.select(F.lit(0).cast("long").alias("doc_id"), "text")
     order = Order(*heavy_hitters(texts, k))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,12 +329,16 @@ def ngram_classes(documents: DataFrame, n_gram: int = 4, percent: int = 85, id_c
                     prefix.append(s[: n - -(-t * n // 100) + 1])
                 off = np.cumsum([0, *map(len, prefix)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(prefix)))],
-                    names=["doc_id", "n", "s1", "s2", "prefix"],
+                    [part.column(0), part.column(2), part.column(3), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(prefix)))],
+                    names=["own_id", "hash", "hash2", "n", "s1", "s2", "prefix"],
                 )
 
-    signed = stored(texts.mapInArrow(tidy(sign), "doc_id long, n long, s1 long, s2 long, prefix array<long>"))
-    sets = signed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
+    # a row's key is a hash of its id and text, checked to stand for one set only
+    hashed = F.xxhash64("own_id", "text").alias("hash"), F.xxhash64(F.lit(1), "text", "own_id").alias("hash2")
+    signed = stored(given.select("own_id", "text", *hashed).mapInArrow(tidy(sign), "own_id long, hash long, hash2 long, n long, s1 long, s2 long, prefix array<long>"))
+    key = distinct_keys(signed.where("n > 0"), ["hash", "hash2"], ["n", "s1", "s2"])
+    texts = given.select(*hashed, "text").select(key.alias("doc_id"), "text")
+    sets = signed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(key).alias("rep"), F.min("own_id").alias("low"), F.first("prefix").alias("prefix"))
     entries = sets.select("rep", "n", F.posexplode("prefix").alias("pos", "h")).repartition("h")
     crowd = entries.groupBy("h").agg(F.count("*").alias("members")).where("members > 1")
     shared = stored(entries.join(crowd, "h"))
@@ -360,14 +373,27 @@ def ngram_classes(documents: DataFrame, n_gram: int = 4, percent: int = 85, id_c
     between = more.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     final = components(cut(between.unionByName(dense)))
 
-    reps = sets.select("n", "s1", "s2", "rep").join(place.select("rep", "comp"), "rep", "left")
-    classes = reps.join(final, reps["comp"] == final["id"], "left").select("n", "s1", "s2", F.coalesce("component", "comp", "rep").alias("class"))
-    least = classes.groupBy("n", "s1", "s2").agg(F.min("class").alias("class"))
-    return (
-        signed.select("doc_id", "n", "s1", "s2")
-        .join(least, ["n", "s1", "s2"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("component_id"))
-    )
+    reps = sets.select("n", "s1", "s2", "rep", "low").join(place.select("rep", "comp"), "rep", "left")
+    classes = reps.join(final, reps["comp"] == final["id"], "left").select("n", "s1", "s2", "low", F.coalesce("component", "comp", "rep").alias("class"))
+    rows = signed.select("own_id", "n", "s1", "s2")
+    # an id of several texts is one document: it joins their classes, and an empty text goes with the others
+    several = rows.where("own_id is not null").groupBy("own_id").agg(F.min(F.struct("n", "s1", "s2")).alias("lo"), F.max(F.struct("n", "s1", "s2")).alias("hi")).where("lo != hi").select("own_id")
+    several = cut(several)
+    if several.isEmpty():
+        empty_of = None
+    else:
+        classes = cut(classes)
+        meets = rows.where("n > 0").join(several, "own_id", "left_semi").join(classes, ["n", "s1", "s2"]).select("own_id", "class").distinct()
+        first_of = meets.groupBy("own_id").agg(F.min("class").alias("a"))
+        joined = components(meets.join(first_of, "own_id").select("a", F.col("class").alias("b")))
+        classes = classes.join(joined.withColumnRenamed("id", "class"), "class", "left").select("n", "s1", "s2", "low", F.coalesce("component", "class").alias("class"))
+        empty_of = first_of.select("own_id", F.col("a").alias("class")).join(joined.withColumnRenamed("id", "class"), "class", "left").select("own_id", F.coalesce("component", "class").alias("class"))
+    names = classes.groupBy("class").agg(F.min("low").alias("name"))
+    named = classes.join(names, "class").select("n", "s1", "s2", "name")
+    out = rows.join(named, ["n", "s1", "s2"], "left")
+    if empty_of is not None:
+        out = out.join(empty_of.join(names, "class").select("own_id", F.col("name").alias("id_name")), "own_id", "left").withColumn("name", F.coalesce("name", "id_name"))
+    return out.select(F.col("own_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("name", "own_id").alias("component_id"))
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
