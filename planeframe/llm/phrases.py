@@ -39,8 +39,8 @@ TOP = 2000
 BYTES_A_COUNTER = 200
 #: Words whose n-grams a task counts before it hands its counters on.
 CHUNK = 1 << 21
-#: Bytes of text that the exact pass works on at once (a longer text is a slice of its own).
-SLICE = 4 << 20
+#: Rows of phrases that a task holds before it adds them up.
+HELD = 1 << 19
 
 #: What a byte is: 0 part of a word, 1 blank, 2 end of a piece.
 _KIND = np.zeros(256, np.uint8)
@@ -101,13 +101,14 @@ class Pieces:
         return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(self.data[self.part]))])
 
 
-def _counter(h: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (h * _ROWS[row]) >> np.uint64(64 - bits)
+def _counter(h: np.ndarray, row: int, width: int) -> np.ndarray:
+    """Counters of hashes in a row of ``width``, by the hashes' upper 53 bits."""
+    return (((h * _ROWS[row]) >> np.uint64(11)).astype(np.float64) * (width * 2.0**-53)).astype(np.int64)
 
 
-def _heavy(docs: DataFrame, least: int, bits: int) -> DataFrame:
+def _heavy(docs: DataFrame, least: int, width: int) -> DataFrame:
     """(id): counters of the merged sketches that reach ``least``, numbered through all rows."""
-    range_bits = max(16, bits - 10)
+    span = max(1 << 16, -(-width // 1024))
     kind = np.min_scalar_type(least)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,14 +124,14 @@ def _heavy(docs: DataFrame, least: int, bits: int) -> DataFrame:
                 if not len(h):
                     continue
                 for row in range(len(_ROWS)):
-                    at = np.sort(_counter(h, row, bits).astype(np.uint32 if bits <= 32 else np.uint64))
+                    at = np.sort(_counter(h, row, width).astype(np.uint32 if width <= 1 << 32 else np.int64))
                     new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
                     many = np.minimum(np.diff(np.concatenate([new, [len(at)]])), least).astype(kind)
                     at = at[new]
-                    part = (at >> at.dtype.type(range_bits)).astype(np.int64)
+                    part = at // at.dtype.type(span)
                     cut = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(at)]])
                     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                        near = (at[a:b] & at.dtype.type((1 << range_bits) - 1)).astype(np.uint32)
+                        near = (at[a:b] - part[a] * at.dtype.type(span)).astype(np.uint32)
                         step = np.diff(near, prepend=np.uint32(0))
                         planes = np.concatenate([step.view(np.uint8).reshape(-1, 4).T.ravel(), many[a:b].view(np.uint8)])
                         rows.append((n * len(_ROWS) + row, int(part[a]), b - a, zstd.compress(planes.tobytes(), asbytes=True)))
@@ -150,10 +151,10 @@ def _heavy(docs: DataFrame, least: int, bits: int) -> DataFrame:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd = pa.Codec("zstd")
-        key, sums = None, np.zeros(1 << range_bits, np.uint32)
+        key, sums = None, np.zeros(span, np.uint32)
 
         def reach() -> pa.RecordBatch:
-            at = np.flatnonzero(sums >= least) + (key[0] << bits) + (key[1] << range_bits)
+            at = np.flatnonzero(sums >= least) + key[0] * width + key[1] * span
             return pa.RecordBatch.from_arrays([pa.array(at, pa.int64())], names=["id"])
 
         for b in batches:
@@ -173,13 +174,32 @@ def _heavy(docs: DataFrame, least: int, bits: int) -> DataFrame:
     return parts.repartition("row", "part").sortWithinPartitions("row", "part").mapInArrow(tidy(merge), "id long")
 
 
-def _survivors(docs: DataFrame, seen: tuple[np.ndarray, int], bits: int) -> DataFrame:
-    """(lang, n, phrase, count): survivors of each slice, counted exactly; n = 0 counts all words."""
+def _survivors(docs: DataFrame, seen: tuple[np.ndarray, int], width: int, least: int) -> DataFrame:
+    """(lang, n, phrase, count): survivors with their exact counts, of ``least`` or more; n = 0 counts all words.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Tasks add up what they find and hand it on in buckets by hash, a row each;
+    one task adds up a bucket, a part at a time.
+    """
+    names = ["bucket", "lang", "n", "phrase", "count"]
+    buckets = min(max(width >> 16, 64), 4096)
+
+    def total(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by(names[:4]).aggregate([("count", "sum")]).rename_columns(names)
+
+    def dealt(table: pa.Table) -> pa.RecordBatch:
+        table = table.take(np.argsort(table["bucket"].to_numpy(), kind="stable")).combine_chunks()
+        bucket = table["bucket"].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0]))
+        off = pa.array(np.concatenate([first, [len(bucket)]]), pa.int32())
+        lists = [pa.ListArray.from_arrays(off, table[c].combine_chunks()) for c in names[1:]]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[first]), *lists], names=names)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = (held.value, seen[1])
+        parts: list[pa.Table] = []
+        rows = 0
         for batch in batches:
-            for s in slices(batch, "text", SLICE):
+            for s in slices(batch, "text"):
                 p = Pieces(s.column("text"), s.column("lang"))
                 if not len(p.start):
                     continue
@@ -187,12 +207,12 @@ def _survivors(docs: DataFrame, seen: tuple[np.ndarray, int], bits: int) -> Data
                 code, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
                 langs = pa.array(p.langs, pa.string())
                 many = np.bincount(p.lang, minlength=len(langs))
-                out = [(langs, np.zeros(len(langs), np.int32), pa.array([""] * len(langs)), many)]
+                out = [(np.zeros(len(langs), np.int32), langs, np.zeros(len(langs), np.int32), pa.array([""] * len(langs)), many)]
                 number, alive = p.lang.astype(np.int64), np.ones(len(code) + 1, bool)
                 for n, h in p.ngrams():
                     at = np.flatnonzero(alive[: len(h)] & alive[1 : len(h) + 1] & (p.room[: len(h)] >= n))
                     for row in range(len(_ROWS)):
-                        ids = _counter(h[at], row, bits).astype(np.int64) + ((n * len(_ROWS) + row) << bits)
+                        ids = _counter(h[at], row, width) + (n * len(_ROWS) + row) * width
                         at = at[may_hold(filter_, ids)]
                     alive = np.zeros(len(code) + 1, bool)
                     if not len(at):
@@ -204,31 +224,62 @@ def _survivors(docs: DataFrame, seen: tuple[np.ndarray, int], bits: int) -> Data
                     at = at[first]
                     words = [coded.dictionary.take(pa.array(code[at + k])) for k in range(n)]
                     phrase = pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())) if n > 1 else words[0]
-                    out.append((langs.take(pa.array(p.lang[at])), np.full(len(at), n, np.int32), phrase.cast(pa.string()), count))
-                for lang, n, phrase, count in out:
-                    yield pa.RecordBatch.from_arrays([lang, pa.array(n, pa.int32()), phrase, pa.array(count, pa.int64())], names=["lang", "n", "phrase", "count"])
+                    bucket = (h[at] % np.uint64(buckets)).astype(np.int32)
+                    out.append((bucket, langs.take(pa.array(p.lang[at])), np.full(len(at), n, np.int32), phrase.cast(pa.string()), count))
+                for bucket, lang, n, phrase, count in out:
+                    parts.append(pa.Table.from_arrays([pa.array(bucket), lang, pa.array(n), phrase, pa.array(count, pa.int64())], names=names))
+                    rows += len(count)
+                if rows > HELD:
+                    parts = [total(parts)]
+                    rows = len(parts[0])
+                    if 2 * rows > HELD:
+                        yield dealt(parts.pop())
+                        rows = 0
+        if parts:
+            yield dealt(total(parts))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, parts, rows = None, [], 0
+
+        def reach() -> list[pa.RecordBatch]:
+            sums = total(parts).drop_columns("bucket")
+            return sums.filter(pc.or_(pc.equal(sums["n"], 0), pc.greater_equal(sums["count"], least))).to_batches()
+
+        for b in batches:
+            for k, own in enumerate(b.column("bucket").to_pylist()):
+                if own != bucket and parts:
+                    yield from reach()
+                    parts, rows = [], 0
+                bucket = own
+                lists = [b.column(c).slice(k, 1).flatten() for c in names[1:]]
+                parts.append(pa.Table.from_arrays([pa.array(np.full(len(lists[0]), own, np.int32)), *lists], names=names))
+                rows += len(lists[0])
+                if rows > HELD:
+                    parts = [total(parts)]
+                    rows = 0
+        if parts:
+            yield from reach()
 
     held = docs.sparkSession.sparkContext.broadcast(seen[0])
-    return docs.mapInArrow(tidy(run), "lang string, n int, phrase string, count long")
+    found = docs.mapInArrow(tidy(find), "bucket int, lang array<string>, n array<int>, phrase array<string>, count array<long>")
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(merge), "lang string, n int, phrase string, count long")
 
 
-def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, counter_bits: int | None = None) -> DataFrame:
+def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, width: int | None = None) -> DataFrame:
     """(lang, n, phrase, count): every phrase of 1 to 5 words found ``least`` times or more in a language, with its exact count.
 
     Rows with n = 0 and an empty phrase hold the number of all words of a
-    language. ``counter_bits`` sets a sketch's width; by default it follows the
+    language. ``width`` is the number of a sketch's counters; by default it follows the
     size of the text. A narrow sketch costs time, never a phrase.
     """
     docs = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    if counter_bits is None:
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        counter_bits = min(max(16, int(size // BYTES_A_COUNTER).bit_length()), 40)
-    heavy = stored(_heavy(docs, least, counter_bits))
-    counts = _survivors(docs, id_filter(heavy), counter_bits).groupBy("lang", "n", "phrase").agg(F.sum("count").alias("count"))
-    return stored(counts.where((F.col("n") == 0) | (F.col("count") >= least)))
+    if width is None:
+        width = max(1 << 16, int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES_A_COUNTER)
+    heavy = stored(_heavy(docs, least, width))
+    return stored(_survivors(docs, id_filter(heavy), width, least))
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, inside: int = INSIDE, top: int = TOP, counter_bits: int | None = None) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, inside: int = INSIDE, top: int = TOP, width: int | None = None) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases of 2 to 5 words.
 
     A phrase's score is that of its weakest cut, floor(1000 * a * n / (l * r)) in
@@ -239,7 +290,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     the smaller one in byte order; an empty table gives no rows. Other columns of
     ``docs`` play no part.
     """
-    counts = phrase_counts(docs, text_col, lang_col, least, counter_bits)
+    counts = phrase_counts(docs, text_col, lang_col, least, width)
     totals = counts.where("n = 0").select("lang", F.col("count").alias("words"))
     longer = counts.where("n >= 2").withColumnRenamed("count", "a")
     part = counts.where(f"n between 1 and {LONGEST - 1}").select("lang", "phrase", "count")
