@@ -198,13 +198,14 @@ class Engine:
         done: dict[str, Envelope] = {}
         marks: dict[str, str] = {}
         usage = Usage()
+        ahead: dict[str, SourceResult] = {}
         for k in topological_order(plan):
             _deadline(context)
             o = ops[k]
             began = time.monotonic()
             if self.traces:
                 self.traces.add(context.trace_id, "operation_started", op_id=k, operation=o.name)
-            env = self._one(o, context, done)
+            env = self._one(o, context, done, ahead, [x for x in plan.operations if x.op_id not in done])
             own = Usage(actions=1, latency_ms=int(1000 * (time.monotonic() - began)))
             usage = usage + own
             context.budget.require(usage)
@@ -222,7 +223,8 @@ class Engine:
                 self.traces.add(context.trace_id, "operation_completed", op_id=k, result=marks.get(k))
         return done, marks
 
-    def _one(self, o: Operation, context: Context, done: Mapping[str, Envelope]) -> Envelope:
+    def _one(self, o: Operation, context: Context, done: Mapping[str, Envelope], ahead: dict[str, SourceResult], left: list[Operation]) -> Envelope:
+        """Run one operation. A plan's searches of one source share a scan: ``ahead`` keeps the results of those whose turn comes later."""
         make = lambda value, relation, **more: Envelope(o.op_id, value, o.output, context.trace_id, relation, **more)
         if o.name == "discover":
             df = self.catalog.frame(self.spark, o.kinds, context.allowed_resources)
@@ -234,7 +236,10 @@ class Engine:
         source = self.catalog.get(o.source)
         args = self._bound(o, done)
         try:
-            r: SourceResult = getattr(source, o.name)(o, context, *args)
+            if o.name == "search" and o.op_id not in ahead and "search_all" in dir(type(source)):
+                same = [x for x in left if x.name == "search" and x.source == o.source]
+                ahead.update(zip([x.op_id for x in same], source.search_all(same, context), strict=True))
+            r: SourceResult = ahead.pop(o.op_id) if o.op_id in ahead else getattr(source, o.name)(o, context, *args)
         except KernelError:
             raise
         except Exception as e:
@@ -274,14 +279,15 @@ class Engine:
         elif o.name == "join":
             out = operators.join_rows(rel[0], rel[1], o.left_on, o.right_on, o.left_alias, o.right_alias)
         else:
-            frames = [r.evidence for r in rel if r.evidence is not None]
+            frames, bounds = [r.evidence for r in rel if r.evidence is not None], [r.bound for r in rel if r.evidence is not None]
             if o.name == "fuse":
                 if not frames:
                     raise ExecutionError("there is no evidence to fuse")
-                evidence = operators.fuse(frames, o.limit, o.rank_constant)
+                evidence = operators.fuse(frames, o.limit, o.rank_constant, bounds)
             else:
                 evidence = operators.compose_evidence(frames) if frames else None
-            out = Relation((), None, evidence)
+            bound = o.limit if o.name == "fuse" else None if None in bounds else sum(bounds)
+            out = Relation((), None, evidence, bound)
         if o.name == "compose":
             value = [_select(i.value, r.path) for i, r in zip(inputs, o.inputs, strict=True)]
         else:
@@ -346,7 +352,11 @@ class Engine:
             raise UnsupportedSyncError("another protocol")
         changes = change_set.changes
         mark = digest(frame_fingerprint(changes), change_set.base_version)
-        if (old := self.synced.get(change_set.idempotency_key)) is not None:
+        durable = getattr(source, "receipt", None)  # of a source that keeps its own receipts, for all engines
+        old = self.synced.get(change_set.idempotency_key)
+        if durable is not None and (told := durable(change_set.idempotency_key)) is not None:
+            old = (told[0], SyncReceipt(change_set.source, told[1], told[2]))
+        if old is not None:
             if old[0] != mark:
                 raise IdempotencyConflictError(f"{change_set.idempotency_key} stands for another change set")
             return replace(old[1], reused=True)
@@ -358,6 +368,8 @@ class Engine:
                 raise ArtifactIntegrityError("an artifact's content doesn't have its checksum")
         if not changes.limit(1).count():
             raise ExecutionError("a change set has changes")
+        if durable is not None:
+            return SyncReceipt(change_set.source, *source.commit(changes, change_set.idempotency_key, mark, change_set.base_version))
         receipt = SyncReceipt(change_set.source, before, source.sync(changes))
         self.synced[change_set.idempotency_key] = (mark, receipt)
         return receipt

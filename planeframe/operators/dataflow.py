@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ExecutionError
@@ -63,16 +63,36 @@ def join_rows(left: Relation, right: Relation, left_on, right_on, left_alias: st
 PROVENANCE = ("source_id", "locator", "version", "valid_from", "valid_to")
 
 
-def fuse(inputs: list[DataFrame], limit: int = 20, rank_constant: int = 60) -> DataFrame:
+#: Rows up to which a ranking whose size is known is numbered in one task.
+BOUNDED = 100_000
+
+
+def _places(evidence: DataFrame) -> Column:
+    """The order of evidence as an array of numbers, compared element by element."""
+    kind = evidence.schema[ORDER].dataType.typeName()
+    return F.col(ORDER) if kind == "array" else F.array(F.col(ORDER).cast("long"))
+
+
+def _rank(evidence: DataFrame, bound: int | None) -> DataFrame:
+    """Number the rows from 1: by one window if a limit bounds them, else in parts of 65,536 places, which computes the rows twice."""
+    if bound is not None and bound <= BOUNDED:
+        return evidence.withColumn("_rank", F.row_number().over(Window.orderBy(ORDER)).cast("long")).drop(ORDER)
+    at = _places(evidence)
+    part = F.concat(F.slice(at, 1, F.size(at) - 1), F.array(F.shiftright(F.element_at(at, -1), 16)))
+    return ranked(evidence, part, F.col(ORDER)).drop(ORDER)
+
+
+def fuse(inputs: list[DataFrame], limit: int = 20, rank_constant: int = 60, bounds: list[int | None] | None = None) -> DataFrame:
     """Reciprocal-rank fusion of ranked evidence frames: (evidence columns, score rounded to 12, new order).
 
     Each input gives 1 / (rank_constant + rank) to what it ranks, ranks from 1;
     what stands twice counts twice. Contributions are added in input and rank
     order, so the double sum doesn't depend on partitioning. Order: score
-    descending, then first seen. Inputs of any size are ranked in parts of their
-    order; only the ``limit`` rows that are left are numbered in one task.
+    descending, then first seen. ``bounds`` says how many rows an input has at
+    most, where that is known; all others are ranked in parts of their order.
     """
-    tagged = [ranked(e, F.shiftright(F.col(ORDER), 16), F.col(ORDER)).withColumn("_in", F.lit(i)) for i, e in enumerate(inputs)]
+    bounds = bounds or [None] * len(inputs)
+    tagged = [_rank(e, n).withColumn("_in", F.lit(i)) for i, (e, n) in enumerate(zip(inputs, bounds, strict=True))]
     all_ = reduce(DataFrame.unionByName, tagged).withColumn("_gain", 1.0 / (F.lit(rank_constant) + F.col("_rank")))
     key = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(f"_k_{c}") for c in PROVENANCE]
     place = F.struct("_in", "_rank")
@@ -80,7 +100,7 @@ def fuse(inputs: list[DataFrame], limit: int = 20, rank_constant: int = 60) -> D
     fused = all_.groupBy(*key).agg(
         F.aggregate(gains, F.lit(0.0), lambda s, g: s + g["_gain"]).alias("_score"),
         F.min(place).alias("_first"),
-        F.min_by(F.struct(*EVIDENCE_NAMES), place).alias("e"),
+        F.min_by(F.struct(*[c for c in EVIDENCE_NAMES if c != ORDER]), place).alias("e"),
     )
     top = fused.orderBy(F.desc("_score"), "_first").limit(limit)
     top = top.withColumn("_new", F.row_number().over(Window.orderBy(F.desc("_score"), "_first")).cast("long") - 1)
@@ -88,8 +108,11 @@ def fuse(inputs: list[DataFrame], limit: int = 20, rank_constant: int = 60) -> D
 
 
 def compose_evidence(inputs: list[DataFrame]) -> DataFrame:
-    """The union of evidence in input order; of an id that stands several times the first stays."""
-    all_ = reduce(DataFrame.unionByName, [e.withColumn("_in", F.lit(i)) for i, e in enumerate(inputs)])
-    w = Window.partitionBy("evidence_id").orderBy("_in", ORDER)
-    first = all_.withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    return first.withColumn("_new", F.struct("_in", ORDER)).withColumn(ORDER, F.col("_in") * F.lit(1 << 40) + F.col(ORDER)).select(*EVIDENCE_NAMES)
+    """The union of evidence in input order; of an id that stands several times the first stays.
+
+    A row's place is the number of its input, then its place there: an array, so
+    that places of any size, and of unions of unions, keep their order.
+    """
+    all_ = reduce(DataFrame.unionByName, [e.withColumn(ORDER, F.concat(F.array(F.lit(i).cast("long")), _places(e))) for i, e in enumerate(inputs)])
+    w = Window.partitionBy("evidence_id").orderBy(ORDER)
+    return all_.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*EVIDENCE_NAMES)

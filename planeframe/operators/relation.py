@@ -21,11 +21,12 @@ def col(name: str) -> Column:
 
 @dataclass(frozen=True)
 class Relation:
-    """``rows`` holds the named fields, ``_ord`` and ``_evidence_ids``; ``evidence`` is there if the result has any."""
+    """``rows`` holds the named fields, ``_ord`` and ``_evidence_ids``; ``evidence`` is there if the result has any, ``bound`` if a limit bounds its rows."""
 
     fields: tuple[str, ...]
     rows: DataFrame | None
     evidence: DataFrame | None = None
+    bound: int | None = None
 
     def public(self) -> DataFrame:
         return self.rows.orderBy(ORDER).select(*map(col, self.fields))

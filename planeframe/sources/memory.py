@@ -16,6 +16,8 @@ from ..model import LINK_KINDS, MEMORY_KINDS, EffectLevel, MemoryOrigin, ScopeRe
 from ..operators import Relation, evidence_frame, with_order
 from ..operators.relation import IDS, ORDER, evidence_id
 from .base import Source, SourceResult, kept
+from .history import broken
+from .versions import row_mark, sum_marks
 
 SCHEMA = (
     "memory_id string, kind string, scope struct<kind:string,scope_id:string>, content string, recorded_from timestamp, recorded_to timestamp, valid_from timestamp, valid_to timestamp,"
@@ -142,13 +144,17 @@ class MemorySource(Source):
     def available(self) -> list[SnapshotRef]:
         return list(self.order)
 
+    def records(self, version: str) -> DataFrame:
+        """The whole history of a version."""
+        return self.versions[version]
+
     def recall(self, op, context) -> SourceResult:
         context.require_scopes(op.scopes)
-        snap = next(s for s in self.order if s.version == self.snapshot(context).version)
+        snap = self.snapshot(context)
         known, valid = op.known_at or snap.observed_at, op.valid_at or snap.observed_at
         if known > snap.observed_at:
             raise SnapshotUnavailableError("nothing is known yet of a time after the snapshot")
-        hits = with_order(recall_frame(self.versions[snap.version], op.query, op.scopes, op.kinds, known, valid, op.limit), F.desc("score"), F.col("memory_id"))
+        hits = with_order(recall_frame(self.records(snap.version), op.query, op.scopes, op.kinds, known, valid, op.limit), F.desc("score"), F.col("memory_id"))
         locator = F.concat(F.lit(f"memory://{self.ref.source_id}/"), F.col("memory_id"))
         interval = (F.col("valid_from"), F.col("valid_to"))
         evidence = evidence_frame(hits, op.op_id, "memory", self.ref.source_id, snap.version, locator, F.col("content"), F.col("score"), interval)
@@ -157,7 +163,7 @@ class MemorySource(Source):
             "memory_id", "kind", F.col("scope.kind").alias("scope_kind"), F.col("scope.scope_id").alias("scope_id"), *map(iso, FIELDS[4:8]), F.col("origin.channel").alias("origin_channel"),
             ORDER, F.array(evidence_id(op.op_id, locator, F.lit(snap.version), *interval)).alias(IDS),
         )
-        return SourceResult({"records": hits.drop(ORDER), "conflicts": conflict_pairs(hits)}, Relation(FIELDS, rows, evidence), snap)
+        return SourceResult({"records": hits.drop(ORDER), "conflicts": conflict_pairs(hits)}, Relation(FIELDS, rows, evidence, bound=op.limit), snap)
 
     def _check(self, draft: Draft, records: DataFrame) -> None:
         """Targets and link targets exist in the draft's scope; targets are current."""
@@ -183,7 +189,7 @@ class MemorySource(Source):
                 if (old.draft, old.origin.channel) != (draft, context.origin.channel):
                     raise MemoryIdempotencyConflictError(f"{draft.idempotency_key} stands for another draft")
                 return SourceResult(old, Relation((), None), snap)
-            self._check(draft, self.versions[snap.version])
+            self._check(draft, self.records(snap.version))
             free = context.origin.channel == "user_explicit" and draft.scope.kind not in ("workspace", "organization")
             self.proposals[pid] = proposal = Proposal(pid, draft, snap, context.origin, not free)
         return SourceResult(proposal, Relation((), None), snap)
@@ -205,16 +211,19 @@ class MemorySource(Source):
             pin = context.pin(self.ref)
             if not current.same_version_as(proposal.base) or (pin is not None and not pin.same_version_as(current)):
                 raise MemoryVersionConflictError(f"the memory is at {current.version}, the proposal at {proposal.base.version}")
-            records = self.versions[current.version]
+            records = self.records(current.version)
             self._check(draft, records)
             at = self.clock()
             newest = records.agg(F.max(F.greatest("recorded_from", F.coalesce("recorded_to", "recorded_from")))).first()[0]
             if at <= current.observed_at or (newest is not None and at.timestamp() <= newest.timestamp()):
                 raise MemoryMutationError("time must move on between versions")
             after, ids = self._after(records, draft, proposal, at)
-            version = "sha256:" + digest(current.version, proposal.proposal_id, at)
+            after = kept(after, self.folder, self.ref.source_id)
+            if bad := broken(after, at, list(ids)).limit(5).collect():
+                raise MemoryMutationError(f"the history would be broken: {[tuple(r) for r in bad]}")
+            version = "sha256:" + after.agg(sum_marks(row_mark(after.schema))).first()[0]
             ref = SnapshotRef(self.ref, version, version.removeprefix("sha256:"), at)
-            self.versions[version] = kept(after, self.folder, self.ref.source_id)
+            self.versions[version] = after
             self.order.append(ref)
             receipt = Receipt(proposal.proposal_id, ref, ids)
             self.receipts[draft.idempotency_key] = (mark, receipt)
