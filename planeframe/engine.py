@@ -374,6 +374,11 @@ class Engine:
         self.synced[change_set.idempotency_key] = (mark, receipt)
         return receipt
 
+    def knows(self, source: SourceRef, key: str) -> bool:
+        """Whether a change set of this key was applied: by this engine, or by any if the source keeps receipts."""
+        durable = getattr(self.catalog.get(source), "receipt", None)
+        return key in self.synced or durable is not None and durable(key) is not None
+
     def apply(self, proposal: Any, context: Context) -> Envelope:
         from .plans import ApplyMutation
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..errors import EffectPolicyError, ExecutionError, KernelValidationError
 from ..functions.text import HYPHENATED, fold, fold_text, overlap, query_tokens
@@ -91,16 +94,20 @@ class SkillSource(Source):
     """Registered skills with handlers ``(arguments, context) -> dict``; a skill without one is for reading only.
 
     ``columns`` gives a skill's vectorised form: a function of columns, used by
-    ``apply`` on whole frames.
+    ``apply`` on whole frames. ``batches`` gives one that columns can't express:
+    a function from an Arrow table of arguments to one of outputs, row by row.
     """
 
-    def __init__(self, spark: SparkSession, source_id: str, skills: list[tuple[SkillSpec, Callable | None]], columns: Mapping[str, Callable[..., Column]] | None = None):
+    def __init__(
+        self, spark: SparkSession, source_id: str, skills: list[tuple[SkillSpec, Callable | None]], columns: Mapping[str, Callable[..., Column]] | None = None,
+        batches: Mapping[str, Callable[[pa.Table], pa.Table]] | None = None,
+    ):
         self.spark = spark
         self.ref = SourceRef(source_id, SourceKind.SKILL)
         self.skills = {(s.name, s.version): (s, h) for s, h in skills}
         if len(self.skills) < len(skills):
             raise KernelValidationError("a skill's name and version are unique")
-        self.columns = dict(columns or {})
+        self.columns, self.batches = dict(columns or {}), dict(batches or {})
         version = "skills:" + digest(sorted(s.digest for s, _ in skills))[:16]
         top = max((s.effect for s, _ in skills), default=EffectLevel.READ)
         self.descriptor = SourceDescriptor(self.ref, frozenset({"resolve_skill", "invoke_skill"}), max(top, EffectLevel.READ), version)
@@ -154,3 +161,72 @@ class SkillSource(Source):
         if spec.name not in self.columns:
             raise ExecutionError(f"{spec.name} has no column form")
         return df.withColumn(output, self.columns[spec.name](**arguments))
+
+    def apply_batches(self, df: DataFrame, ref: SkillRef, output: str = "output", **arguments: Column) -> DataFrame:
+        """A skill over a whole frame by its batch form: ``df`` and a struct of the outputs, of the type that the output schema says.
+
+        Only a skill without effects runs so, since a lost task runs again. Each
+        batch is checked against both schemas where it is worked on: a required
+        property that is missing, or null without being allowed to, and a value
+        of another type fail the job, as a call would.
+        """
+        spec, _ = self._find(ref)
+        if spec.name not in self.batches:
+            raise ExecutionError(f"{spec.name} has no batch form")
+        if spec.effect > EffectLevel.READ:
+            raise EffectPolicyError([f"{spec.name} has effects, so it is called once for each input"])
+        if missing := [k for k in spec.input_schema.get("required", ()) if k not in arguments]:
+            raise ExecutionError(f"the input lacks {missing}")
+        if spec.input_schema.get("additionalProperties") is False and (extra := sorted(set(arguments) - set(spec.input_schema.get("properties", {})))):
+            raise ExecutionError(f"the input has unknown properties {extra}")
+        kind = struct_of(spec.output_schema)
+        run, given, told = self.batches[spec.name], {k: _nullable(spec.input_schema, k) for k in arguments}, {k: _nullable(spec.output_schema, k) for k in kind.names}
+        arrow = to_arrow_type(kind)
+        named = df.select(F.struct(*[f"`{c}`" for c in df.columns]).alias("_row"), *[c.alias(k) for k, c in arguments.items()])
+        for k in arguments:
+            want = spec.input_schema.get("properties", {}).get(k, {}).get("type")
+            if isinstance(want, str) and want in _COLUMN and named.schema[k].dataType.typeName() not in _COLUMN[want]:
+                raise ExecutionError(f"the input.{k} must be {want}")
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                table = pa.Table.from_batches([b.select(list(given))])
+                if bad := [k for k, free in given.items() if not free and table[k].null_count]:
+                    raise ValueError(f"the input has nulls in {bad}")
+                out = run(table)
+                if out.num_rows != b.num_rows or set(out.column_names) - set(told):
+                    raise ValueError("a batch of outputs has a row for each input, and no unknown properties")
+                if bad := [k for k, free in told.items() if not free and (k not in out.column_names or out[k].null_count)]:
+                    raise ValueError(f"the output lacks {bad}")
+                cols = [out[k].combine_chunks().cast(arrow.field(k).type) if k in out.column_names else pa.nulls(b.num_rows, arrow.field(k).type) for k in told]
+                yield pa.RecordBatch.from_arrays([b.column("_row"), pa.StructArray.from_arrays(cols, names=list(told))], names=["_row", output])
+
+        schema = StructType([named.schema["_row"], StructField(output, kind)])
+        return named.mapInArrow(each, schema).select("_row.*", output)
+
+
+#: Types of columns that a property may be given, by its JSON type.
+_COLUMN = {"string": ("string",), "integer": ("byte", "short", "integer", "long"), "number": ("byte", "short", "integer", "long", "float", "double", "decimal"), "boolean": ("boolean",)}
+
+
+def _nullable(schema: Mapping[str, Any], name: str) -> bool:
+    """Whether a property may be null: if its types say so, or if nothing is said of it."""
+    kind = schema.get("properties", {}).get(name, {}).get("type")
+    return name not in schema.get("required", ()) or isinstance(kind, list | tuple) and "null" in kind
+
+
+def struct_of(schema: Mapping[str, Any]) -> StructType:
+    """The type of objects of a JSON schema."""
+
+    def kind(s: Mapping[str, Any]) -> DataType:
+        names = s.get("type")
+        names = [names] if isinstance(names, str) else [n for n in names or () if n != "null"]
+        if len(names) != 1:
+            raise KernelValidationError(f"a property needs one type, not {names}")
+        if names[0] == "array":
+            return ArrayType(kind(s.get("items", {})))
+        if names[0] == "object":
+            return struct_of(s)
+        return {"string": StringType(), "integer": LongType(), "number": DoubleType(), "boolean": BooleanType()}[names[0]]
+
+    return StructType([StructField(k, kind(s)) for k, s in schema.get("properties", {}).items()])
