@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from planeframe import engine_queries, queries  # noqa: F401
+from planeframe import engine_queries, feature_queries, queries  # noqa: F401
 from planeframe.engine import Catalog, Engine
 from planeframe.plans import Plan, Query, Ref, Traverse
 from planeframe.plans.codec import plan_from_json, plan_to_json
