@@ -30,7 +30,36 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0 Universal"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("LicenseRef-Proprietary", "All rights reserved."),
+    ("GPL-3.0-only", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0-only", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0-or-later", "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0-only", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0-or-later", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1-only", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-2.1-only", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1-or-later", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0-only", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0-only", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0-or-later", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
 ]
+#: Words that tell the licenses of a family apart, by the beginnings of their names: a match has those of its template and no others.
+SIBLINGS = {("CC-BY",): "sharealike noderivatives noncommercial sa nd nc", ("GPL", "LGPL", "AGPL"): "affero lesser", ("BSD",): "endorse"}
+#: Families whose versions are licenses of their own: a match has the digits of its template.
+VERSIONED = ("CC-BY", "GPL", "LGPL", "AGPL")
+#: Words from which a template counts as a whole license: a file that is like one as a whole has that license, whatever its lines are like.
+WHOLE = 60
 #: Whole license texts by SPDX identifier (fixed values), without names and years: a license file is compared with them as a whole.
 FULL: list[tuple[str, str]] = [
     ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -73,6 +102,25 @@ class Templates:
         self.terms = np.unique(w.hash)
         self.tf = np.zeros((len(templates), len(self.terms)))
         np.add.at(self.tf, (np.repeat(np.arange(len(templates)), np.diff(w.first)), np.searchsorted(self.terms, w.hash)), 1)
+        self.whole = np.diff(w.first) >= WHOLE
+        self.must, self.never = np.zeros(self.tf.shape), np.zeros(self.tf.shape)
+        for j, name in enumerate(self.names):
+            for family, words in SIBLINGS.items():
+                if name.startswith(family):
+                    marks = self._some(words.split())
+                    self.must[j, marks], self.never[j, marks] = self.tf[j, marks] > 0, self.tf[j, marks] == 0
+            if name.startswith(VERSIONED):
+                digits = self._some("1234")
+                self.must[j, digits] = self.tf[j, digits] > 0
+
+    def _some(self, words) -> np.ndarray:
+        code = self.codes(Words(pa.array([" ".join(words)], pa.string()), _TABLE).hash)
+        return code[code >= 0]
+
+    def fits(self, have: np.ndarray) -> np.ndarray:
+        """Which templates' telling words are just those of a text that has these terms."""
+        have = (have > 0).astype(float)
+        return (self.must @ (1 - have) == 0) & (self.never @ have == 0)
 
     def codes(self, h: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.terms, h)
@@ -164,13 +212,18 @@ def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_co
                 code = known.codes(w.hash)
                 owner = np.repeat(np.arange(len(w)), np.diff(w.first))
                 line = np.searchsorted(breaks, w.start) + owner  # a text's begin is a break, too
-                for x, y, lo in chain(_windows(w, line, code, unit, idf, rare, cosine), _windows(w, owner, code, unit, idf, rare, cosine, 1)):
+                lines = ((*x, False) for x in _windows(w, line, code, unit, idf, rare, cosine))
+                for x, y, lo, whole in chain(lines, ((*x, True) for x in _windows(w, owner, code, unit, idf, rare, cosine, 1))):
                     d = int(np.searchsorted(w.first, x, "right")) - 1
                     c = code[x:y]
                     inside = np.bincount(c[c >= 0], minlength=len(idf)) * idf
                     _, other = np.unique(w.hash[x:y][c < 0], return_counts=True)
                     norm = np.sqrt((inside**2).sum() + ((other * rare) ** 2).sum())
-                    cos = unit @ inside / norm
+                    cos = np.where(known.fits(inside), unit @ inside / norm, 0.0)
+                    if whole and (cos[known.whole].max(initial=0.0)) >= cosine:
+                        j = int(np.argmax(np.where(known.whole, cos, 0.0)))
+                        best[d], name[d], head[d] = cos[j], j, True
+                        continue
                     j = int(np.argmax(cos))
                     if cos[j] > best[d] + 1e-12 or (cos[j] > best[d] - 1e-12 and j < name[d]):
                         best[d], name[d] = cos[j], j

@@ -142,11 +142,20 @@ def brute_licenses(texts):
     vector = lambda t: {w: n * idf(w) for w, n in Counter(terms(t)).items()}
     norm = lambda v: np.sqrt(sum(x * x for x in v.values()))
     models = [(name, vector(t)) for name, t in known]
+
+    def tells(name, m, v):
+        marks = {w for f, ws in licenses.SIBLINGS.items() if name.startswith(f) for w in ws.split()}
+        digits = {d for d in "1234" if d in m} if name.startswith(licenses.VERSIONED) else set()
+        return marks & m.keys() == marks & v.keys() and digits <= v.keys()
+
     out = []
     for t in texts:
         lines = [x for x in (t or "").split("\n") if terms(x)]
         windows = ["\n".join(lines[i : i + k]) for k in (1, 2, 3) for i in range(len(lines) - k + 1)] + [t or ""]
-        best = max(((round(sum(x * m.get(w, 0) for w, x in v.items()) / norm(v) / norm(m), 9), -j) for u in windows if (v := vector(u)) for j, (_, m) in enumerate(models)), default=(0, 0))
+        cosine = lambda v, m: round(sum(x * m.get(w, 0) for w, x in v.items()) / norm(v) / norm(m), 9)
+        best = max(((cosine(v, m), -j) for u in windows if (v := vector(u)) for j, (name, m) in enumerate(models) if tells(name, m, v)), default=(0, 0))
+        whole = max(((cosine(v, m), -j) for v in [vector(t or "")] if v for j, (name, m) in enumerate(models) if tells(name, m, v) and len(terms(known[j][1])) >= licenses.WHOLE), default=(0, 0))
+        best = whole if whole[0] >= licenses.COSINE else best
         out.append((models[-best[1]][0], best[0]) if best[0] >= licenses.COSINE else (None, None))
     return out
 
@@ -166,6 +175,29 @@ def test_license_scan_matches_brute_force(spark, share):
         assert got[i]["own_cosine"] == (None if cos is None else pytest.approx(cos, abs=2e-6))
 
 
+LABELLED = [
+    ("BSD-2-Clause", licenses.FULL[2][1]), ("BSD-2-Clause", "Copyright (c) 2001, Someone\nAll rights reserved.\n\n" + licenses.FULL[2][1]), ("MIT", "Copyright 2020 X\n\n" + licenses.FULL[0][1]), ("ISC", licenses.FULL[1][1]), ("Zlib", licenses.FULL[3][1]),
+    ("BSD-3-Clause", licenses.FULL[2][1].replace("THIS SOFTWARE IS PROVIDED", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE IS PROVIDED")),
+    ("AGPL-3.0-or-later", "it under the terms of the GNU Affero General Public License as\npublished by the Free Software Foundation, either version 3 of the\nLicense, or (at your option) any later version."), ("AGPL-3.0-only", "Licensed under the GNU Affero General Public License, version 3."),
+    ("GPL-2.0-or-later", "it under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version."), ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-3.0-or-later", "it under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."), ("GPL-3.0-only", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007"),
+    ("LGPL-2.1-only", "This library is licensed under the GNU Lesser General Public License, version 2.1."), ("LGPL-2.1-or-later", "it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0-only", "This library is licensed under the GNU Lesser General Public License, version 3."), ("Apache-2.0", "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/"), ("Apache-2.0", "// Licensed under the Apache License, Version 2.0"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."), ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."), ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-NC-SA-4.0", "licensed under CC BY-NC-SA 4.0"), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0"), ("CC-BY-4.0", "Licensed under CC BY 4.0"), ("MPL-2.0", "Mozilla Public License Version 2.0\n=========="), (None, "Licensed under CC BY-SA 3.0."),
+    (None, "This work is licensed under a Creative Commons Attribution 3.0 International License."), (None, "licensed under the Eclipse Public License"), (None, "the GNU project was begun in 1983 by a programmer"), ("Unlicense", licenses.FULL[4][1]), ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0 Universal"),
+]
+
+
+def test_licenses_are_told_from_their_siblings(spark):
+    """Files and notices labelled by hand, among others; unknown licenses and versions give none."""
+    texts = [t for _, t in LABELLED] + [f"some other words {i} of a text" for i in range(60)]
+    table = spark.createDataFrame([(i, t, f"d{i}/f") for i, t in enumerate(texts)], "doc_id long, text string, path string")
+    got = {r["doc_id"]: r["own_license"] for r in licenses.license_scan(table, F.col("path")).collect()}
+    assert [got[i] for i in range(len(texts))] == [n for n, _ in LABELLED] + [None] * 60
+
+
 # --- 2 quality
 
 
