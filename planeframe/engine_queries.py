@@ -30,6 +30,8 @@ def folder(spark: SparkSession) -> str:
     import uuid
 
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{shared.rstrip('/')}/records-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="planeframe-")
 
 
