@@ -7,6 +7,7 @@ does, so labels of whole texts train it as bags of words.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -24,8 +25,8 @@ TOXIC_ROWS, CLEAN_ROWS, LONGEST = 1500, 4500, 8000
 BITS, WINDOW, DECAY, PIECE = 16, 5, 0.5, 48
 #: Landmarks of each side, weight of errors, rounds of choosing each toxic text's word anew.
 LANDMARKS, COST, ROUNDS = 96, 10.0, 4
-#: Bounds of the fit: clean words it takes as negatives (by hash of the word), and the worst-scored clean words that each round adds to them.
-NEGATIVES, HARD = 12_000, 400
+#: Strings that are worked on at once while fitting, and the cost of a clean word beside all toxic ones together.
+BLOCK, CLEAN_COST = 8192, 0.16
 #: Distinct words whose score a worker remembers; beyond it the memory starts anew.
 MEMO = 1 << 20
 
@@ -218,21 +219,59 @@ class Landmarks:
         return table
 
 
-def _machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """A linear machine with squared hinge loss by Newton steps on the active rows."""
-    z = np.concatenate([z, np.ones((len(z), 1))], axis=1)
-    w, active, reg = np.zeros(z.shape[1]), np.ones(len(z), bool), np.eye(z.shape[1])
+def _machine(blocks: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A linear machine with squared hinge loss by Newton steps on the active rows; the rows come in blocks."""
+    edge = np.cumsum([0, *map(len, blocks)])
+    size = blocks[0].shape[1] + 1
+    w, active, reg = np.zeros(size), np.ones(len(y), bool), np.eye(size)
     reg[-1, -1] = 1e-3
     for _ in range(30):
-        a = z[active] * weight[active][:, None]
-        w = np.linalg.solve(reg + a.T @ z[active], a.T @ y[active])
-        now = y * (z @ w) < 1
+        left, right, value = reg.copy(), np.zeros(size), np.empty(len(y))
+        for a, b, z in zip(edge[:-1], edge[1:], blocks, strict=True):
+            on = active[a:b]
+            z = np.concatenate([z[on], np.ones((np.count_nonzero(on), 1))], axis=1)
+            part = (z * weight[a:b][on][:, None]).T
+            left += part @ z
+            right += part @ y[a:b][on]
+        w = np.linalg.solve(left, right)
+        for a, b, z in zip(edge[:-1], edge[1:], blocks, strict=True):
+            value[a:b] = z @ w[:-1] + w[-1]
+        now = y * value < 1
         if (now == active).all():
             break
         active = now
     return w
 
 
+def _values(scorer: Scorer, words: list[bytes]) -> np.ndarray:
+    return np.concatenate([scorer.margins(*_packed(words[i : i + BLOCK])) for i in range(0, len(words), BLOCK)])
+
+
+def _settled(marks: Landmarks, to: np.ndarray, times: dict[bytes, int], everyday: list[bytes]) -> tuple[Scorer, np.ndarray]:
+    """The machine of toxic words (with how often each was chosen) against all everyday words, and the values of the latter.
+
+    It begins with some everyday words and takes in those that its margin doesn't
+    hold, until there are none: a word beyond the margin is no part of the squared
+    hinge's gradient, so the machine is that of all everyday words, and memory is
+    needed for the ones near its margin only.
+    """
+    project = lambda strings: [(marks.kernel(strings[i : i + BLOCK]) @ to).astype(np.float32) for i in range(0, len(strings), BLOCK)]
+    blocks = project(list(times))
+    strong = np.array([min(n, 20) for n in times.values()], float)
+    strong *= COST * 200 / strong.sum()
+    taken, more, count = np.zeros(len(everyday), bool), np.arange(min(BLOCK, len(everyday))), 0
+    while True:
+        taken[more] = True
+        count += len(more)
+        blocks += project([everyday[i] for i in more.tolist()])
+        w = _machine(blocks, np.repeat([1.0, -1.0], [len(strong), count]), np.concatenate([strong, np.full(count, CLEAN_COST)]))
+        scorer = Scorer(marks.folded(to @ w[:-1]), float(w[-1]))
+        value = _values(scorer, everyday)
+        more = np.flatnonzero(~taken & (value > -1))
+        if not len(more):
+            return scorer, value
+
+
 def _telling(toxic: list[list[bytes]], clean: list[list[bytes]]) -> list[bytes]:
     """Words met in so many toxic texts, near copies counted once, and so few clean ones that chance explains none of them."""
     pos, neg = Counter(w for b in toxic for w in b), Counter(w for b in clean for w in b)
@@ -254,7 +293,7 @@ def _telling(toxic: list[list[bytes]], clean: list[list[bytes]]) -> list[bytes]:
                 if len(apart) >= need:
                     out.append(w)
                     break
-    return sorted(out, key=lambda w: (-pos[w], w))[: LANDMARKS // 2]
+    return sorted(out, key=lambda w: (-pos[w], w))
 
 
 def _seeds(toxic: list[list[bytes]], clean: list[list[bytes]]) -> Counter:
@@ -267,12 +306,18 @@ def _seeds(toxic: list[list[bytes]], clean: list[list[bytes]]) -> Counter:
             if w in fair:
                 holds[w].add(d)
     left, out = set(range(len(toxic))), Counter()
-    while len(out) < LANDMARKS:
-        best = max(holds, key=lambda w: (len(holds[w] & left), pos[w], w), default=None)
-        if best is None or len(holds[best] & left) < 2:
-            break
-        out[best] = len(holds[best] & left)
-        left -= holds[best]
+    # what a word covers only falls, so the first of the heap whose number is still right is the best
+    heap = [(-len(holds[w]), -pos[w], i, w) for i, w in enumerate(sorted(holds, reverse=True))]
+    heapq.heapify(heap)
+    while heap and heap[0][0] <= -2:
+        covered, p, i, w = heap[0]
+        now = len(holds[w] & left)
+        if now != -covered:
+            heapq.heapreplace(heap, (-now, p, i, w))
+            continue
+        heapq.heappop(heap)
+        out[w] = now
+        left -= holds[w]
     return out
 
 
@@ -280,8 +325,9 @@ def fit(rows: list[tuple[str, int]], clean_odds: float = 1.0) -> Scorer:
     """Train on (text, label) rows; ``clean_odds`` is how many clean texts each sampled clean row stands for.
 
     Texts are bags: greedy covering proposes each bag's toxic word, then rounds
-    of training and choosing again settle it; clean texts give their words, the
-    worst-scored among them always. Every fifth text is kept for calibration.
+    of training and choosing again settle it; clean texts give all their words.
+    Landmarks are telling words, chosen ones, everyday ones and the worst-scored
+    everyday ones. Every fifth text is kept for calibration.
     Without both labels the scorer gives every text the share of toxic labels.
     """
     seen, unique = set(), []
@@ -301,38 +347,26 @@ def fit(rows: list[tuple[str, int]], clean_odds: float = 1.0) -> Scorer:
         return Scorer(np.zeros(1 << BITS), 0.0, 0.0, float(np.log(share / (1 - share))))
     order = lambda ws: sorted(ws, key=lambda w: (zlib.crc32(w), w))
     everyday = order({w for b in clean for w in b if w})
+    if not everyday:
+        return Scorer(np.zeros(1 << BITS), 0.0, 0.0, float(np.log(share / (1 - share))))
+    words = sorted({x for b in toxic for x in b if x})
     chosen = [*seeds, *telling]
     hard: list[bytes] = []
-    table, bias = np.zeros(1 << BITS, np.float32), 0.0
     for _ in range(ROUNDS):
-        marks = Landmarks(list(dict.fromkeys([*telling, *order(set(chosen))[:LANDMARKS], *hard[: LANDMARKS // 2], *everyday[:LANDMARKS]])))
+        marks = Landmarks(list(dict.fromkeys([*telling[: LANDMARKS // 2], *order(set(chosen))[:LANDMARKS], *hard, *everyday[:LANDMARKS]])))
         vals, vecs = np.linalg.eigh(marks.gram())
         keep = vals > 1e-4 * vals.max()
-        to = vecs[:, keep] / np.sqrt(vals[keep])
-        good = list(dict.fromkeys(hard + everyday[:NEGATIVES]))
-        times = Counter(chosen + telling * 3)
-        strings = [*times, *good]
-        y = np.array([1.0] * len(times) + [-1.0] * len(good))
-        weight = np.array([min(n, 20) for n in times.values()] + [1.0] * len(good))
-        weight[y > 0] *= COST * 200 / weight[y > 0].sum()
-        weight[y < 0] *= COST * 200 / weight[y < 0].sum()
-        weight[len(times) : len(times) + len(hard)] *= 4
-        w = _machine(marks.kernel(strings) @ to, y, weight)
-        table, bias = marks.folded(to @ w[:-1]), float(w[-1])
-        scorer = Scorer(table, bias)
-        words = order({x for b in toxic + clean for x in b if x})
-        value = np.concatenate([scorer.margins(*_packed(words[i : i + 50_000])) for i in range(0, len(words), 50_000)])
-        of = dict(zip(words, value.tolist(), strict=True))
+        machine, value = _settled(marks, vecs[:, keep] / np.sqrt(vals[keep]), Counter(chosen + telling * 3), everyday)
+        of = dict(zip(words, _values(machine, words).tolist(), strict=True))
         chosen = [best for b in toxic if (best := max((x for x in b if x), key=lambda x: (of[x], x), default=None)) is not None and of[best] > -0.3]
         if not chosen and not telling:
             break
-        cleans = {x for b in clean for x in b if x}
-        hard = sorted(cleans, key=lambda x: (-of[x], x))[:HARD]
+        hard = [everyday[i] for i in np.argsort(-value, kind="stable")[: LANDMARKS // 2].tolist()]
     held = [i for i in range(len(unique)) if i % 5 == 0]
-    margin = np.maximum(Scorer(table, bias).texts(pa.array([unique[i][0] for i in held], pa.string())), -3.0)
+    margin = np.maximum(machine.texts(pa.array([unique[i][0] for i in held], pa.string())), -3.0)
     y = np.array([label[i] for i in held], float)
     slope, shift = _calibrate(margin, y, np.where(y == 1, 1.0, clean_odds))
-    return Scorer(table, bias, slope, shift)
+    return Scorer(machine.table, machine.bias, slope, shift)
 
 
 def _packed(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -840,6 +840,41 @@ def test_toxicity_generalises(insults):
     assert (p[-3:] < 0.5).all()
 
 
+def test_machine_of_all_everyday_words(insults):
+    """The machine that grows its set of everyday words is that of all of them, and the greedy covering that of the plain rule."""
+    bag = toxicity.bags([t for t, _ in insults])
+    toxic, clean = [b for b, (_, y) in zip(bag, insults, strict=True) if y], [b for b, (_, y) in zip(bag, insults, strict=True) if not y]
+    seeds, left, want = toxicity._seeds(toxic, clean), set(range(len(toxic))), Counter()
+    pos, neg = Counter(w for b in toxic for w in b), Counter(w for b in clean for w in b)
+    holds = {w: {d for d, b in enumerate(toxic) if w in b} for w in pos if len(w) > 2 and pos[w] >= 2 and 20 * neg[w] * len(toxic) <= pos[w] * len(clean)}
+    while holds and len(holds[best := max(holds, key=lambda w: (len(holds[w] & left), pos[w], w))] & left) >= 2:
+        want[best] = len(holds[best] & left)
+        left -= holds[best]
+    assert seeds == want and seeds
+    everyday = sorted({w for b in clean for w in b})
+    marks = toxicity.Landmarks([*seeds, *everyday[:30]])
+    vals, vecs = np.linalg.eigh(marks.gram())
+    keep = vals > 1e-4 * vals.max()
+    to = vecs[:, keep] / np.sqrt(vals[keep])
+    whole, block = toxicity.BLOCK, 50
+    toxicity.BLOCK = block
+    try:
+        got, value = toxicity._settled(marks, to, seeds, everyday)
+    finally:
+        toxicity.BLOCK = whole
+    strong = np.array([min(n, 20) for n in seeds.values()], float)
+    weight = np.concatenate([strong * toxicity.COST * 200 / strong.sum(), np.full(len(everyday), toxicity.CLEAN_COST)])
+    z = np.concatenate([marks.kernel([*seeds, *everyday]) @ to, np.ones((len(weight), 1))], axis=1)
+    y = np.repeat([1.0, -1.0], [len(seeds), len(everyday)])
+    w, ridge = np.zeros(z.shape[1]), np.append(np.ones(z.shape[1] - 1), 1e-3)
+    for _ in range(60):  # the plain machine: damped Newton steps over all rows
+        on = y * (z @ w) < 1
+        step = np.linalg.solve(np.diag(ridge) + (z[on].T * weight[on]) @ z[on], (z[on].T * weight[on]) @ (y[on] - z[on] @ w) - ridge * w)
+        w += step if np.abs(step).max() < 1e-6 else 0.5 * step
+    assert value == pytest.approx((z @ w)[len(seeds) :], abs=2e-2)
+    assert got.margins(*toxicity._packed(list(seeds))) == pytest.approx((z @ w)[: len(seeds)], abs=2e-2)
+
+
 def test_toxicity_on_frames(spark, insults):
     d = docs(spark, [t for t, _ in insults[:200]] + [None, ""])
     lab = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(insults[:200])] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
