@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from .common import Index, Words, cut, keep, slices, tidy
 
-#: Distinct words whose ids a worker remembers; beyond it the memory starts anew. The table has four places for each.
+#: Distinct words whose ids a worker remembers; beyond it the memory starts anew. The table has two places for each.
 MEMO = 1 << 20
+#: Words that the library gets at once: what it returns for each is some hundred times its ids.
+AT_ONCE = 4096
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RESULT = f"{PIECES}, sequence_id long, offset long"
@@ -46,7 +48,7 @@ class WordIds:
                 raise ValueError(f"{path}: its tokens depend on white space")
 
     def clear(self) -> None:
-        self.index = Index((MEMO - 1).bit_length() + 2)
+        self.index = Index((MEMO - 1).bit_length() + 1)
         self.ids = np.zeros(1 << 20, np.uint32)
         self.used = 0
         self.first = np.zeros(MEMO, np.int64)
@@ -55,8 +57,8 @@ class WordIds:
     def learn(self, words: Words, hashes: np.ndarray, at: np.ndarray) -> None:
         """Tokenize distinct words, given by hash and place in the slice."""
         raw = words.data.tobytes()
-        for i in range(0, len(at), 50_000):
-            part = at[i : i + 50_000]
+        for i in range(0, len(at), AT_ONCE):
+            part = at[i : i + AT_ONCE]
             text = [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[part].tolist(), words.end[part].tolist(), strict=True)]
             got = [e.ids for e in self.lib.encode_batch_fast(text, add_special_tokens=False)]
             n = np.fromiter(map(len, got), np.int32, len(got))
@@ -69,7 +71,7 @@ class WordIds:
             self.size[k:to] = n
             self.ids[self.used : end] = np.fromiter(chain.from_iterable(got), np.uint32, end - self.used)
             self.used = end
-            self.index.add(hashes[i : i + 50_000])
+            self.index.add(hashes[i : i + AT_ONCE])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets)."""
@@ -83,7 +85,7 @@ class WordIds:
                 self.clear()
                 new, at = np.unique(words.hash, return_index=True)
                 if len(new) > MEMO:
-                    self.index = Index((len(new) - 1).bit_length() + 2)
+                    self.index = Index((len(new) - 1).bit_length() + 1)
                 lack = np.arange(len(code))
             self.learn(words, new, at)
             code[lack] = self.index.get(words.hash[lack])
