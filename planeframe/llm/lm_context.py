@@ -28,8 +28,6 @@ CODE, FOLLOW = 12, (20, 21)
 PRIOR = 0.4
 #: Shares of the training texts, in sixteenths, after which the weights are moved: each Newton step reads other texts.
 ROUNDS = ((0, 1), (1, 3), (3, 7), (7, 16))
-#: In each round every token of its texts teaches by one in so many of its bits, each time others.
-TEACH = 8
 #: Tokens that are worked on at once, so that all arrays stay in a core's cache.
 BLOCK = 16_384
 #: Steps of the adaptive map and what the identity weighs in it; slots of a chunk when tables are added up.
@@ -185,17 +183,17 @@ class CodeMixer:
         centre = np.tile(1 / (1 + np.exp(-(np.arange(STEPS) * 16 / (STEPS - 1) - 8))), GATES)
         self.odds = ((self.hits[1] + IDENTITY * centre) / (self.hits[0] + IDENTITY)).astype(np.float32)
 
-    def steps(self, s: Stream, held: np.ndarray, every: int = 1) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
-        """(places, the bit, the inputs, the gate) for each bit of the codes, BLOCK tokens at a time; with ``every``, of each token only one in so many bits."""
+    def steps(self, s: Stream, held: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """(places, the bit, the inputs, the gate) for each bit of the codes, BLOCK tokens at a time."""
         prev = s.last(s.contexts[1])
         match = np.where(prev >= 0, s.code[prev], np.int32(-1))
         own = (~held[s.owner]).astype(np.int32)  # the token's own occurrence is in the tables
         contexts = halves(s.contexts)
-        for a in range(0, len(s.code), BLOCK * every):
-            b = min(len(s.code), a + BLOCK * every)
+        for a in range(0, len(s.code), BLOCK):
+            b = min(len(s.code), a + BLOCK)
             some = (match[a:b] >= 0).any()
             for k in range(CODE):
-                v = slice(a + (-k) % every, b, every)
+                v = slice(a, b)
                 code = s.code[v]
                 bit, node, slots = node_slots(code, k, [c[v] for c in contexts])
                 x = np.empty((INPUTS, len(bit)), np.float32)
@@ -242,9 +240,9 @@ class CodeMixer:
         return np.clip(p, 1e-6, 1 - 1e-6, out=p)
 
     def lessons(self, s: Stream, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(gradient, curvature, hits of the map) of all tokens of texts none of which is held out, at these weights."""
+        """(gradient, curvature, hits of the map) of all bits of all tokens of texts none of which is held out, at these weights."""
         grad, curve, hits = np.zeros((GATES, INPUTS)), np.zeros((GATES, INPUTS, INPUTS)), np.zeros((2, GATES * STEPS))
-        for _, bit, x, gate in self.steps(s, held, TEACH):
+        for _, bit, x, gate in self.steps(s, held):
             order = np.argsort(gate.astype(np.uint8), kind="stable")
             gate, bit, x = gate[order], bit[order], x[:, order]
             t = self.logit(x, gate)

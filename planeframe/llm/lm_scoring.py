@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, Index, Words, cut, slices, tidy
-from .lm_context import CODE, END_HASH, TEACH, CodeMixer, Stream, follow_tables, slim, wide
+from .lm_context import CODE, END_HASH, CodeMixer, Stream, follow_tables, slim, wide
 from .lm_context import learn as learn_context
 
 #: Most frequent tokens whose counts and scores are broadcast; the others are joined.
@@ -65,8 +65,8 @@ class Spelling:
         self.first = np.cumsum(self.size) - self.size
         self.before = np.frombuffer(b"".join(before), np.uint8).reshape(-1, 3)
 
-    def steps(self, every: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """For every bit position, or one in so many of them, at other places in each byte: (rows, the bit, the slot in each table)."""
+    def steps(self) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """For every bit position: (rows, the bit, the slot in each table)."""
         for n in np.unique(self.size).tolist():
             group = np.flatnonzero(self.size == n)
             for at in range(0, len(group), 30_000):
@@ -81,9 +81,6 @@ class Spelling:
                     node = np.ones(len(r), np.uint32)
                     for k in range(7, -1, -1):
                         bit = (s >> np.uint32(k)) & np.uint32(1)
-                        if (3 * i + k) % every:
-                            node = node << np.uint32(1) | bit
-                            continue
                         salt = node * _MUL[3]
                         slots = [place << np.uint32(8) | node, one << np.uint32(8) | node]
                         for h, bits in zip((two, three, prefix), TABLES[2:], strict=True):
@@ -161,7 +158,7 @@ class Mixer:
     def learn(self, spelling: Spelling, count: np.ndarray) -> None:
         """One online pass: predict each bit without the token's own occurrence, then move the weights and the map."""
         seen = self.seen
-        for r, bit, slots in spelling.steps(TEACH):
+        for r, bit, slots in spelling.steps():
             c = count[spelling.owner[r]]
             x, gate = self.inputs(slots, bit)
             p = self.mix(x, gate)
