@@ -4,13 +4,16 @@ import hashlib
 import html
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from unittest.mock import MagicMock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from planeframe.llm import caps, main_text, ngram_join, phrases, prefix_trie
+from planeframe.llm import caps, lm_context, main_text, ngram_join, phrases, prefix_trie
 
 # --- 11 conversation prefix trie
 
@@ -244,3 +247,19 @@ def test_recall_of_caps_with_many_code_words():
         have = set(zip(*map(np.ndarray.tolist, a), strict=True))
         met |= {k + r for r, f in zip(*map(np.ndarray.tolist, b), strict=True) if (r, f) in have}
     assert len(met) >= 0.98 * len(x)
+
+
+def test_counting_contexts_needs_little_memory():
+    """A task that counts 4 MB of text needs not much more than its tables."""
+    texts = MagicMock()
+    texts.sparkSession.sparkContext.defaultParallelism = 1
+    lm_context.follow_tables(texts)
+    run = texts.where.return_value.select.return_value.coalesce.return_value.mapInArrow.call_args.args[0]
+    rnd = random.Random(3)
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(f"w{rnd.randrange(3000)}" for _ in range(7000)) for _ in range(100)]})
+    tracemalloc.start()
+    parts = sum(len(b) for b in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert parts > 0
+    assert peak < 120 << 20
