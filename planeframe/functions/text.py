@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +21,24 @@ def fold_text(s: str) -> str:
     return s.lower().replace("ß", "ss")
 
 
+@cache
+def letters(upper: bool) -> tuple[str, str]:
+    """Letters that have another case, and that case of each, one letter for one letter; letters whose other case is several stay."""
+    other = (lambda c: "ẞ" if c == "ß" else next((x for x in (c.upper(), c.title()) if len(x) == 1), c)) if upper else lambda c: c.lower()[0]
+    pairs = [(c, other(c)) for c in map(chr, range(0x20000)) if other(c) != c]
+    return "".join(c for c, _ in pairs), "".join(x for _, x in pairs)
+
+
+def upper_letters(c: Column | str) -> Column:
+    """Upper case letter by letter, so that a text keeps its length: ẞ of ß, where Spark's upper makes SS of it."""
+    return F.translate(c, *letters(True))
+
+
+def lower_letters(c: Column | str) -> Column:
+    """Lower case letter by letter: a last sigma is a sigma like any other, and İ is one letter, i."""
+    return F.translate(c, *letters(False))
+
+
 def query_tokens(query: str, hyphen: bool = False) -> list[str]:
     return sorted(set(re.findall(r"[\w-]+" if hyphen else r"\w+", fold_text(query))))
 

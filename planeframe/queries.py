@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .engine import Catalog, Engine
-from .functions.text import quoted
+from .functions.text import lower_letters, quoted, upper_letters
 from .model import Budget, ScopeRef
 from .operators import Relation, compose_evidence, filter_rows, fuse, join_rows, project
 from .operators.relation import IDS, ORDER, col, evidence_frame, ranked, with_order
@@ -155,7 +155,6 @@ _sql("query_division", "SELECT o_orderkey, o_custkey div 7 AS whole, o_custkey /
 _sql("query_division_by_zero", "SELECT o_orderkey, try_divide(o_totalprice, o_custkey % 5) AS ratio FROM orders", "SELECT o_orderkey, CASE WHEN o_custkey % 5 <> 0 THEN o_totalprice / (o_custkey % 5) END AS ratio FROM orders")
 _sql("query_concat", "SELECT n_name || '-' || n_nationkey AS a, concat(n_name, n_regionkey) AS b, n_name || nullif(n_name, 'FRANCE') AS c FROM nation")
 _sql("query_string_functions", "SELECT p_partkey, substr(p_name, -3) AS tail, instr(p_name, 'a') AS place, trim(BOTH 'x' FROM p_name) AS t, hex(p_brand) AS h, format_string('%05d', p_size) AS f, ascii(p_type) AS a, char(65 + p_size % 26) AS c FROM part", "SELECT p_partkey, substr(p_name, -3) AS tail, instr(p_name, 'a') AS place, trim(p_name, 'x') AS t, hex(p_brand) AS h, printf('%05d', p_size) AS f, ascii(p_type) AS a, chr(65 + p_size % 26) AS c FROM part")
-_sql("query_case_folding", "SELECT doc_id, upper(substr(text, 1, 40)) AS u, lower(substr(text, 1, 40)) AS l FROM documents WHERE lang IN ('fr', 'es') AND text IS NOT NULL", "SELECT doc_id, upper(substr(text, 1, 40)) AS u, lower(substr(text, 1, 40)) AS l FROM documents WHERE lang IN ('fr', 'es') AND text IS NOT NULL")
 _sql("query_patterns", "SELECT p_partkey, p_name ILIKE '%A%' AS i, p_type RLIKE '^[A-Z]+ ' AS r FROM part", "SELECT p_partkey, p_name ILIKE '%A%' AS i, regexp_matches(p_type, '^[A-Z]+ ') AS r FROM part")
 _sql("query_scalar_max", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN greatest(o_custkey, o_orderkey % 1000) END AS hi, least(o_custkey, o_orderkey % 1000) AS lo FROM orders")
 _sql("query_math", "SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05) AS a, round(l_extendedprice, 1) AS r, floor(l_quantity / 3) AS f, ceil(l_quantity / 3) AS c, round(sqrt(l_extendedprice), 6) AS q, round(power(l_discount, 2), 8) AS p, round(ln(l_quantity), 8) AS n, sign(l_tax - 0.04) AS s FROM lineitem", "SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05) AS a, round(l_extendedprice, 1) AS r, floor(l_quantity / 3)::BIGINT AS f, ceil(l_quantity / 3)::BIGINT AS c, round(sqrt(l_extendedprice), 6) AS q, round(power(l_discount, 2), 8) AS p, round(ln(l_quantity), 8) AS n, sign(l_tax - 0.04)::DOUBLE AS s FROM lineitem")
@@ -166,6 +165,13 @@ _sql("query_arrays", "SELECT o_custkey, size(collect_set(o_orderstatus)) AS kind
 _sql("query_cross_join", "SELECT r_name, n FROM region CROSS JOIN (VALUES (1), (2)) t(n)")
 
 
+@query("SELECT doc_id, upper(substr(text, 1, 40)) AS u, lower(substr(text, 1, 40)) AS l FROM documents WHERE lang IN ('fr', 'es') AND text IS NOT NULL")
+def query_case_folding(spark, sf_dir):
+    """The first letters of texts in both cases, letter by letter like the SQL: Spark's own upper and lower may make several letters of one."""
+    d = warehouse(spark, sf_dir).frame("SELECT doc_id, substr(text, 1, 40) AS t FROM documents WHERE lang IN ('fr', 'es') AND text IS NOT NULL")
+    return d.select("doc_id", upper_letters("t").alias("u"), lower_letters("t").alias("l"))
+
+
 # --- dataflow
 
 

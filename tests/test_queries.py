@@ -78,6 +78,24 @@ def test_no_limit_gives_every_row(spark):
     assert Engine(spark, Catalog(g)).execute(plan).relation.rows.count() == 150
 
 
+def test_case_folding_of_every_letter(spark, tmp_path):
+    """Letters whose other case Spark has as several, sigmas at the end of words, and all other characters, 36 in a text."""
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["straße weiß", "ŉ ǰ ΐ և ﬁ", "ΟΔΟΣ ΣΑΣ.", "İstanbul", "ᾀ ᾳ ᾼ ᾲ", "ǆ ǅ Ǆ", "", *("".join(every[i : i + 36]) for i in range(0, len(every), 36))]
+    for p in Path(DATA).glob("*.parquet"):
+        if p.stem != "documents":
+            (tmp_path / p.name).symlink_to(p)
+    rows = [*((i, t, "fr" if i % 2 else "es") for i, t in enumerate(texts)), (-1, None, "fr"), (-2, "ß", "de"), (-3, "ß", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["u"], r["l"]) for r in queries.QUERIES["query_case_folding"](spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = {r[0]: r[1:] for r in c.execute(queries.ORACLE_SQL["query_case_folding"]).fetchall()}
+    assert got[0] == ("STRAẞE WEIẞ", "straße weiß")
+    assert len(got) == len(texts)
+    assert got == want
+
+
 def test_nothing_imports_the_corpus_operators():
     root = Path(queries.__file__).parent
     for f in root.rglob("*.py"):
