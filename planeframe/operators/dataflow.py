@@ -59,6 +59,40 @@ def join_rows(left: Relation, right: Relation, left_on, right_on, left_alias: st
     return Relation(tuple(fields), rows, evidence).of(rows, fields) if evidence is not None else Relation(tuple(fields), rows)
 
 
+#: Values in a tile at most; rows of an input partition, as a power of two, that are put into tiles together; values of the right that come in turn beside one of the left.
+TILE, STRETCH, RUN = 4096, 16, 256
+
+
+def _cut(values: Column, most: int) -> Column:
+    """An array that isn't empty, in slices."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / most).cast("int")), lambda i: F.slice(values, i * most + 1, F.lit(most)))
+
+
+def tiles(df: DataFrame, key: str, value: str) -> Relation:
+    """The values of each key in arrays of ``TILE`` at most, made of neighbours in the input: a relation of key and ``tile``, without an order."""
+    lists = df.groupBy(key, F.shiftright(F.monotonically_increasing_id(), STRETCH).alias("_stretch")).agg(F.collect_list(F.struct(F.col(value).alias("v"))).alias("_all"))
+    rows = lists.select(key, F.explode(_cut(F.transform("_all", lambda x: x["v"]), TILE)).alias("tile"))
+    return Relation((key, "tile"), rows.select(key, "tile", F.lit(0).cast("long").alias(ORDER), F.array().cast("array<string>").alias(IDS)))
+
+
+def join_pairs(left: DataFrame, right: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """All pairs (a, b) of values that have a key in common, for tables with many rows of few keys on both sides; null keys match nothing.
+
+    What is joined and dealt out are tiles: a row stands for up to ``TILE`` x
+    ``TILE`` pairs, so the tasks that write them out are as many as there are
+    shuffle partitions, however few keys there are. Tiles that are neighbours
+    on the left meet in one task, and pairs come in an order that takes little
+    room in columns: a value of the left ``RUN`` times, beside it the same
+    ``RUN`` values of the right as for the value before.
+    """
+    met = join_rows(tiles(left, key, a), tiles(right, key, b), [key], [key], ordered=False).rows
+    met = met.select(col(f"left.{key}").alias("_key"), col("left.tile").alias("_a"), col("right.tile").alias("_b"))
+    dealt = met.repartitionByRange(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("_key"), F.get("_a", F.lit(0)))
+    # in two steps: an explode's compiled code keeps all rows that it makes of one, also those of explodes that follow it
+    beside = F.flatten(F.transform(_cut(F.col("_b"), RUN), lambda run: F.transform("_a", lambda x: F.struct(x.alias(a), run.alias("_run")))))
+    return dealt.select(F.inline(beside)).select(a, F.explode("_run").alias(b))
+
+
 #: What makes two pieces of evidence one and the same observation.
 PROVENANCE = ("source_id", "locator", "version", "valid_from", "valid_to")
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from planeframe.errors import ExecutionError
 from planeframe.functions.text import lexical_score
-from planeframe.operators import Relation, compose_evidence, filter_rows, fuse, join_rows, project
+from planeframe.operators import Relation, compose_evidence, dataflow, filter_rows, fuse, join_pairs, join_rows, project
 from planeframe.operators.relation import EVIDENCE, IDS, ORDER, ranked
+from planeframe.queries import QUERIES
 
 SCHEMA = "k string, n long, b boolean, tags array<string>"
 ROWS = [("x", 1, True, ["a", None]), (None, 2, False, []), ("y", None, None, ["b"]), ("x", 1, True, ["a"]), ("", 0, True, ["c", "a"])]
@@ -63,6 +64,36 @@ def test_join_matches_model(spark):
         join_rows(relation(spark), relation(spark), ["tags"], ["tags"])
 
 
+@pytest.mark.parametrize("sizes", [(8, 4, 3), (1, 1, 1), (4096, 16, 256)])
+def test_join_pairs_matches_model(spark, monkeypatch, sizes):
+    for name, n in zip(("TILE", "STRETCH", "RUN"), sizes, strict=True):
+        monkeypatch.setattr(dataflow, name, n)
+    rnd = random.Random(6)
+    a = [(rnd.choice(["p", "p", "q", "only here", None]), rnd.choice([*range(40), None])) for _ in range(150)]
+    b = [(rnd.choice(["p", "q", "only there", None]), rnd.choice(["x", "y", None])) for _ in range(60)]
+    want = sorted(((x[1], y[1]) for x in a for y in b if x[0] is not None and x[0] == y[0]), key=str)
+    left, right = spark.createDataFrame(a, "k string, a long").repartition(3), spark.createDataFrame(b, "k string, b string").repartition(2)
+    got = join_pairs(left, right, "k", "a", "b")
+    assert got.columns == ["a", "b"]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == want
+    assert join_pairs(left, right.where("false"), "k", "a", "b").count() == join_pairs(left.where("k IS NULL"), right, "k", "a", "b").count() == 0
+
+
+def test_pairs_take_little_room_and_several_tasks(spark, tmp_path):
+    """Few keys with many rows on both sides: one task wrote them all, a byte and more for each pair, while all suppliers came in turn."""
+    nation = "cast(pmod(hash(id), 25) AS int)"
+    spark.range(1_250).selectExpr("id AS c_custkey", f"{nation} AS c_nationkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(20_000).selectExpr("id AS s_suppkey", f"{nation} AS s_nationkey").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    QUERIES["join_null_keys"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("*.parquet"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    all_ = spark.range(1_250).selectExpr("id AS c", f"{nation} AS k").join(spark.range(20_000).selectExpr("id AS s", f"{nation} AS k"), "k").where("k <> 3")
+    assert got.count() == got.distinct().count() == all_.count() > 900_000
+    assert got.where("pmod(hash(c), 25) <> pmod(hash(s), 25) OR pmod(hash(c), 25) = 3").count() == 0
+    assert len(files) > 1
+    assert sum(f.stat().st_size for f in files) < 0.5 * got.count()
+
+
 def evidence(spark, items):
     rows = [(f"id-{loc}-{v}", "document", f"text {loc}", "s", loc, v, None, None, 1.0, None, i) for i, (loc, v) in enumerate(items)]
     return spark.createDataFrame(rows, EVIDENCE)
